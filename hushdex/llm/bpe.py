@@ -10,6 +10,7 @@ import hashlib
 import json
 import pickle
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -67,7 +68,7 @@ def pieces(path: str) -> list[bytes]:
     return out
 
 
-def encode_documents(docs: DataFrame, path: str, chunk_chars: int = 6_000_000) -> tuple[DataFrame, DataFrame]:
+def encode_documents(docs: DataFrame, path: str, chunk_chars: int = 24_000_000) -> tuple[DataFrame, DataFrame]:
     """Blocks of the documents' words and of the words' ids."""
     special = specials(path)
     blocks = chunked(docs, lambda t: units(t, special), chunk_chars=chunk_chars)
@@ -84,11 +85,9 @@ def encode_documents(docs: DataFrame, path: str, chunk_chars: int = 6_000_000) -
             if part != here:
                 known, here = {}, part
             words, _ = unpack_words(a, b)
-            fresh = [w for w in words if w not in known]
-            for k in range(0, len(fresh), 4096):
-                some = fresh[k : k + 4096]
-                got = tok.encode_batch_fast([w.decode() for w in some], add_special_tokens=False)
-                known.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(some, got, strict=True))
+            for w in words:
+                if w not in known:  # one call a word: a batch would only add threads
+                    known[w] = array("I", tok.encode(w.decode(), add_special_tokens=False).ids).tobytes()
             ids = [known[w] for w in words]
             yield chunk, part, 2, None, _pack_ids(ids), c
 
@@ -121,7 +120,7 @@ def documents_ids(groups: Iterator[tuple]) -> Iterator[tuple]:
             at += k
 
 
-def bpe_roundtrip(docs: DataFrame, path: str, keep_text: bool = False, chunk_chars: int = 6_000_000) -> DataFrame:
+def bpe_roundtrip(docs: DataFrame, path: str, keep_text: bool = False, chunk_chars: int = 24_000_000) -> DataFrame:
     """Encode every text and decode it again: one row per row of ``docs``.
 
     Returns doc_id, n_tokens, ids_sha256, decoded_sha256; with ``keep_text`` also

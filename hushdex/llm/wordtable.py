@@ -12,7 +12,8 @@ back. Rows that move between Spark stages are blocks:
     ...    p     1     words of the chunk that hash to partition p
     ...    p     2     what the resolver returned for them
 
-A word that occurs in every document is one entry per chunk, so no key is hot.
+The blocks are written once, bucketed by chunk, so the numbers (the bulk of the
+bytes) are never shuffled: the resolved words come to them. A word that occurs in every document is one entry per chunk, so no key is hot.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hushdex.llm.common import partitions_for, saved, slices
+from hushdex.llm.common import bucketed, partitions_for, slices
 from hushdex.llm.vbyte import pack, unpack
 
 BLOCK = "chunk string, part int, kind int, a binary, b binary, c binary"
@@ -98,7 +99,7 @@ def unpack_numbers(c: bytes) -> np.ndarray:
     return np.cumsum(unpack(c, unsqueeze), dtype=np.int64)
 
 
-def chunked(docs: DataFrame, split: Callable[[str], list], head: str = "doc_id", text: str = "text", weigh: Callable | None = None, chunk_chars: int = 6_000_000) -> DataFrame:
+def chunked(docs: DataFrame, split: Callable[[str], list], head: str = "doc_id", text: str = "text", weigh: Callable | None = None, chunk_chars: int = 24_000_000) -> DataFrame:
     """Blocks of kind 0 and 1 for ``docs``, written once so that both kinds agree.
 
     ``weigh(heads, lens, flat, n)`` may give each local word a whole number.
@@ -118,7 +119,7 @@ def chunked(docs: DataFrame, split: Callable[[str], list], head: str = "doc_id",
             for row in chunk.rows(f"{task}.{k}", parts, weigh):
                 yield _rows([row])
 
-    return saved(docs.select(F.col(head), F.col(text)).mapInArrow(run, BLOCK), "chunks")
+    return bucketed(docs.select(F.col(head), F.col(text)).mapInArrow(run, BLOCK), "chunks", "chunk")
 
 
 def resolved(blocks: DataFrame, resolve: Callable[[Iterator[tuple]], Iterator[tuple]]) -> DataFrame:
@@ -149,21 +150,12 @@ def by_chunk(blocks: DataFrame, results: DataFrame, use: Callable[[Iterator[tupl
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def groups() -> Iterator[tuple]:
-            now, got = None, []
             for b in slices(batches, 1):
                 r = b.to_pylist()[0]
-                if now and now["chunk"] != r["chunk"]:
-                    yield (*pickle.loads(now["a"]), unpack(now["b"], unsqueeze), got)
-                    now = None
-                if r["kind"] == 0:
-                    now, got = r, []
-                else:
-                    got.append((unpack_numbers(r["c"]), r["b"], r["part"]))
-            if now:
-                yield (*pickle.loads(now["a"]), unpack(now["b"], unsqueeze), got)
+                got = [(unpack_numbers(x["c"]), x["b"], x["part"]) for x in sorted(r["got"] or [], key=lambda x: x["part"])]
+                yield (*pickle.loads(r["a"]), unpack(r["b"], unsqueeze), got)
 
         yield from use(groups())
 
-    parts = partitions_for(blocks.sparkSession)
-    both = blocks.where("kind = 0").unionByName(results.where("kind = 2"))
-    return both.repartition(parts, "chunk").sortWithinPartitions("chunk", "kind", "part").mapInArrow(run, schema)
+    words = results.where("kind = 2").groupBy("chunk").agg(F.collect_list(F.struct("part", "b", "c")).alias("got"))
+    return blocks.where("kind = 0").select("chunk", "a", "b").join(words.hint("merge"), "chunk", "left").select("a", "b", "got").mapInArrow(run, schema)
