@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from hushdex.llm import bpe
+from hushdex.llm import bpe, jpeg, tokenbin
 from hushdex.llm.common import read_table
 
 
@@ -15,8 +15,16 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_roundtrip(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op3_tokenbin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenbin.token_shards(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1)
+
+
+def op4_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jpeg.stored_text_features(read_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_bpe": op2_bpe}
+    return {"op2_bpe": op2_bpe, "op3_tokenbin": op3_tokenbin, "op4_jpeg": op4_jpeg}
 
 
 def oracle_sql() -> dict[str, str]:
