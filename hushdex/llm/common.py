@@ -66,6 +66,23 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def carried(docs: DataFrame, fixed: tuple[str, ...] = ("doc_id", "text")) -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` with all columns but ``fixed`` under neutral names, and name -> neutral name.
+
+    So columns of any name can be carried through an operator that adds its own.
+    """
+    rest = {c: f"carried_{k}" for k, c in enumerate(c for c in docs.columns if c not in fixed)}
+    return docs.select(*fixed, *(F.col(f"`{c}`").alias(n) for c, n in rest.items())), rest
+
+
+def restored(got: DataFrame, docs: DataFrame, rest: dict[str, str], text: Column, changed: Column) -> DataFrame:
+    """The columns of ``docs`` with ``text`` put in; n_chars follows where ``changed``."""
+    out = {"doc_id": F.col("doc_id"), "text": text} | {c: F.col(n) for c, n in rest.items()}
+    if "n_chars" in rest:
+        out["n_chars"] = F.when(changed, F.char_length(text).cast(docs.schema["n_chars"].dataType)).otherwise(out["n_chars"])
+    return got.select(*(out[c].alias(c) for c in docs.columns))
+
+
 def crc_mod(col: str, n: int) -> Column:
     """crc32 of the id as text, modulo ``n``; a null id counts as empty text."""
     return F.crc32(F.coalesce(F.col(col).cast("string"), F.lit(""))) % n

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from hushdex.llm import bpe, jpeg, tokenbin
+from hushdex.llm import bpe, fmindex, jpeg, pii, tokenbin
 from hushdex.llm.common import read_table
 
 
@@ -23,8 +23,16 @@ def op4_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jpeg.stored_text_features(read_table(spark, sf_dir, "documents"))
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fmindex.contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_data(read_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_bpe": op2_bpe, "op3_tokenbin": op3_tokenbin, "op4_jpeg": op4_jpeg}
+    return {"op2_bpe": op2_bpe, "op3_tokenbin": op3_tokenbin, "op4_jpeg": op4_jpeg, "op8_decontamination": op8_decontamination, "op9_pii": op9_pii}
 
 
 def oracle_sql() -> dict[str, str]:
