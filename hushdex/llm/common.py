@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import tempfile
 import uuid
+import zipfile
 import zlib
 from collections.abc import Iterable, Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +19,7 @@ from pyspark.sql import types as T
 #: Folder used when the session names none (single-machine tests only).
 LOCAL_SCRATCH = "file:///tmp/checkpoints"
 
+_shipped: set[str] = set()
 _made: list[tuple[SparkSession, str]] = []
 
 
@@ -62,7 +66,22 @@ def bucketed(df: DataFrame, name: str, key: str) -> DataFrame:
     return spark.table(table)
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once for each application."""
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    _shipped.add(app)
+    root = Path(__file__).resolve().parents[1]
+    made = Path(tempfile.mkdtemp()) / f"{root.name}_{app}.zip"
+    with zipfile.ZipFile(made, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f.relative_to(root.parent))
+    spark.sparkContext.addPyFile(str(made))
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

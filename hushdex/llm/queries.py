@@ -7,10 +7,14 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from hushdex.llm import bpe, fmindex, jpeg, pii, tokenbin
+from hushdex.llm import bpe, fmindex, jpeg, langid, pii, tokenbin, toxicity, urlfilter
 from hushdex.llm.common import read_table
 
 
+def op1_urlfilter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.filter_urls(read_table(spark, sf_dir, "pages"))
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_roundtrip(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -23,6 +27,11 @@ def op4_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jpeg.stored_text_features(read_table(spark, sf_dir, "documents"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return toxicity.toxicity(docs, toxicity.fit(docs, read_table(spark, sf_dir, "labels")))
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fmindex.contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
@@ -31,8 +40,13 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.personal_data(read_table(spark, sf_dir, "documents"))
 
 
+def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(read_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_bpe": op2_bpe, "op3_tokenbin": op3_tokenbin, "op4_jpeg": op4_jpeg, "op8_decontamination": op8_decontamination, "op9_pii": op9_pii}
+    made = (op1_urlfilter, op2_bpe, op3_tokenbin, op4_jpeg, op5_toxicity, op8_decontamination, op9_pii, op10_langid)
+    return {f.__name__: f for f in made}
 
 
 def oracle_sql() -> dict[str, str]:
