@@ -12,7 +12,6 @@ import re
 import zlib
 from array import array
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -21,18 +20,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hushdex.llm import vbyte
-from hushdex.llm.bpe import WS
+from hushdex.llm.bpe import WS, byte_alphabet
 from hushdex.llm.common import arrow_schema, partitions_for, remove, scratch_path, slices, to_batches
 
-#: Entries of a worker's word memo; it starts anew when full.
-MEMO_WORDS = 300_000
+#: Entries of each of a worker's two word memos; a full one starts anew.
+MEMO_WORDS = 350_000
 #: Ids in a block, unless one document has more.
 BLOCK_IDS = 250_000
 
 _RUN = re.compile(f"[^{WS}]+")
 #: Blanks for str.split() that the tokenizer does not take for blanks.
 _ODD = re.compile("[\x1c-\x1f]")
-_memo: dict[str, tuple] = {}
+#: Latin-1 letters, then marks other than the apostrophe: two tokens' worth of text
+#: that only lower-casing changes, so the model can be asked without the rest.
+_PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-&(-/:-@[-`{-~]*)")
+_workers: dict[str, WordIds] = {}
 
 
 def words_of(text: str) -> list[str]:
@@ -40,15 +42,50 @@ def words_of(text: str) -> list[str]:
     return _RUN.findall(text) if _ODD.search(text) else text.split()
 
 
-def _tokenizer(path: str) -> tuple:
-    if path not in _memo:
+class WordIds(dict):
+    """Ids of words as packed bytes; each word is encoded when first met."""
+
+    def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
-        tok = Tokenizer.from_file(path)
-        tok.no_truncation()
-        tok.no_padding()
-        _memo[path] = (tok, {}, "<u2" if tok.get_vocab_size() <= 1 << 16 else "<u4")
-    return _memo[path]
+        self.tok = Tokenizer.from_file(path)
+        self.tok.no_truncation()
+        self.tok.no_padding()
+        self.wide = self.tok.get_vocab_size(with_added_tokens=True) > 1 << 16
+        self.code = "I" if self.wide else "H"
+        self.dtype = "<u4" if self.wide else "<u2"
+        self.chars = {b: c for c, b in byte_alphabet().items()}
+        self.stems: dict[str, bytes] = {}
+
+    def pack(self, ids: list[int]) -> bytes:
+        return array(self.code, ids).tobytes()
+
+    def __missing__(self, word: str) -> bytes:
+        if m := _PLAIN.fullmatch(word):
+            low = m[1].lower()
+            ids = self.stems.get(low)
+            if ids is None:
+                pieces = self.tok.model.tokenize(low.encode().decode("latin-1").translate(self.chars))
+                ids = self.stems[low] = self.pack([t.id for t in pieces])
+            if m[2]:
+                ids += self[m[2]]
+        else:
+            ids = self.pack(self.tok.encode(word, add_special_tokens=False).ids)
+        self[word] = ids
+        return ids
+
+    def trim(self) -> None:
+        if len(self) > MEMO_WORDS:
+            self.clear()
+        if len(self.stems) > MEMO_WORDS:
+            self.stems.clear()
+
+
+def worker_ids(path: str) -> WordIds:
+    """The memo of this Python worker; it outlives a task."""
+    if path not in _workers:
+        _workers[path] = WordIds(path)
+    return _workers[path]
 
 
 def encode_ids(docs: DataFrame, path: str, end_id: int) -> DataFrame:
@@ -58,24 +95,19 @@ def encode_ids(docs: DataFrame, path: str, end_id: int) -> DataFrame:
     arrow = arrow_schema(docs.sparkSession, ddl)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok, memo, width = _tokenizer(path)
-        total = np.zeros(1 + max(end_id, tok.get_vocab_size(with_added_tokens=True)), np.int64)
-        end = np.array([end_id], width).tobytes()
-        code = "H" if width == "<u2" else "I"
+        memo = worker_ids(path)
+        total = np.zeros(1 + max(end_id, memo.tok.get_vocab_size(with_added_tokens=True)), np.int64)
+        end = memo.pack([end_id])
 
         def rows() -> Iterator[tuple]:
             for b in slices(batches):
-                lists = [words_of(t or "") for t in b.column(1).to_pylist()]
-                here = set(chain.from_iterable(lists))
-                if len(memo) + len(here.difference(memo)) > MEMO_WORDS:
-                    memo.clear()
-                for w in here.difference(memo):
-                    memo[w] = array(code, tok.encode(w, add_special_tokens=False).ids).tobytes()
-                for doc, words in zip(b.column(0).to_pylist(), lists, strict=True):
-                    raw = b"".join(map(memo.__getitem__, words)) + end
-                    ids = np.frombuffer(raw, width)
-                    total[:] += np.bincount(ids, minlength=len(total))
-                    yield 0, doc, len(ids), raw
+                memo.trim()
+                done = []
+                for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                    raw = b"".join(map(memo.__getitem__, words_of(text or ""))) + end
+                    done.append(raw)
+                    yield 0, doc, len(raw) // len(end), raw
+                total[:] += np.bincount(np.frombuffer(b"".join(done), memo.dtype), minlength=len(total))
             yield 1, None, 0, total.tobytes()
 
         yield from to_batches(rows(), arrow)
@@ -116,7 +148,7 @@ def write_shards(docs: DataFrame, path: str, end_id: int, out: str) -> np.ndarra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, before = TaskContext.get().partitionId(), 0
-        width = "<u2" if len(rank) <= (1 << 16) + 64 else "<u4"
+        width = worker_ids(path).dtype
         names: list = []
         parts: list[np.ndarray] = []
 
