@@ -21,17 +21,20 @@ from pyspark.sql import functions as F
 
 from hushdex.llm.common import ALNUM_TABLE, arrow_schema, carried, crc_mod, id_fold, restored, slices, to_batches
 
-#: Labelled texts that the classifier is fitted on, for each label at most. Taken
-#: by the order of a hash of their ids, so that the choice does not follow storage.
-FIT_PER_LABEL = 10_000
+#: Labelled texts that the classifier is fitted on, at most. Taken by the order of
+#: a hash of their ids, so that the choice follows neither storage nor label.
+FIT_ROWS = 20_000
 #: Words and stems in the model at most, those of the largest |z| first.
 MODEL_TOKENS = 50_000
 #: Lengths in bytes of the stems that stand in for unseen words.
 STEMS = (4, 5, 6)
-#: Strength of the prior as a share of the fitted documents; |z| from which a token counts.
-PRIOR, MIN_Z = 0.05, 2.0
+#: Strength of the prior as a share of the fitted documents; |z| from which a token
+#: counts; share of the largest possible log-odds that a toxic token must reach.
+PRIOR, MIN_Z, MIN_SHARE = 0.05, 2.0, 0.6
 #: What a token without evidence adds: small and negative, so that segments end.
 NEUTRAL = -0.03
+#: F1 by which a cut may fall short of the best one.
+NEAR_BEST = 0.01
 #: Entries of a worker's word memo.
 MEMO_WORDS = 300_000
 
@@ -112,10 +115,9 @@ def training_rows(docs: DataFrame, labels: DataFrame, fold: int, of: int) -> Dat
     """doc_id, text, toxic of the sampled training rows; ids with two labels are left out."""
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (crc_mod("doc_id", of) != fold))
     known = known.groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("other")).where("toxic = other")
-    order = [F.xxhash64("doc_id"), F.col("doc_id")]
-    picked = known.where("toxic = 1").orderBy(*order).limit(FIT_PER_LABEL).unionByName(known.where("toxic = 0").orderBy(*order).limit(FIT_PER_LABEL))
-    # At most 2 x FIT_PER_LABEL ids.
-    return docs.select("doc_id", "text").join(F.broadcast(picked.select("doc_id", "toxic")), "doc_id")
+    # At most FIT_ROWS ids.
+    picked = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(FIT_ROWS).select("doc_id", "toxic")
+    return docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
 
 
 def fit(docs: DataFrame, labels: DataFrame, fold: int = 0, of: int = 5) -> Model:
@@ -144,10 +146,18 @@ def fit(docs: DataFrame, labels: DataFrame, fold: int = 0, of: int = 5) -> Model
     a = (y1 + y0) / F.lit(n1 + n0) * F.lit(prior)
     delta = F.log((y1 + a) / (F.lit(n1 + prior) - y1 - a)) - F.log((y0 + a) / (F.lit(n0 + prior) - y0 - a))
     z = delta / F.sqrt(1 / (y1 + a) + 1 / (y0 + a))
-    model = sums.select("token", delta.alias("odds"), F.abs(z).alias("z")).where(F.col("z") >= MIN_Z)
+    model = sums.select("token", "bad", delta.alias("odds"), F.abs(z).alias("z")).where(F.col("z") >= MIN_Z)
+    least = MIN_SHARE * (math.log((1 + PRIOR) / PRIOR) + math.log(n0 / n1))
+    model = model.where((F.col("odds") < 0) | (F.col("odds") >= least))
     picked = model.orderBy(F.desc("z"), "token").limit(MODEL_TOKENS).collect()
     sums.unpersist()
-    out = Model({bytes(r["token"]): r["odds"] for r in picked})
+    # A stem that owes its texts to one word says nothing about other words.
+    word: dict[bytes, int] = {}
+    for r in picked:
+        for n in STEMS if r["token"][:1] != b"^" else ():
+            stem = b"^" + bytes(r["token"])[:n]
+            word[stem] = max(word.get(stem, 0), r["bad"])
+    out = Model({bytes(r["token"]): r["odds"] for r in picked if 3 * r["bad"] >= 4 * word.get(bytes(r["token"]), 0)})
     return calibrate(rows, out)
 
 
@@ -176,13 +186,13 @@ def calibrate(rows: DataFrame, model: Model) -> Model:
             got = [scorer.total(t)[0] for t in b.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(got, pa.float64()), b.column(1)], names=["total", "toxic"])
 
-    # One row per sampled text, of which there are 2 x FIT_PER_LABEL at most.
+    # One row per sampled text, of which there are FIT_ROWS at most.
     seen = data.mapInArrow(totals, "total double, toxic int").toPandas()
     return set_cut(model, seen["total"].to_numpy(), seen["toxic"].to_numpy())
 
 
 def set_cut(model: Model, total: np.ndarray, toxic: np.ndarray) -> Model:
-    """The cut with the best F1, in the middle of its gap; the slope from the gap's width."""
+    """A cut of about the best F1, in the middle of its gap; the slope from clean texts' spread."""
     order = np.argsort(-total, kind="stable")
     t, y = total[order], toxic[order]
     right = np.cumsum(y)
@@ -190,7 +200,9 @@ def set_cut(model: Model, total: np.ndarray, toxic: np.ndarray) -> Model:
     f1[:-1][t[1:] == t[:-1]] = -1
     if not len(t) or not y.sum():
         return model
-    k = int(np.argmax(f1))
+    # Of the cuts that are nearly as good as the best, the one in the widest gap.
+    gap = t - np.append(t[1:], 0.0)
+    k = int(np.argmax(np.where(f1 >= f1.max() - NEAR_BEST, gap, -1)))
     below = t[k + 1] if k + 1 < len(t) else 0.0
     model.cut = float(max((t[k] + below) / 2, 1e-6))
     clean = total[toxic == 0]
@@ -213,9 +225,16 @@ class Scorer:
         self.memo = Memo()
 
     def scores(self, words: list[bytes]) -> np.ndarray:
+        """A score for each word; a repeated word is evidence only once."""
         if len(self.memo) > MEMO_WORDS:
             self.memo.clear()
-        return np.fromiter(map(self.memo.__getitem__, words), np.float64, len(words))
+        out = np.fromiter(map(self.memo.__getitem__, words), np.float64, len(words))
+        seen: set[bytes] = set()
+        for k in np.flatnonzero(out > 0).tolist():
+            if words[k] in seen:
+                out[k] = NEUTRAL
+            seen.add(words[k])
+        return out
 
     def total(self, text: str | None) -> tuple[float, list[tuple[int, int, float]], int]:
         words = words_of(text or "")
