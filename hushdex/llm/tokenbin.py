@@ -23,14 +23,14 @@ from hushdex.llm import vbyte
 from hushdex.llm.bpe import WS, byte_alphabet
 from hushdex.llm.common import arrow_schema, partitions_for, remove, scratch_path, slices, to_batches
 
-#: Entries of each of a worker's two word memos; a full one starts anew.
-MEMO_WORDS = 350_000
+#: Entries of a worker's memos of words and of stems; a full one starts anew.
+MEMO_WORDS, MEMO_STEMS = 700_000, 500_000
 #: Ids in a block, unless one document has more.
 BLOCK_IDS = 250_000
 
 _RUN = re.compile(f"[^{WS}]+")
 #: Blanks for str.split() that the tokenizer does not take for blanks.
-_ODD = re.compile("[\x1c-\x1f]")
+_ODD = "\x1c\x1d\x1e\x1f"
 #: Latin-1 letters, then marks other than the apostrophe: two tokens' worth of text
 #: that only lower-casing changes, so the model can be asked without the rest.
 _PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-&(-/:-@[-`{-~]*)")
@@ -39,7 +39,7 @@ _workers: dict[str, WordIds] = {}
 
 def words_of(text: str) -> list[str]:
     """Runs of non-blanks; no token of a word-end vocabulary crosses them."""
-    return _RUN.findall(text) if _ODD.search(text) else text.split()
+    return _RUN.findall(text) if any(c in text for c in _ODD) else text.split()
 
 
 class WordIds(dict):
@@ -77,7 +77,7 @@ class WordIds(dict):
     def trim(self) -> None:
         if len(self) > MEMO_WORDS:
             self.clear()
-        if len(self.stems) > MEMO_WORDS:
+        if len(self.stems) > MEMO_STEMS:
             self.stems.clear()
 
 
@@ -128,7 +128,7 @@ def frequency_order(table: DataFrame) -> np.ndarray:
             k = np.arange(len(total))
             yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(total)], names=["id", "n"])
 
-    counts = table.where("kind = 1").select("ids").mapInArrow(add, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n")).toPandas().sort_values("id")
+    counts = table.where("kind = 1").select("ids").repartition(max(1, partitions_for(table.sparkSession) // 12)).mapInArrow(add, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n")).toPandas().sort_values("id")
     return np.argsort(-counts["n"].to_numpy(np.int64), kind="stable") if len(counts) else np.zeros(0, np.int64)
 
 

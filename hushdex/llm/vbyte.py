@@ -23,16 +23,22 @@ def encode(values: np.ndarray) -> tuple[bytes, bytes]:
     padded = np.zeros(-(-len(v) // 4) * 4, np.uint8)
     padded[: len(v)] = size - 1
     control = (padded.reshape(-1, 4) << np.array([0, 2, 4, 6], np.uint8)).sum(1, dtype=np.uint8)
-    keep = np.arange(4, dtype=np.uint8) < size[:, None]
-    return control.tobytes(), v.view(np.uint8).reshape(-1, 4)[keep].tobytes()
+    wide = int(size.max(initial=1))
+    keep = np.arange(wide, dtype=np.uint8) < size[:, None]
+    return control.tobytes(), v.view(np.uint8).reshape(-1, 4)[:, :wide][keep].tobytes()
 
 
 def decode(control: bytes, data: bytes, n: int) -> np.ndarray:
     """The ``n`` values back, as uint32."""
     size = LENGTHS[np.frombuffer(control, np.uint8)].reshape(-1)[:n]
-    out = np.zeros((n, 4), np.uint8)
-    out[np.arange(4, dtype=np.uint8) < size[:, None]] = np.frombuffer(data, np.uint8)
-    return out.view("<u4").reshape(-1).astype(np.uint32, copy=False)
+    wide = int(size.max(initial=1))
+    ends = np.cumsum(size, dtype=np.int64)
+    raw = np.concatenate((np.frombuffer(data, np.uint8), np.zeros(4, np.uint8)))
+    out = np.zeros(n, np.uint32)
+    for k in range(wide):
+        byte = raw[ends - size + k].astype(np.uint32) << np.uint32(8 * k)
+        out |= np.where(size > k, byte, np.uint32(0)) if k else byte
+    return out
 
 
 def pack(values: np.ndarray, squeeze: Callable[[bytes], bytes]) -> bytes:
