@@ -256,10 +256,10 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     with null ids or without words stay.
     """
     got = near_duplicates(docs)
-    stay = got.where(F.col("doc_id") != F.col("class_id")).select("doc_id").distinct()
-    kept = docs.join(stay, "doc_id", "left_anti")
-    many = kept.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select("doc_id")
+    gone = saved(got.where(F.col("doc_id") != F.col("class_id")).select("doc_id").distinct(), "gone")
+    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    many = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows_of_id")).where("rows_of_id > 1 and doc_id is not null").select("doc_id")
     if many.isEmpty():
         return kept
-    rest = kept.join(many, "doc_id", "left_semi")
-    return kept.join(many, "doc_id", "left_anti").unionByName(rest.dropDuplicates(["doc_id", "text"]))
+    rest = kept.join(many, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    return kept.join(many, "doc_id", "left_anti").unionByName(rest).select(*docs.columns)

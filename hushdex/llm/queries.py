@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from hushdex.llm import bpe, fmindex, jpeg, langid, pii, tokenbin, toxicity, urlfilter
+from hushdex.llm import bpe, fmindex, jpeg, langid, nearjoin, pii, tokenbin, toxicity, urlfilter
 from hushdex.llm.common import read_table
 
 
@@ -32,6 +33,10 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(docs, toxicity.fit(docs, read_table(spark, sf_dir, "labels")))
 
 
+def op6_nearjoin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearjoin.near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fmindex.contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
@@ -45,8 +50,8 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    made = (op1_urlfilter, op2_bpe, op3_tokenbin, op4_jpeg, op5_toxicity, op8_decontamination, op9_pii, op10_langid)
-    return {f.__name__: f for f in made}
+    made = (op1_urlfilter, op2_bpe, op3_tokenbin, op4_jpeg, op5_toxicity, op6_nearjoin, op8_decontamination, op9_pii, op10_langid)
+    return {f.__name__: f for f in made} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
