@@ -8,7 +8,7 @@ import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from hushdex.llm import bpe, fmindex, jpeg, langid, nearjoin, pii, tokenbin, toxicity, urlfilter
+from hushdex.llm import bpe, fmindex, jpeg, langid, lmscore, nearjoin, pii, tokenbin, toxicity, urlfilter
 from hushdex.llm.common import read_table
 
 
@@ -37,6 +37,10 @@ def op6_nearjoin(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearjoin.near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+def op7_lmscore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lmscore.lm_scores(read_table(spark, sf_dir, "documents"))
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fmindex.contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
@@ -50,7 +54,7 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    made = (op1_urlfilter, op2_bpe, op3_tokenbin, op4_jpeg, op5_toxicity, op6_nearjoin, op8_decontamination, op9_pii, op10_langid)
+    made = (op1_urlfilter, op2_bpe, op3_tokenbin, op4_jpeg, op5_toxicity, op6_nearjoin, op7_lmscore, op8_decontamination, op9_pii, op10_langid)
     return {f.__name__: f for f in made} | {"pipeline": corpus_pipeline.run}
 
 
