@@ -208,7 +208,8 @@ def verified(docs: DataFrame, members: DataFrame, n: int, threshold: float) -> D
 
         yield from to_batches((r for g in groups() for r in verify_group(g, threshold)), result)
 
-    texts = docs.select(F.col("doc_id").alias("rep"), "text").join(members, "rep").select("text", "key", "comp", "blocks")
+    # One plan at every size: the members' number grows with the corpus.
+    texts = docs.select(F.col("doc_id").alias("rep"), "text").join(members.hint("merge"), "rep").select("text", "key", "comp", "blocks")
     dealt = texts.mapInArrow(cut, ddl).repartition("comp", "left", "right").sortWithinPartitions("comp", "left", "right", "key")
     return dealt.mapInArrow(check, out)
 
