@@ -120,11 +120,11 @@ def documents_ids(groups: Iterator[tuple]) -> Iterator[tuple]:
             at += k
 
 
-def bpe_roundtrip(docs: DataFrame, path: str, keep_text: bool = False, chunk_chars: int = 24_000_000) -> DataFrame:
+def bpe_roundtrip(docs: DataFrame, path: str, keep_ids: bool = False, keep_text: bool = False, chunk_chars: int = 24_000_000) -> DataFrame:
     """Encode every text and decode it again: one row per row of ``docs``.
 
-    Returns doc_id, n_tokens, ids_sha256, decoded_sha256; with ``keep_text`` also
-    ids (array of int) and decoded. A null or empty text has no tokens; repeated
+    Returns doc_id, n_tokens, ids_sha256, decoded_sha256; with ``keep_ids`` also ids
+    (array of int), with ``keep_text`` also decoded. A null or empty text has no tokens; repeated
     and null ids keep their rows; other columns are not read; an empty table
     gives an empty result. ``path`` is a tokenizers JSON file with byte-level
     pieces, of equal place on all machines.
@@ -132,7 +132,7 @@ def bpe_roundtrip(docs: DataFrame, path: str, keep_text: bool = False, chunk_cha
     blocks, words = encode_documents(docs, path, chunk_chars)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
-    schema = f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * keep_text
+    schema = f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids + ", decoded string" * keep_text
     arrow = arrow_schema(docs.sparkSession, schema)
 
     def use(groups: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
@@ -143,7 +143,7 @@ def bpe_roundtrip(docs: DataFrame, path: str, keep_text: bool = False, chunk_cha
                 raw = b"".join(map(table.__getitem__, ids.tolist()))
                 text = raw.decode("utf-8", "replace")
                 row = (doc, len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256(text.encode()).hexdigest())
-                yield (*row, ids.astype(np.int32), text) if keep_text else row
+                yield row + ((ids.astype(np.int32),) if keep_ids else ()) + ((text,) if keep_text else ())
 
         yield from to_batches(rows(), arrow)
 

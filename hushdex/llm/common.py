@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
 import zipfile
@@ -112,11 +113,23 @@ def id_fold(ids: list, n: int) -> np.ndarray:
     return np.array([zlib.crc32(b"" if i is None else str(i).encode()) % n for i in ids], np.int64)
 
 
+def give_back() -> None:
+    """Return freed memory to the system: Python workers live on between tasks."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+
+
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
     """Short slices, so that Python strings of few rows exist at a time."""
+    give_back()
     for b in batches:
         for k in range(0, b.num_rows, rows):
             yield b.slice(k, rows)
+    give_back()
 
 
 def arrow_schema(spark: SparkSession, ddl: str) -> pa.Schema:

@@ -28,11 +28,11 @@ from hushdex.llm.common import ALNUM_TABLE, arrow_schema, carried, restored, sli
 #: Bytes of benchmark text in one pattern block; each task holds one block at a time.
 PATTERN_BYTES = 16_000_000
 #: Bytes of document text in one shard.
-SHARD_BYTES = 16_000_000
+SHARD_BYTES = 4_000_000
 #: Every so many positions of a shard one suffix position is kept.
 SAMPLE = 8
 #: Occurrences located at once.
-LOCATE = 400_000
+LOCATE = 200_000
 
 _WORD = re.compile("[0-9A-Za-z\x80-\U0010ffff]+")
 

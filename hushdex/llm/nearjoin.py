@@ -118,9 +118,9 @@ def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     column = np.cumsum(common) - 1
     heavy = common[s]
     dh, ch = doc[heavy], column[s[heavy]]
-    for k in range(0, int(common.sum()), 2048):
-        here = (ch >= k) & (ch < k + 2048)
-        x = np.zeros((n + m, 2048), np.float32)
+    for k in range(0, int(common.sum()), 1024):
+        here = (ch >= k) & (ch < k + 1024)
+        x = np.zeros((n + m, 1024), np.float32)
         x[dh[here], ch[here] - k] = 1
         out += x[:n] @ x[n:].T
     return out

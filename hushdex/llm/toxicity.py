@@ -36,7 +36,7 @@ NEUTRAL = -0.03
 #: F1 by which a cut may fall short of the best one.
 NEAR_BEST = 0.01
 #: Entries of a worker's word memo.
-MEMO_WORDS = 300_000
+MEMO_WORDS = 200_000
 
 
 def words_of(text: str) -> list[bytes]:

@@ -66,16 +66,19 @@ class Chunk:
 
     def rows(self, name: str, parts: int, weigh: Callable | None) -> Iterator[tuple]:
         n = len(self.code)
+        lens = np.fromiter(map(len, self.streams), np.int64, len(self.streams))
         flat = np.concatenate(self.streams)
+        self.streams = []
         freq = np.bincount(flat, minlength=n)
         order = np.argsort(-freq, kind="stable")
-        rank = np.empty(n, np.int32)
-        rank[order] = np.arange(n, dtype=np.int32)
-        lens = np.fromiter(map(len, self.streams), np.int64, len(self.streams))
-        yield name, -1, 0, pickle.dumps((self.heads, lens), 5), pack(rank[flat].astype(np.uint32), squeeze), b""
+        rank = np.empty(n, np.uint32)
+        rank[order] = np.arange(n, dtype=np.uint32)
+        yield name, -1, 0, pickle.dumps((self.heads, lens), 5), pack(rank[flat], squeeze), b""
         if n:
             extra = weigh(self.heads, lens, flat, n)[order] if weigh else None
+            del flat
             raw = [w.encode() if isinstance(w, str) else w for w in self.code]
+            self.code = {}
             raw = [raw[k] for k in order.tolist()]
             where = np.fromiter(map(zlib.crc32, raw), np.uint32, n) % np.uint32(parts)
             by = np.argsort(where, kind="stable")
