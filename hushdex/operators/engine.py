@@ -219,7 +219,10 @@ class Engine:
         self.guard.allow(name, "put", actor)
         with self.guard.audited("PUT", f"{name}/*", actor):
             m = self._current(name)
-            got = rows.withColumns({"entry_id": F.col(entry).cast("string")})
+            # Hashing tokens costs far more than moving texts: spread the rows, by the key that the
+            # steps below need anyway. A stated number is not coalesced by size.
+            parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+            got = rows.withColumns({"entry_id": F.col(entry).cast("string")}).repartition(parts, "entry_id")
             bad = got.where("entry_id is null or entry_id = ''").select("entry_id", F.lit("entry id is empty").alias("reason"))
             good = last_of_each(got.where("entry_id <> ''"), order)
             plain = extract.extracted(F.col(text)) if rows.schema[text].dataType.typeName() == "binary" else F.col(text)
