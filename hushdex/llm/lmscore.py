@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import pickle
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -24,9 +25,11 @@ from hushdex.llm.wordtable import by_chunk, chunked, resolved, squeeze, unpack_w
 
 #: One training document in so many teaches the recurrent weights (the counts take
 #: all); chosen by the id's checksum, so the share is the same at every size.
-TEACH = 10
+TEACH = 14
 #: Training tokens of a partition, passes of averaging, and lanes for scoring.
 TOKENS_PER_PART, ROUNDS, LANES = 600_000, 2, 256
+#: Step size of the first pass; each further one takes a smaller.
+RATE = 0.01
 
 
 def words_of(text: str) -> list[bytes]:
@@ -45,9 +48,8 @@ def _counter(top: int):
 
     def flush(part: int, held: list[tuple]) -> Iterator[tuple]:
         total: dict[bytes, int] = {}
-        for _, a, b, _ in held:
-            words, uses = unpack_words(a, b)
-            get = total.get
+        get = total.get
+        for _, words, uses, _ in held:
             for w, u in zip(words, uses.tolist(), strict=True):
                 total[w] = get(w, 0) + u
         seen = [(w, c) for w, c in total.items() if c]
@@ -55,10 +57,9 @@ def _counter(top: int):
         place = {w: k + 1 for k, (w, _) in enumerate(best)}
         yield "", part, 3, pickle.dumps(best, 5), None, None
         yield "", part, 4, pickle.dumps((sum(c for _, c in seen), len(seen)), 5), None, None
-        for chunk, a, b, c in held:
-            words, _ = unpack_words(a, b)
+        for chunk, words, _, c in held:
             count = np.fromiter(map(total.__getitem__, words), np.uint32, len(words))
-            rank = np.fromiter((place.get(w, 0) for w in words), np.uint32, len(words))
+            rank = np.fromiter(map(place.get, words, repeat(0)), np.uint32, len(words))
             yield chunk, part, 2, None, pickle.dumps((pack(count, squeeze), pack(rank, squeeze)), 5), c
 
     def resolve(rows: Iterator[tuple]) -> Iterator[tuple]:
@@ -68,7 +69,7 @@ def _counter(top: int):
                 if held:
                     yield from flush(here, held)
                 held, here = [], part
-            held.append((chunk, a, b, c))
+            held.append((chunk, *unpack_words(a, b), c))
         if held:
             yield from flush(here, held)
 
@@ -140,7 +141,7 @@ def trained(streams: DataFrame, vocab: Vocabulary, shape: Shape, rounds: int = R
     parts = max(1, -(-tokens // TOKENS_PER_PART))
     dealt = streams.repartition(parts, F.xxhash64("words", "lens"))
     for k in range(rounds):
-        flat, rate = g.flat.copy(), 0.01 / (1 + k)
+        flat, rate = g.flat.copy(), RATE / (1 + k)
 
         def teach(batches: Iterator[pa.RecordBatch], flat: np.ndarray = flat, rate: float = rate) -> Iterator[pa.RecordBatch]:
             t = Trainer(Gru(shape, flat.copy()), rate)
@@ -173,7 +174,7 @@ def _weights(flat: np.ndarray, n: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([flat.tobytes()], pa.binary()), pa.array([n], pa.int64())], names=["w", "n"])
 
 
-def lm_scores(docs: DataFrame, fold: int = 2, of: int = 7, shape: Shape | None = None, chunk_chars: int = 16_000_000) -> DataFrame:
+def lm_scores(docs: DataFrame, fold: int = 2, of: int = 7, shape: Shape | None = None, chunk_chars: int = 24_000_000) -> DataFrame:
     """One row per row of ``docs``: counts, a smoothed unigram score and the model's score.
 
     Returns doc_id, held_out (crc32 of the id modulo ``of`` is ``fold``: not learned
