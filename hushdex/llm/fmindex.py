@@ -272,8 +272,8 @@ def shard_hits(texts: list[str], blocks: list[Broadcast]) -> tuple[np.ndarray, n
             lo, hi = np.searchsorted(wins, which), np.searchsorted(wins, which, side="right")
             for d, a, b in zip(doc.tolist(), lo.tolist(), hi.tolist(), strict=True):
                 found[d].update(p.items[i] for i in items[a:b].tolist())
-        if len(blocks) > 1:
-            block.unpersist()
+        if len(blocks) > 1:  # a worker's copy; the next use loads it again
+            vars(block).pop("_value", None)
     return hit, lens, found
 
 

@@ -98,7 +98,7 @@ class Cascade:
 
     def __init__(self, listed: Iterable[str], universe: int) -> None:
         self.listed = frozenset(listed)
-        first = min(0.5, len(self.listed) / max(1, universe))
+        first = min(0.5, max(1, len(self.listed)) / max(1, universe))
         self.levels = [self._filled(self.listed, first, 1)]
 
     @staticmethod
