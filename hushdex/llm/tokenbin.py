@@ -23,8 +23,8 @@ from hushdex.llm import vbyte
 from hushdex.llm.bpe import WS, byte_alphabet
 from hushdex.llm.common import arrow_schema, partitions_for, remove, scratch_path, slices, to_batches
 
-#: Entries of a worker's memos of words and of stems; a full one starts anew.
-MEMO_WORDS, MEMO_STEMS = 700_000, 500_000
+#: Entries of a worker's word memo; a full one starts anew.
+MEMO_WORDS = 900_000
 #: Ids in a block, unless one document has more.
 BLOCK_IDS = 250_000
 
@@ -55,20 +55,19 @@ class WordIds(dict):
         self.code = "I" if self.wide else "H"
         self.dtype = "<u4" if self.wide else "<u2"
         self.chars = {b: c for c, b in byte_alphabet().items()}
-        self.stems: dict[str, bytes] = {}
 
     def pack(self, ids: list[int]) -> bytes:
         return array(self.code, ids).tobytes()
 
     def __missing__(self, word: str) -> bytes:
         if m := _PLAIN.fullmatch(word):
-            low = m[1].lower()
-            ids = self.stems.get(low)
-            if ids is None:
-                pieces = self.tok.model.tokenize(low.encode().decode("latin-1").translate(self.chars))
-                ids = self.stems[low] = self.pack([t.id for t in pieces])
-            if m[2]:
-                ids += self[m[2]]
+            stem, marks = m.groups()
+            low = stem.lower()
+            if low == word:
+                chars = low if low.isascii() else low.encode().decode("latin-1").translate(self.chars)
+                ids = array(self.code, [t.id for t in self.tok.model.tokenize(chars)]).tobytes()
+            else:
+                ids = self[low] + self[marks] if marks else self[low]
         else:
             ids = self.pack(self.tok.encode(word, add_special_tokens=False).ids)
         self[word] = ids
@@ -77,8 +76,6 @@ class WordIds(dict):
     def trim(self) -> None:
         if len(self) > MEMO_WORDS:
             self.clear()
-        if len(self.stems) > MEMO_STEMS:
-            self.stems.clear()
 
 
 def worker_ids(path: str) -> WordIds:
