@@ -58,5 +58,58 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in made} | {"pipeline": corpus_pipeline.run}
 
 
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def _words(x: str) -> str:
+    """Lower-cased runs of digits, letters and non-ASCII characters."""
+    return rf"regexp_extract_all(translate(coalesce({x}, ''), '{_UPPER}', '{_LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+
+def _op1_sql() -> str:
+    rules = ", ".join(f"('{r.host}', '{r.path}', '{r.verdict}')" for r in urlfilter.RULES)
+    blocked = ", ".join(f"('{h}')" for h in urlfilter.BLOCKED_HOSTS)
+    return rf"""
+WITH a AS (SELECT row_number() OVER () AS n, page_id, CASE WHEN strpos(coalesce(url, ''), '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+u AS (SELECT n, page_id, translate(regexp_extract(rest, '^[^/?#]*'), '{_UPPER}', '{_LOWER}') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM a),
+r(rhost, rpath, verdict) AS (VALUES {rules}),
+b(bhost) AS (VALUES {blocked}),
+fit AS (SELECT n, rhost || rpath AS rule, verdict, row_number() OVER (PARTITION BY n ORDER BY length(rhost || rpath) DESC, rhost || rpath) AS k
+  FROM u JOIN r ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath)),
+listed AS (SELECT DISTINCT n FROM u JOIN b ON host = bhost OR ends_with(host, '.' || bhost))
+SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN listed.n IS NULL THEN 'allow' ELSE 'block' END) AS verdict, listed.n IS NOT NULL AS listed
+FROM u LEFT JOIN fit ON u.n = fit.n AND k = 1 LEFT JOIN listed ON u.n = listed.n"""
+
+
+def _op6_sql() -> str:
+    return f"""
+WITH RECURSIVE d AS (SELECT doc_id, {_words("text")} AS w FROM documents),
+c AS (SELECT array_to_string(w, ' ') AS key, any_value(w) AS w, count(*) AS n_copies, min(doc_id) AS rep FROM d WHERE len(w) > 0 GROUP BY 1),
+s AS (SELECT rep, unnest(list_distinct(list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda i: array_to_string(w[i:i + 4], ' ')))) AS g FROM c),
+z AS (SELECT rep, count(*) AS n FROM s GROUP BY rep),
+p AS (SELECT a.rep AS x, b.rep AS y, count(*) AS o FROM s a JOIN s b ON a.g = b.g AND a.rep <> b.rep GROUP BY 1, 2),
+l AS (SELECT x, y FROM p JOIN z a ON a.rep = x JOIN z b ON b.rep = y WHERE o >= 0.8 * (a.n + b.n - o)),
+reach(x, y) AS (SELECT rep, rep FROM c UNION SELECT reach.x, l.y FROM reach JOIN l ON reach.y = l.x),
+top AS (SELECT x, min(y) AS class_id FROM reach GROUP BY x),
+k AS (SELECT x, count(*) AS n_links FROM l GROUP BY x)
+SELECT doc_id, coalesce(class_id, doc_id) AS class_id, coalesce(n_links, 0) AS n_links, coalesce(n_copies, 1) AS n_copies
+FROM d LEFT JOIN c ON len(d.w) > 0 AND key = array_to_string(d.w, ' ') LEFT JOIN top ON top.x = rep LEFT JOIN k ON k.x = rep"""
+
+
+def _op8_sql() -> str:
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS n, doc_id, {_words("text")} AS w FROM documents),
+i AS (SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item, {_words("text")} AS w FROM benchmark),
+q AS (SELECT DISTINCT item, least(10, len(w)) AS m, unnest(list_transform(range(1, len(w) - least(10, len(w)) + 2), lambda k: array_to_string(w[k:k + least(10, len(w)) - 1], ' '))) AS g FROM i WHERE len(w) > 0),
+m AS (SELECT DISTINCT m FROM q),
+v AS (SELECT n, m, unnest(range(1, len(w) - m + 2)) AS k, unnest(list_transform(range(1, len(w) - m + 2), lambda k: array_to_string(w[k:k + m - 1], ' '))) AS g FROM d, m WHERE len(w) >= m),
+o AS (SELECT n, v.m AS m, k, item FROM v JOIN q ON v.m = q.m AND v.g = q.g),
+h AS (SELECT n, count(DISTINCT p) AS n_hit FROM (SELECT n, unnest(range(k, k + m)) AS p FROM (SELECT DISTINCT n, m, k FROM o)) GROUP BY n),
+t AS (SELECT n, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT n, item FROM o) GROUP BY n)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN h USING (n) LEFT JOIN t USING (n)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL for the operators that it expresses."""
+    return {"op1_urlfilter": _op1_sql(), "op6_nearjoin": _op6_sql(), "op8_decontamination": _op8_sql()}
