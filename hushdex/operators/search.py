@@ -35,7 +35,8 @@ class Thresholds:
 
 def postings_of(entries: DataFrame, *keep: str) -> DataFrame:
     """(kind, token, entry_id, *keep) rows of entries with words and trigrams."""
-    both = F.array_union(F.transform("words", lambda t: F.struct(F.lit(WORD).alias("kind"), t.alias("token"))), F.transform("trigrams", lambda t: F.struct(F.lit(TRIGRAM).alias("kind"), t.alias("token"))))
+    kind = lambda name, k: F.transform(F.array_distinct(name), lambda t: F.struct(F.lit(k).alias("kind"), t.alias("token")))
+    both = F.concat(kind("words", WORD), kind("trigrams", TRIGRAM))
     return entries.select("entry_id", *keep, F.explode(both).alias("p")).select("p.kind", "p.token", "entry_id", *keep)
 
 
