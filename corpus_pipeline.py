@@ -39,7 +39,8 @@ def redact_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, with digests of the ids and of the decoded text."""
     ship(spark)
-    return bpe.bpe_roundtrip(docs, public_tokenizers.path("byte_bpe_50k.json"), keep_ids=True)
+    # Shorter chunks than the operator's own: the workers have served four stages before.
+    return bpe.bpe_roundtrip(docs, public_tokenizers.path("byte_bpe_50k.json"), keep_ids=True, chunk_chars=8_000_000)
 
 
 STAGES = [

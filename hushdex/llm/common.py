@@ -67,8 +67,17 @@ def bucketed(df: DataFrame, name: str, key: str) -> DataFrame:
     return spark.table(table)
 
 
+#: Rows of an Arrow batch: texts are long, and a batch exists in the JVM and in Python at once.
+BATCH_ROWS = 1_000
+
+
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors, once for each application."""
+    """Send this package to the executors, once for each application.
+
+    Also makes Arrow batches shorter, unless the session has a number of its own.
+    """
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return
