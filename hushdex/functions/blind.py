@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hushdex.functions import extract, keys, tokens
+from hushdex.sources.local import frame
 
 BLIND_SET = "words array<string>, trigrams array<string>"
 _HEX = r"\A[0-9a-f]{64}\z"
@@ -24,8 +25,7 @@ def hmac_hex(token: Column, ipad: Column, opad: Column) -> Column:
 
 def key_table(spark: SparkSession, by_index: dict[str, bytes]) -> DataFrame:
     """(index, ipad, opad) rows. Joined as data, so that no key shows in a plan."""
-    rows = [(name, bytearray(i), bytearray(o)) for name, (i, o) in ((n, keys.pads(k)) for n, k in by_index.items())]
-    return spark.createDataFrame(rows, "index string, ipad binary, opad binary")
+    return frame(spark, [(name, *keys.pads(k)) for name, k in by_index.items()], "index string, ipad binary, opad binary")
 
 
 def blinded(df: DataFrame, token_set: Column, key_rows: DataFrame, out: str = "tokens") -> DataFrame:

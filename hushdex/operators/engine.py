@@ -13,6 +13,7 @@ from hushdex.errors import EntryNotFound, IndexExists, IndexNotFound, InvalidArg
 from hushdex.functions import blind, extract, keys, tokens
 from hushdex.operators import search as ops
 from hushdex.plans.guard import Guard
+from hushdex.sources.local import frame
 from hushdex.sources.store import Manifest, Store
 
 _NAME = re.compile(r"[A-Za-z0-9_-]{1,255}")
@@ -134,7 +135,7 @@ class Engine:
     def catalog(self) -> DataFrame:
         """name, created_at, tokenizer_version, entry_count; ordered by name."""
         rows = [(m.name, m.created_at, m.tokenizer_version, m.entry_count) for n in self.names() if (m := self.store.load(n))]
-        return self.spark.createDataFrame(rows, "name string, created_at bigint, tokenizer_version int, entry_count bigint")
+        return frame(self.spark, rows, "name string, created_at bigint, tokenizer_version int, entry_count bigint")
 
     # -- tokens -------------------------------------------------------------------
 
@@ -143,8 +144,11 @@ class Engine:
         return blind.blinded(rows.withColumn("index", F.lit(name)), tokens.token_set(text), table).drop("index")
 
     def _blind_text(self, name: str, text: str) -> tuple[list[str], list[str]]:
-        """Token set of one short text, by the same column expressions."""
-        row = self._blinded(name, self.spark.createDataFrame([(text,)], "text string"), F.col("text")).first()
+        """Token set of one short text. ASCII needs no Unicode rules and so no Spark;
+        other texts go through the same column expressions as entries do."""
+        if text.isascii():
+            return blind.BlindKey(self.store.key(name)).tokenize(text)
+        row = self._blinded(name, frame(self.spark, [(text,)], "text string"), F.col("text")).first()
         return list(row["tokens"]["words"]), list(row["tokens"]["trigrams"])
 
     @staticmethod
@@ -177,7 +181,7 @@ class Engine:
             else:
                 m = self._current(name)
                 words, trigrams = self._blind_text(name, extract.text_of(self._decode(data), field))
-            rows = self.spark.createDataFrame([(entry, words, trigrams)], "entry_id string, words array<string>, trigrams array<string>")
+            rows = frame(self.spark, [(entry, words, trigrams)], "entry_id string, words array<string>, trigrams array<string>")
             _, rejected = self._add(m, rows)
             if rejected.first():
                 raise InvalidArgument(f"index '{name}' is full: {self.config.max_entries_per_index} entries")
@@ -193,7 +197,7 @@ class Engine:
         old = self.store.entries(m).select("entry_id", F.col("version").alias("old"))
         rows = rows.join(old, "entry_id", "left").persist()
         fresh = rows.where("old is null").select("entry_id")
-        none = self.spark.createDataFrame([], "entry_id string")
+        none = frame(self.spark, [], "entry_id string")
         rejected = none
         most = self.config.max_entries_per_index
         added = fresh.count()
@@ -253,7 +257,7 @@ class Engine:
     def delete(self, name: str, entry: str, actor: str | None = None) -> None:
         self.guard.allow(name, "delete", actor)
         with self.guard.audited("DELETE", f"{name}/{entry}", actor):
-            _, many = self._remove(self._get(name), self.spark.createDataFrame([(entry,)], "entry_id string"))
+            _, many = self._remove(self._get(name), frame(self.spark, [(entry,)], "entry_id string"))
             if not many:
                 raise EntryNotFound(name, entry)
 
@@ -267,7 +271,7 @@ class Engine:
         """Remove entries that are not in ``valid``; returns how many there were."""
         with self.guard.audited("RECONCILE", f"{name}/*", actor):
             m = self._get(name)
-            ids = valid if isinstance(valid, DataFrame) else self.spark.createDataFrame([(v,) for v in valid], "entry_id string")
+            ids = valid if isinstance(valid, DataFrame) else frame(self.spark, [(v,) for v in valid], "entry_id string")
             if not allow_empty and ids.isEmpty():
                 raise InvalidArgument("no valid ids: this would remove all entries")
             orphans = self.store.entries(m).select("entry_id").join(ids.select("entry_id"), "entry_id", "left_anti")

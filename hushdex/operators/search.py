@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hushdex.functions.tokens import TRIGRAM, WORD
+from hushdex.sources.local import frame
 
 MODES = ("exact", "contains", "prefix", "fuzzy")
 #: Query tokens up to which the filter is also written out, to skip row groups of sorted postings.
@@ -65,11 +66,10 @@ def scored(postings: DataFrame, mode: str, words: list[str], trigrams: list[str]
     """
     kind, wanted, bounded = plan_of(mode, words, trigrams)
     total = len(wanted)
-    spark = postings.sparkSession
     counts: dict[str, int] = {}
     for t in wanted:
         counts[t] = counts.get(t, 0) + 1
-    query = spark.createDataFrame(list(counts.items()), "token string, uses int")
+    query = frame(postings.sparkSession, list(counts.items()), "token string, uses int")
     rows = postings.where(F.col("kind") == kind)
     if 0 < len(counts) <= PUSHED_TOKENS:
         rows = rows.where(F.col("token").isin(list(counts)))

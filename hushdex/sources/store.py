@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from hushdex.errors import StoreError
 from hushdex.operators.search import postings_of
+from hushdex.sources.local import frame
 
 ENTRY = "entry_id string, version bigint, deleted boolean, words array<string>, trigrams array<string>"
 POSTING = "kind string, token string, entry_id string"
@@ -123,7 +124,7 @@ class Store:
     def _all(self, m: Manifest, part: str, ddl: str) -> DataFrame:
         frames = [self._segment(m, n, part, ddl).withColumn("segment", F.lit(n)) for n in m.segments]
         if not frames:
-            return self.spark.createDataFrame([], ddl + ", segment int")
+            return frame(self.spark, [], ddl + ", segment int")
         out = frames[0]
         for f in frames[1:]:
             out = out.unionByName(f)
