@@ -333,3 +333,18 @@ def test_pipeline(spark, tmp_path, toxic_tables):
     assert set(seen["bpe"]) == set(seen["pii"]) == set(seen["near_duplicates"])
     got = sorted((r["doc_id"] or -1, r["ids_sha256"]) for r in cp.run(spark, str(tmp_path)).collect())
     assert got == sorted((d or -1, r["ids_sha256"]) for d, r in seen["bpe"].items())
+
+
+def test_pipeline_on_nothing_and_on_nulls(spark, tmp_path):
+    import corpus_pipeline as cp
+
+    columns = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+    spark.createDataFrame([], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for rows, left in (([], 0), ([(None, None, None, None, None)] * 2 + [(1, None, None, None, None), (1, "", "x", "y", 0)], 4)):
+        docs = spark.createDataFrame(rows, columns)
+        docs.write.mode("overwrite").parquet(f"{tmp_path}/documents.parquet")
+        for name, stage in cp.STAGES[:-1]:
+            out = stage(spark, docs, str(tmp_path))
+            assert out.columns == docs.columns and out.count() == left, name
+        assert cp.run(spark, str(tmp_path)).count() == left
