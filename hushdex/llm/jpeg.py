@@ -90,6 +90,8 @@ def lookup(bits: list[int], symbols: bytes, dc: bool) -> np.ndarray:
 
 # -- bytes as coefficients -----------------------------------------------------
 
+#: Blocks that are coded at once.
+STRETCH = 12_000
 #: Bytes by falling frequency in running text: they get the coefficients 0, 1, -1, 2, -2, ...
 COMMON = " enthaoirsdluchgmfwybpv,.k".encode()
 
@@ -137,7 +139,7 @@ def encode_payloads(payloads: list[bytes], sizes: list[int]) -> list[bytes]:
         w = int(np.ceil(np.sqrt(n)))
         h = -(-n // w)
         dims.append((w, h))
-        v = np.zeros((w * h, 64), np.int64)
+        v = np.zeros((w * h, 64), np.int16)
         v[:n] = _VALUES[np.frombuffer(p, np.uint8)].reshape(n, 64)
         grids.append(v)
     many = np.array([len(g) for g in grids])
@@ -153,7 +155,26 @@ def encode_payloads(payloads: list[bytes], sizes: list[int]) -> list[bytes]:
 
 
 def _scans(v: np.ndarray, many: np.ndarray) -> tuple[bytes, np.ndarray]:
-    """Entropy-coded segments, a restart interval for each block."""
+    """Entropy-coded segments, a restart interval for each block, and where each image ends.
+
+    Blocks are independent, so long images are coded a stretch of blocks at a time.
+    """
+    n = len(v)
+    last = np.zeros(n, bool)
+    last[np.cumsum(many) - 1] = True
+    number = np.arange(n) - np.repeat(np.cumsum(many) - many, many)
+    parts, ends, size = [], [], 0
+    for a in range(0, n, STRETCH):
+        b = a + STRETCH
+        data, end = _stretch(v[a:b].astype(np.int64), last[a:b], number[a:b])
+        parts.append(data)
+        ends.append(end + size)
+        size += len(data)
+    return b"".join(parts), np.concatenate(ends)[last]
+
+
+def _stretch(v: np.ndarray, last: np.ndarray, number: np.ndarray) -> tuple[bytes, np.ndarray]:
+    """Segments of some blocks with the markers behind them, and where each segment ends."""
     n = len(v)
     size = _BITS[v + 256]
     extra = np.where(v < 0, v + (np.int64(1) << size.astype(np.int64)) - 1, v).astype(np.uint64)
@@ -184,20 +205,17 @@ def _scans(v: np.ndarray, many: np.ndarray) -> tuple[bytes, np.ndarray]:
     raw = _bits(val.ravel()[used], length.ravel()[used].astype(np.int64))[: int(ends[-1])]
     # A zero byte after each 0xFF; a restart marker after each block but an image's last.
     stuffed = np.cumsum(raw == 0xFF)
-    last = np.zeros(n, bool)
-    last[np.cumsum(many) - 1] = True
     marks = np.cumsum(~last) * 2
     first = np.concatenate(([0], ends[:-1]))
     shift = np.repeat(np.concatenate(([0], marks[:-1])), ends - first)
     place = np.arange(len(raw)) + shift
     place[1:] += stuffed[:-1]
     block_end = ends + stuffed[ends - 1] + np.concatenate(([0], marks[:-1]))
-    out = np.zeros(int(block_end[-1]), np.uint8)
+    out = np.zeros(int(block_end[-1] + 2 * (not last[-1])), np.uint8)
     out[place] = raw
-    number = np.arange(n) - np.repeat(np.cumsum(many) - many, many)
     m = block_end[~last]
     out[m], out[m + 1] = 0xFF, 0xD0 + number[~last] % 8
-    return out.tobytes(), block_end[last]
+    return out.tobytes(), block_end
 
 
 def _bits(val: np.ndarray, length: np.ndarray) -> np.ndarray:

@@ -21,6 +21,14 @@ def test_payload_round_trip(items):
         assert jpeg.payload_of(im, coef) == (len(x), jpeg.padded(x))
 
 
+def test_long_payloads_are_coded_in_stretches(monkeypatch):
+    items = [b"some words \xff\x00" * n for n in (1, 900, 40)]
+    make = lambda: jpeg.encode_payloads([jpeg.padded(x) for x in items], [len(x) for x in items])
+    whole = make()
+    monkeypatch.setattr(jpeg, "STRETCH", 7)
+    assert make() == whole
+
+
 def test_padding():
     assert [len(jpeg.padded(bytes(n))) for n in (0, 1, 64, 65)] == [64, 64, 64, 128]
 
