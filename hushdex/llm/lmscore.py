@@ -23,9 +23,6 @@ from hushdex.llm.gru import OTHER, Gru, Shape, Trainer, lanes_of, score
 from hushdex.llm.vbyte import pack, unpack
 from hushdex.llm.wordtable import by_chunk, chunked, resolved, squeeze, unpack_words, unsqueeze
 
-#: One training document in so many teaches the recurrent weights (the counts take
-#: all); chosen by the id's checksum, so the share is the same at every size.
-TEACH = 14
 #: Training tokens of a partition, passes of averaging, and lanes for scoring.
 TOKENS_PER_PART, ROUNDS, LANES = 600_000, 2, 256
 #: Step size of the first pass; each further one takes a smaller.
@@ -116,7 +113,7 @@ def vocabulary(results: DataFrame, docs: DataFrame, fold: int, of: int, top: int
 
 
 def lessons(blocks: DataFrame, results: DataFrame, vocab: Vocabulary, fold: int, of: int) -> DataFrame:
-    """Vocabulary streams of the documents that teach, a row for each chunk."""
+    """Vocabulary streams of all training documents, whole documents in rows of about a partition's tokens."""
     ddl = "chunk string, n bigint, words binary, lens binary"
     arrow = arrow_schema(blocks.sparkSession, ddl)
 
@@ -124,10 +121,16 @@ def lessons(blocks: DataFrame, results: DataFrame, vocab: Vocabulary, fold: int,
         def rows() -> Iterator[tuple]:
             for k, (heads, lens, numbers, got) in enumerate(groups):
                 _, number = vocab.words(1 + int(numbers.max(initial=0)), got)
-                crc = id_fold(heads, of * TEACH)
-                take = (crc % of != fold) & (crc // of == 0)
+                take = id_fold(heads, of) != fold
                 stream = number[numbers[np.repeat(take, lens)]].astype("<u2")
-                yield str(k), len(stream) + int(take.sum()), stream.tobytes(), lens[take].astype("<i8").tobytes()
+                size = lens[take].astype("<i8")
+                after = np.cumsum(size + 1)
+                cuts = np.flatnonzero(np.diff((after - 1) // TOKENS_PER_PART)) + 1
+                at = 0
+                for some in np.split(size, cuts):
+                    n = int(some.sum())
+                    yield str(k), n + len(some), stream[at : at + n].tobytes(), some.tobytes()
+                    at += n
 
         yield from to_batches(rows(), arrow)
 

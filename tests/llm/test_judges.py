@@ -301,6 +301,19 @@ def test_lm_scores(spark):
     assert lmscore.lm_scores(docs.where("false")).collect() == []
 
 
+@pytest.mark.parametrize("tokens", [50, 600_000])
+def test_lm_learns_from_all_training_documents(spark, monkeypatch, tokens):
+    monkeypatch.setattr(lmscore, "TOKENS_PER_PART", tokens)
+    taught = []
+    monkeypatch.setattr(lmscore, "trained", lambda streams, vocab, shape: taught.extend(streams.collect()) or gru.Gru.fresh(shape, np.pad(vocab.counts, (0, shape.vocab - len(vocab.counts)))))
+    rows = [(k, " ".join(f"w{j}" for j in range(k % 40)), "x") for k in range(120)] + [(None, "w1 w2", "x")]
+    lmscore.lm_scores(spark.createDataFrame(rows, "doc_id bigint, text string, score string"), chunk_chars=900).collect()
+    learn = [len((t or "").split()) for d, t, _ in rows if fold(d, 7) != 2]
+    assert sorted(n for r in taught for n in np.frombuffer(r["lens"], "<i8").tolist()) == sorted(learn)
+    assert sum(r["n"] for r in taught) == sum(learn) + len(learn)
+    assert all(len(r["words"]) // 2 + len(r["lens"]) // 8 == r["n"] <= tokens + 40 for r in taught)
+
+
 # -- pipeline --------------------------------------------------------------------
 
 
