@@ -147,15 +147,17 @@ def roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         root = new
 
 
-def verify_group(rows: list[tuple[bytes, int, np.ndarray]], threshold: float) -> Iterator[tuple[bytes, int, bytes]]:
-    """(key, links here, a linked key that spans) of the texts of one block pair.
+def verify_group(rows: list[tuple[bytes, int, np.ndarray]], threshold: float, left: int, right: int) -> Iterator[tuple[bytes, int, bytes]]:
+    """(key, links here, a linked key that spans) of the texts of blocks ``left`` and ``right``.
 
     ``rows`` are (key, block, shingles); all of one block are compared with each
-    other, those of two blocks only across.
+    other, those of two blocks only across: nothing if one of the two is empty.
     """
     rows = sorted({k: (k, b, s) for k, b, s in rows}.values(), key=lambda r: (r[1], r[0]))
-    first = [r for r in rows if r[1] == rows[0][1]]
+    first = [r for r in rows if r[1] == left]
     second = rows[len(first) :]
+    if left != right and not (first and second):
+        return
     one, two = [r[2] for r in first], [r[2] for r in second]
     hit = similar(one, two or one, threshold)
     if not second:
@@ -194,19 +196,19 @@ def verified(docs: DataFrame, members: DataFrame, n: int, threshold: float) -> D
     result = arrow_schema(docs.sparkSession, out)
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def groups() -> Iterator[list]:
+        def groups() -> Iterator[tuple]:
             now, some = None, []
             for b in slices(batches):
                 for comp, left, right, key, block, raw in zip(*(c.to_pylist() for c in b.columns), strict=True):
                     if (comp, left, right) != now:
                         if some:
-                            yield some
+                            yield some, *now[1:]
                         now, some = (comp, left, right), []
                     some.append((key, block, np.frombuffer(raw, np.uint64)))
             if some:
-                yield some
+                yield some, *now[1:]
 
-        yield from to_batches((r for g in groups() for r in verify_group(g, threshold)), result)
+        yield from to_batches((r for g, left, right in groups() for r in verify_group(g, threshold, left, right)), result)
 
     # One plan at every size: the members' number grows with the corpus.
     texts = docs.select(F.col("doc_id").alias("rep"), "text").join(members.hint("merge"), "rep").select("text", "key", "comp", "blocks")

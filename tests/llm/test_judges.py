@@ -223,6 +223,19 @@ def test_near_duplicates(spark, monkeypatch, blocks):
     assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == sorted(d for d, c, _, _ in got if d == c)
 
 
+def test_near_duplicates_in_empty_blocks(spark, monkeypatch):
+    monkeypatch.setattr(nearjoin, "BLOCK_SHINGLES", 40)
+    rng = random.Random(11)
+    base = [f"w{k}" for k in range(200)]
+    rows = [(k, varied(rng, base, 1)) for k in range(5)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = sorted(tuple(r) for r in nearjoin.near_duplicates(docs).collect())
+    assert got == sorted(near_brute(rows)) and {r[2] for r in got} == {4}
+    two = [(b"a", 1, np.arange(9, dtype=np.uint64)), (b"b", 1, np.arange(9, dtype=np.uint64))]
+    assert [list(nearjoin.verify_group(two, 0.8, *pair)) for pair in ((0, 1), (1, 2))] == [[], []]
+    assert list(nearjoin.verify_group(two, 0.8, 1, 1)) == [(b"a", 1, b"a"), (b"b", 1, b"a")]
+
+
 def test_near_duplicates_edge_rows(spark):
     rows = [(None, "one two three four five six"), (3, "one two three four five six"), (3, "one two three four five six"), (3, "other words are here now then"), (None, None)]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
