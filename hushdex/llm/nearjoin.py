@@ -15,8 +15,9 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hushdex.llm.common import ALNUM_TABLE, arrow_schema, mix64, saved, shingle_hashes, slices, to_batches, word_hashes
@@ -67,6 +68,15 @@ def content_key(words: bytes) -> bytes | None:
     return hashlib.blake2b(words, digest_size=16).digest() if words else None
 
 
+def key_of(col: str) -> Column:
+    """The content key of a text column."""
+
+    def keys(text: pd.Series) -> pd.Series:
+        return text.map(lambda t: content_key(content(t)))
+
+    return F.pandas_udf(keys, "binary")(F.col(col))
+
+
 def fingerprints(docs: DataFrame, n: int, depth: int) -> DataFrame:
     """doc_id, key (null without words), size in shingles and trie labels of every row."""
     ddl = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, key binary, size int, labels array<bigint>"
@@ -212,6 +222,11 @@ def verified(docs: DataFrame, members: DataFrame, n: int, threshold: float) -> D
 
     # One plan at every size: the members' number grows with the corpus.
     texts = docs.select(F.col("doc_id").alias("rep"), "text").join(members.hint("merge"), "rep").select("text", "key", "comp", "blocks")
+    # Classes whose rows all have a null id: their texts are found by their words.
+    nameless = members.where("rep is null")
+    if not nameless.isEmpty():
+        found = docs.where("doc_id is null").select("text", key_of("text").alias("key")).join(nameless.hint("merge"), "key")
+        texts = texts.unionByName(found.select("text", "key", "comp", "blocks"))
     dealt = texts.mapInArrow(cut, ddl).repartition("comp", "left", "right").sortWithinPartitions("comp", "left", "right", "key")
     return dealt.mapInArrow(check, out)
 

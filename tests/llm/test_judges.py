@@ -245,6 +245,17 @@ def test_near_duplicates_edge_rows(spark):
     assert nearjoin.near_duplicates(docs.where("false")).collect() == []
 
 
+def test_near_duplicates_without_ids(spark):
+    rng = random.Random(12)
+    one, two = [f"a{k}" for k in range(150)], [f"b{k}" for k in range(150)]
+    rows = [(None, varied(rng, one, 1)), (None, varied(rng, one, 1)), (None, varied(rng, two, 1)), (4, varied(rng, two, 1)), (5, "apart")]
+    rows.append(rows[0])
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = [tuple(r) for r in nearjoin.near_duplicates(docs).collect()]
+    order = lambda r: str(r)
+    assert sorted(got, key=order) == sorted(near_brute(rows), key=order)
+
+
 def test_prefix_is_shortened_to_the_recall():
     d = nearjoin.prefix_depth(0.8, 0.999)
     assert 1 - (1 - 0.8**d) ** nearjoin.TREES >= 0.999 > 1 - (1 - 0.8 ** (d + 1)) ** nearjoin.TREES
