@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import hashlib
 import json
-import pickle
 import re
 from array import array
 from collections.abc import Iterator
@@ -19,7 +18,7 @@ from pyspark.sql import DataFrame
 
 from hushdex.llm.common import arrow_schema, to_batches
 from hushdex.llm.vbyte import pack, unpack
-from hushdex.llm.wordtable import by_chunk, chunked, resolved, squeeze, unpack_words, unsqueeze
+from hushdex.llm.wordtable import blobs, by_chunk, chunked, joined, resolved, squeeze, unpack_words, unsqueeze
 
 #: Unicode white space, as the tokenizer's own pattern sees it.
 WS = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -96,11 +95,11 @@ def encode_documents(docs: DataFrame, path: str, chunk_chars: int = 24_000_000)
 
 def _pack_ids(ids: list[bytes]) -> bytes:
     size = np.fromiter(map(len, ids), np.uint32, len(ids)) // 4
-    return pickle.dumps((pack(size, squeeze), pack(np.frombuffer(b"".join(ids), "<u4"), squeeze)), 5)
+    return joined(pack(size, squeeze), pack(np.frombuffer(b"".join(ids), "<u4"), squeeze))
 
 
 def _unpack_ids(b: bytes) -> tuple[np.ndarray, np.ndarray]:
-    size, ids = pickle.loads(b)
+    size, ids = blobs(b)
     return unpack(size, unsqueeze).astype(np.int64), unpack(ids, unsqueeze)
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import ctypes
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -17,16 +18,20 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Folder used when the session names none (single-machine tests only).
+#: Folder used when a session on a single machine names none, as in tests.
 LOCAL_SCRATCH = "file:///tmp/checkpoints"
 
 _shipped: set[str] = set()
 _made: list[tuple[SparkSession, str]] = []
+_tables: list[tuple[SparkSession, str]] = []
 
 
 def scratch_root(spark: SparkSession) -> str:
     """Shared folder for intermediate tables, as the cluster names it."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or LOCAL_SCRATCH).rstrip("/")
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+    return (named or LOCAL_SCRATCH).rstrip("/")
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -45,6 +50,9 @@ def remove(spark: SparkSession, path: str) -> None:
 
 @atexit.register
 def _sweep() -> None:
+    for spark, table in _tables:
+        if spark.sparkContext._jsc is not None:
+            spark.sql(f"DROP TABLE IF EXISTS {table}")
     for spark, path in _made:
         if spark.sparkContext._jsc is not None:
             remove(spark, path)
@@ -64,6 +72,7 @@ def bucketed(df: DataFrame, name: str, key: str) -> DataFrame:
     path = scratch_path(spark, name)
     table = "hushdex_" + path.rpartition("/")[2].replace("-", "_")
     df.write.bucketBy(partitions_for(spark), key).sortBy(key).option("path", path).option("compression", "zstd").saveAsTable(table)
+    _tables.append((spark, table))
     return spark.table(table)
 
 
@@ -83,7 +92,9 @@ def ship(spark: SparkSession) -> None:
         return
     _shipped.add(app)
     root = Path(__file__).resolve().parents[1]
-    made = Path(tempfile.mkdtemp()) / f"{root.name}_{app}.zip"
+    folder = tempfile.mkdtemp()  # executors fetch the file from here as long as the driver lives
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    made = Path(folder) / f"{root.name}_{app}.zip"
     with zipfile.ZipFile(made, "w", zipfile.ZIP_DEFLATED) as z:
         for f in sorted(root.rglob("*.py")):
             z.write(f, f.relative_to(root.parent))

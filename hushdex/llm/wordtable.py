@@ -8,7 +8,7 @@ one partition, whatever the number of its occurrences), and only numbers travel
 back. Rows that move between Spark stages are blocks:
 
     chunk  part  kind  a  b  c
-    ...    -1    0     document ids and word counts | packed numbers
+    ...    -1    0     word counts of documents | packed numbers (and the documents' ids in heads)
     ...    p     1     words of the chunk that hash to partition p
     ...    p     2     what the resolver returned for them
 
@@ -18,7 +18,7 @@ bytes) are never shuffled: the resolved words come to them. A word that occurs i
 
 from __future__ import annotations
 
-import pickle
+import struct
 import zlib
 from collections import defaultdict
 from collections.abc import Callable, Iterator
@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hushdex.llm.common import bucketed, partitions_for, slices
+from hushdex.llm.common import arrow_schema, bucketed, partitions_for, slices
 from hushdex.llm.vbyte import pack, unpack
 
 BLOCK = "chunk string, part int, kind int, a binary, b binary, c binary"
@@ -46,8 +46,22 @@ def unsqueeze(data: bytes) -> bytes:
     return zstandard.ZstdDecompressor().decompress(data)
 
 
-def _rows(rows: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*rows, strict=True), _ARROW, strict=True)], schema=_ARROW)
+def joined(*parts: bytes) -> bytes:
+    """Some byte strings as one; ``blobs`` takes them apart."""
+    return struct.pack(f"<I{len(parts)}Q", len(parts), *map(len, parts)) + b"".join(parts)
+
+
+def blobs(data: bytes) -> list[bytes]:
+    n = struct.unpack_from("<I", data)[0]
+    sizes, at, out = struct.unpack_from(f"<{n}Q", data, 4), 4 + 8 * n, []
+    for size in sizes:
+        out.append(data[at : at + size])
+        at += size
+    return out
+
+
+def _row(row: tuple, schema: pa.Schema = _ARROW) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(row, schema, strict=True)], schema=schema)
 
 
 class Chunk:
@@ -73,7 +87,7 @@ class Chunk:
         order = np.argsort(-freq, kind="stable")
         rank = np.empty(n, np.uint32)
         rank[order] = np.arange(n, dtype=np.uint32)
-        yield name, -1, 0, pickle.dumps((self.heads, lens), 5), pack(rank[flat], squeeze), b""
+        yield name, -1, 0, pack(lens.astype(np.uint32), squeeze), pack(rank[flat], squeeze), b"", self.heads
         if n:
             extra = weigh(self.heads, lens, flat, n)[order] if weigh else None
             del flat
@@ -88,14 +102,14 @@ class Chunk:
                     words = [raw[k] for k in ix.tolist()]
                     size = np.fromiter(map(len, words), np.uint32, len(words))
                     c = pack(np.diff(ix, prepend=0).astype(np.uint32), squeeze)
-                    yield name, p, 1, squeeze(b"".join(words)), pickle.dumps((pack(size, squeeze), None if extra is None else pack(extra[ix].astype(np.uint32), squeeze)), 5), c
+                    yield name, p, 1, squeeze(b"".join(words)), joined(pack(size, squeeze), b"" if extra is None else pack(extra[ix].astype(np.uint32), squeeze)), c, None
 
 
 def unpack_words(a: bytes, b: bytes) -> tuple[list[bytes], np.ndarray | None]:
     """Words of a kind-1 block and their weights, if it has any."""
-    data, (size, extra) = unsqueeze(a), pickle.loads(b)
+    data, (size, extra) = unsqueeze(a), blobs(b)
     ends = np.cumsum(unpack(size, unsqueeze), dtype=np.int64).tolist()
-    return [data[i:j] for i, j in zip([0, *ends], ends, strict=False)], None if extra is None else unpack(extra, unsqueeze)
+    return [data[i:j] for i, j in zip([0, *ends], ends, strict=False)], unpack(extra, unsqueeze) if extra else None
 
 
 def unpack_numbers(c: bytes) -> np.ndarray:
@@ -108,6 +122,8 @@ def chunked(docs: DataFrame, split: Callable[[str], list], head: str = "doc_id",
     ``weigh(heads, lens, flat, n)`` may give each local word a whole number.
     """
     parts = partitions_for(docs.sparkSession)
+    ddl = f"{BLOCK}, heads array<{docs.schema[head].dataType.simpleString()}>"
+    arrow = arrow_schema(docs.sparkSession, ddl)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, k, chunk = TaskContext.get().partitionId(), 0, Chunk()
@@ -116,13 +132,13 @@ def chunked(docs: DataFrame, split: Callable[[str], list], head: str = "doc_id",
                 chunk.add(h, split(t or ""), len(t or ""))
                 if chunk.size >= chunk_chars:
                     for row in chunk.rows(f"{task}.{k}", parts, weigh):
-                        yield _rows([row])
+                        yield _row(row, arrow)
                     k, chunk = k + 1, Chunk()
         if chunk.heads:
             for row in chunk.rows(f"{task}.{k}", parts, weigh):
-                yield _rows([row])
+                yield _row(row, arrow)
 
-    return bucketed(docs.select(F.col(head), F.col(text)).mapInArrow(run, BLOCK), "chunks", "chunk")
+    return bucketed(docs.select(F.col(head), F.col(text)).mapInArrow(run, ddl), "chunks", "chunk")
 
 
 def resolved(blocks: DataFrame, resolve: Callable[[Iterator[tuple]], Iterator[tuple]]) -> DataFrame:
@@ -139,10 +155,10 @@ def resolved(blocks: DataFrame, resolve: Callable[[Iterator[tuple]], Iterator[tu
                 yield r["chunk"], r["part"], r["a"], r["b"], r["c"]
 
         for row in resolve(rows()):
-            yield _rows([row])
+            yield _row(row)
 
     parts = partitions_for(blocks.sparkSession)
-    return blocks.where("kind = 1").repartition(parts, "part").sortWithinPartitions("part", "chunk").mapInArrow(run, BLOCK)
+    return blocks.where("kind = 1").select("chunk", "part", "kind", "a", "b", "c").repartition(parts, "part").sortWithinPartitions("part", "chunk").mapInArrow(run, BLOCK)
 
 
 def by_chunk(blocks: DataFrame, results: DataFrame, use: Callable[[Iterator[tuple]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
@@ -154,11 +170,11 @@ def by_chunk(blocks: DataFrame, results: DataFrame, use: Callable[[Iterator[tupl
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def groups() -> Iterator[tuple]:
             for b in slices(batches, 1):
-                r = b.to_pylist()[0]
+                r = b.to_pylist()[0]  # one chunk's numbers and words
                 got = [(unpack_numbers(x["c"]), x["b"], x["part"]) for x in sorted(r["got"] or [], key=lambda x: x["part"])]
-                yield (*pickle.loads(r["a"]), unpack(r["b"], unsqueeze), got)
+                yield r["heads"], unpack(r["a"], unsqueeze).astype(np.int64), unpack(r["b"], unsqueeze), got
 
         yield from use(groups())
 
     words = results.where("kind = 2").groupBy("chunk").agg(F.collect_list(F.struct("part", "b", "c")).alias("got"))
-    return blocks.where("kind = 0").select("chunk", "a", "b").join(words.hint("merge"), "chunk", "left").select("a", "b", "got").mapInArrow(run, schema)
+    return blocks.where("kind = 0").select("chunk", "heads", "a", "b").join(words.hint("merge"), "chunk", "left").select("heads", "a", "b", "got").mapInArrow(run, schema)

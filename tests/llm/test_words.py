@@ -25,6 +25,7 @@ def docs_of(spark, texts=TEXTS):
     return spark.createDataFrame([(k, t, "clash", k) for k, t in enumerate(texts)], DOCS)
 
 
+@settings(deadline=None)
 @given(st.lists(st.integers(0, 2**32 - 1), max_size=40))
 def test_vbyte_round_trip(values):
     v = np.array(values, np.uint32)
