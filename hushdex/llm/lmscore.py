@@ -27,6 +27,11 @@ from hushdex.llm.wordtable import blobs, by_chunk, chunked, joined, resolved, sq
 
 #: Training tokens of a lesson row, and lanes for scoring.
 TOKENS_PER_ROW, LANES = 600_000, 512
+#: Training tokens of a partition for each vocabulary entry: weights that travel stay
+#: in proportion to what they were learned from.
+TOKENS_PER_ENTRY = 400
+#: Weight vectors that one task adds up.
+FAN_IN = 16
 #: Sixteenths of the training documents that each round learns from: short rounds
 #: first, so that partitions part from each other only when they agree on the most.
 ROUNDS = (1, 1, 2, 4, 8)
@@ -185,7 +190,7 @@ def trained(streams: DataFrame, vocab: Vocabulary, shape: Shape, rounds: tuple[i
     for size in rounds:
         turns = range(turn, turn + size)
         turn += size
-        left = -(-sum(tokens.get(t, 0) for t in turns) // TOKENS_PER_ROW)
+        left = -(-sum(tokens.get(t, 0) for t in turns) // max(TOKENS_PER_ROW, TOKENS_PER_ENTRY * shape.vocab))
         if not left:
             continue
 
@@ -194,26 +199,25 @@ def trained(streams: DataFrame, vocab: Vocabulary, shape: Shape, rounds: tuple[i
             for b in slices(batches, 1):
                 t.train(np.frombuffer(b.column(0)[0].as_py(), kind).astype(np.int32), np.frombuffer(b.column(1)[0].as_py(), "<i8"))
             if t.tokens:
-                yield _weights(np.concatenate((t.g.flat, t.past)).astype(np.float64) * t.tokens, t.tokens)
+                yield _weights(np.concatenate((t.g.flat, t.past)), t.tokens)
 
         def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total, n = None, 0
             for b in slices(batches, 1):
-                w = np.frombuffer(b.column(0)[0].as_py(), np.float64)
-                total, n = (w.copy() if total is None else total + w), n + b.column(1)[0].as_py()
+                many = b.column(1)[0].as_py()
+                w = np.frombuffer(b.column(0)[0].as_py(), np.float32) * np.float64(many)
+                total, n = (w if total is None else total + w), n + many
             if n:
-                yield _weights(total, n)
+                yield _weights((total / n).astype(np.float32), n)
 
         # Rows are about as long as one another and are dealt out in turn.
         own = streams.where(F.col("turn").between(turns[0], turns[-1])).select("words", "lens").repartition(left)
         got = own.mapInArrow(teach, "w binary, n bigint")
-        while left > 8:
-            left = -(-left // 16)
+        while left > 1:
+            left = -(-left // FAN_IN)
             got = got.repartition(left).mapInArrow(add, "w binary, n bigint")
-        # Eight vectors at most.
-        sums = got.collect()
-        total = sum(np.frombuffer(r["w"], np.float64) for r in sums) / sum(r["n"] for r in sums)
-        flat, past = np.split(total.astype(np.float32), 2)
+        # One vector.
+        flat, past = np.split(np.frombuffer(got.first()["w"], np.float32), 2)
         g = Gru(shape, flat.copy())
     return g
 
