@@ -18,10 +18,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hushdex.llm.common import arrow_schema, slices, to_batches
+from hushdex.llm.common import arrow_schema, saved, slices, to_batches
 
-#: False positives that a build may gather; the expected number is that of the listed keys.
-MAX_FALSE = 1_000_000
+#: Keys of a level that the driver takes; larger levels are built where the keys lie.
+DRIVER_KEYS = 200_000
+#: Bytes of a stretch of a filter that is built in the cluster.
+STRETCH = 65_536
 
 
 @dataclass(frozen=True)
@@ -73,54 +75,68 @@ def _mixed(x: int) -> int:
 
 
 class Bloom:
-    """Bloom filter with double hashing, salted by its level."""
+    """Bloom filter with double hashing, salted by its level; eight bits to a byte."""
 
     def __init__(self, n: int, rate: float, level: int) -> None:
         self.size = max(64, math.ceil(-n * math.log(rate) / math.log(2) ** 2))
         self.hashes = max(1, round(self.size / max(1, n) * math.log(2)))
         self.level = level
-        self.bits = np.zeros(self.size, bool)
+        self.bits = bytearray(-(-self.size // 8))
 
-    def _places(self, d: tuple[int, int]) -> list[int]:
+    def places(self, d: tuple[int, int]) -> list[int]:
         # Both halves are hashed anew for each level: keys that meet on one must not meet on all.
         a, b = _mixed(d[0] + self.level), _mixed(d[1] - self.level) | 1
         return [((a + k * b) & _MASK) % self.size for k in range(self.hashes)]
 
     def add(self, d: tuple[int, int]) -> None:
-        self.bits[self._places(d)] = True
+        for p in self.places(d):
+            self.bits[p >> 3] |= 1 << (p & 7)
 
     def __contains__(self, d: tuple[int, int]) -> bool:
-        return all(self.bits[p] for p in self._places(d))
+        return all(self.bits[p >> 3] >> (p & 7) & 1 for p in self.places(d))
+
+
+def filled(keys: Iterable[str], n: int, rate: float, level: int) -> Bloom:
+    b = Bloom(n, rate, level)
+    for k in keys:
+        b.add(digest(k))
+    return b
+
+
+def filled_there(keys: DataFrame, n: int, rate: float, level: int) -> Bloom:
+    """The same from a table (key), a stretch of bytes at a time; only the filter itself comes back."""
+    b = Bloom(n, rate, level)
+    ddl = "at bigint, bits binary"
+
+    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = filled((k for x in batches for k in x.column(0).to_pylist()), n, rate, level).bits
+        at = [k for k in range(0, len(part), STRETCH) if any(part[k : k + STRETCH])]
+        for k in at:
+            yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([bytes(part[k : k + STRETCH])], pa.binary())], names=["at", "bits"])
+
+    def either(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, bits = None, np.zeros(0, np.uint8)
+        for x in batches:
+            for at, raw in zip(*(c.to_pylist() for c in x.columns), strict=True):
+                if at == now:
+                    bits |= np.frombuffer(raw, np.uint8)
+                    continue
+                if now is not None:
+                    yield pa.RecordBatch.from_arrays([pa.array([now]), pa.array([bits.tobytes()], pa.binary())], names=["at", "bits"])
+                now, bits = at, np.frombuffer(raw, np.uint8).copy()
+        if now is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([now]), pa.array([bits.tobytes()], pa.binary())], names=["at", "bits"])
+
+    for r in keys.select("key").mapInArrow(own, ddl).repartition("at").sortWithinPartitions("at").mapInArrow(either, ddl).toLocalIterator():
+        b.bits[r["at"] : r["at"] + len(r["bits"])] = r["bits"]
+    return b
 
 
 class Cascade:
     """Exact membership of a list within a known universe."""
 
-    def __init__(self, listed: Iterable[str], universe: int) -> None:
-        self.listed = frozenset(listed)
-        first = min(0.5, max(1, len(self.listed)) / max(1, universe))
-        self.levels = [self._filled(self.listed, first, 1)]
-
-    @staticmethod
-    def _filled(keys: Iterable[str], rate: float, level: int) -> Bloom:
-        keys = list(keys)
-        b = Bloom(len(keys), rate, level)
-        for k in keys:
-            b.add(digest(k))
-        return b
-
-    def passes_first(self, d: tuple[int, int]) -> bool:
-        return d in self.levels[0]
-
-    def close(self, false: set[str]) -> Cascade:
-        """Add the levels below the first, given the universe's false positives."""
-        hold, out = set(false), set(self.listed)
-        while hold:
-            level = self._filled(hold, 0.5, len(self.levels) + 1)
-            self.levels.append(level)
-            hold, out = {k for k in out if digest(k) in level}, hold
-        self.listed = frozenset()  # the filters alone answer from here on
-        return self
+    def __init__(self, levels: list[Bloom]) -> None:
+        self.levels = levels
 
     def __contains__(self, d: tuple[int, int]) -> bool:
         for k, level in enumerate(self.levels):
@@ -129,6 +145,43 @@ class Cascade:
         return len(self.levels) % 2 == 1
 
 
+def first_rate(listed: int, universe: int) -> float:
+    """False positives of the first level, so that about as many pass it as are listed."""
+    return min(0.5, max(1, listed) / max(1, universe))
+
+
+def cascade(levels: list[Bloom], out: Iterable[str], hold: Iterable[str]) -> Cascade:
+    """``levels`` and those below them, for the keys ``hold`` that pass on the wrong side."""
+    levels, hold, out = list(levels), set(hold), set(out)
+    while hold:
+        level = filled(hold, len(hold), 0.5, len(levels) + 1)
+        levels.append(level)
+        hold, out = {k for k in out if digest(k) in level}, hold
+    return Cascade(levels)
+
+
+def passing(keys: DataFrame, level: Bloom) -> DataFrame:
+    """Those of the table's keys that the level lets pass."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            got = [k for k in b.column(0).to_pylist() if digest(k) in level]
+            yield pa.RecordBatch.from_arrays([pa.array(got, pa.string())], names=["key"])
+
+    return keys.mapInArrow(run, "key string")
+
+
+def cascade_there(first: Bloom, out: DataFrame, hold: DataFrame) -> Cascade:
+    """``cascade`` for tables (key) of any size: level by level in the cluster, until
+    the driver can take what is left. A level halves the keys that go on."""
+    levels = [first]
+    while (n := hold.count()) > DRIVER_KEYS or n and out.count() > DRIVER_KEYS:
+        level = filled_there(hold, n, 0.5, len(levels) + 1)
+        levels.append(level)
+        hold, out = saved(passing(out, level), "passing"), hold
+    return cascade(levels, (r["key"] for r in out.collect()) if n else (), (r["key"] for r in hold.collect()))
+
+
 def suffixes(host: str, depth: int) -> list[str]:
     """``host`` and its parent domains, of at most ``depth`` labels, longest first."""
     parts = host.split(".")
@@ -140,51 +193,68 @@ def candidate_keys(host: str, path: str, depth: int, lengths: tuple[int, ...]) -
     return sorted({h + path[:n] for h in suffixes(host, depth) for n in lengths if len(path) >= n}, key=lambda k: (-len(k), k))
 
 
-def build(pages: DataFrame, lists: dict[str, tuple[Iterable[str], int, tuple[int, ...]]]) -> dict[str, Cascade]:
-    """A cascade for each list of (keys, labels at most, path lengths) over all urls."""
-    count = pages.select(F.count(F.lit(1)).alias("n")).first()["n"]
-    made = {name: Cascade(keys, count * depth * len(lengths)) for name, (keys, depth, lengths) in lists.items()}
-    shapes = {name: (depth, lengths) for name, (_, depth, lengths) in lists.items()}
+def keys_of(pages: DataFrame, level: Bloom, depth: int, lengths: tuple[int, ...]) -> DataFrame:
+    """Distinct keys under which a list may hold a url of ``pages``, those that pass the level."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[tuple[str, str]] = set()
+        seen: set[str] = set()
         for b in slices(batches, 4096):
-            rows: set[tuple[str, str]] = set()
+            rows: set[str] = set()
             for url in b.column(0).to_pylist():
                 host, path = split_url(url)
-                for name, (depth, lengths) in shapes.items():
-                    stem = (name, host + " " + path[: max(lengths)])
-                    if stem in seen:
-                        continue
-                    if len(seen) > 200_000:
-                        seen.clear()
-                    seen.add(stem)
-                    rows |= {(name, k) for k in candidate_keys(host, path, depth, lengths) if k not in made[name].listed and made[name].passes_first(digest(k))}
+                stem = host + " " + path[: max(lengths)]
+                if stem in seen:
+                    continue
+                if len(seen) > 200_000:
+                    seen.clear()
+                seen.add(stem)
+                rows |= {k for k in candidate_keys(host, path, depth, lengths) if digest(k) in level}
             if rows:
-                names, keys = zip(*sorted(rows), strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(keys, pa.string())], names=["list", "key"])
+                yield pa.RecordBatch.from_arrays([pa.array(sorted(rows), pa.string())], names=["key"])
 
-    # About as many rows as the lists have keys: the first level's rate is set so.
-    false = pages.select("url").mapInArrow(run, "list string, key string").distinct().limit(MAX_FALSE + 1).collect()
-    if len(false) > MAX_FALSE:
-        raise ValueError("too many false positives of the first level")
-    return {name: c.close({r["key"] for r in false if r["list"] == name}) for name, c in made.items()}
+    return pages.select("url").mapInArrow(run, "key string").distinct()
 
 
-def filter_urls(pages: DataFrame, rules: tuple[Rule, ...] = RULES, blocked: tuple[str, ...] = BLOCKED_HOSTS) -> DataFrame:
+def build(pages: DataFrame, urls: int, listed: Iterable[str] | DataFrame, depth: int, lengths: tuple[int, ...]) -> Cascade:
+    """The cascade of a list over all keys of the ``urls`` urls of ``pages``.
+
+    ``listed`` is a collection or, for lists of any length, a table with a column key.
+    """
+    universe = urls * depth * len(lengths)
+    if isinstance(listed, DataFrame):
+        table = saved(listed.select("key").where("key is not null").distinct(), "listed")
+        n = table.count()
+        first = filled_there(table, n, first_rate(n, universe), 1)
+        # Both sides are about as long as the list.
+        false = keys_of(pages, first, depth, lengths).join(table, "key", "left_anti")
+        return cascade_there(first, table, saved(false, "false"))
+    own = frozenset(listed)
+    first = filled(own, len(own), first_rate(len(own), universe), 1)
+    # About as many rows as the list has keys, of which there are few: the first level's rate is set so.
+    return cascade([first], own, {r["key"] for r in keys_of(pages, first, depth, lengths).collect()} - own)
+
+
+def filter_urls(pages: DataFrame, rules: tuple[Rule, ...] = RULES, blocked: tuple[str, ...] | DataFrame = BLOCKED_HOSTS) -> DataFrame:
     """One row per row of ``pages``: page_id, host, path, rule, verdict, listed.
 
     The longest rule that fits decides. Without one, pages of a blocked host or
-    of its subdomains are blocked and all others allowed. A null url, or one
-    without ``://``, has an empty host and path, fits no rule and is allowed.
-    Repeated and null ids keep their rows; of two fitting rules of one length the
-    first by text wins; an empty table gives an empty result.
+    of its subdomains are blocked and all others allowed. ``blocked`` is a
+    collection of hosts, or a table of any length with a column host. A null url,
+    or one without ``://``, has an empty host and path, fits no rule and is allowed;
+    urls of any length are read whole. Repeated and null ids keep their rows; of two
+    fitting rules of one length the first by text wins; columns other than page_id
+    and url are not read; an empty table gives an empty result.
     """
     depth = max(r.host.count(".") + 1 for r in rules) if rules else 1
     lengths = tuple(sorted({len(r.path) for r in rules})) or (0,)
-    host_depth = max((h.count(".") + 1 for h in blocked), default=1)
-    lists = {v: ([r.key for r in rules if r.verdict == v], depth, lengths) for v in ("allow", "block")} | {"hosts": (blocked, host_depth, (0,))}
-    cascades = build(pages, lists)
+    if isinstance(blocked, DataFrame):
+        host_depth = (blocked.agg(F.max(F.size(F.split("host", r"\."))).alias("n")).first()["n"]) or 1
+        hosts: tuple[str, ...] | DataFrame = blocked.select(F.col("host").alias("key"))
+    else:
+        host_depth, hosts = max((h.count(".") + 1 for h in blocked), default=1), blocked
+    urls = pages.count()
+    cascades = {v: build(pages, urls, [r.key for r in rules if r.verdict == v], depth, lengths) for v in ("allow", "block")}
+    cascades["hosts"] = build(pages, urls, hosts, host_depth, (0,))
     ddl = f"page_id {pages.schema['page_id'].dataType.simpleString()}, host string, path string, rule string, verdict string, listed boolean"
     arrow = arrow_schema(pages.sparkSession, ddl)
 
