@@ -1,13 +1,15 @@
 """Token-id shards: frequency-ranked ids in byte-aligned variable-length coding.
 
-A shard set is a Parquet folder. Each row is one block of whole documents in
-ascending document order: the ids' frequency ranks as control bytes and data
-bytes (see ``vbyte``), the documents' ids and lengths, the shard's number and how
-many ids of the same shard come before the block.
+A shard set is a folder of two Parquet tables. Each row of ``blocks`` is one block
+of whole documents in ascending document order: the ids' frequency ranks as control
+bytes and data bytes (see ``vbyte``), the documents' ids and lengths, the shard's
+number and how many ids of the same shard come before the block. The one row of
+``ranks`` has the id of every rank, so that a set can be read by its path alone.
 """
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from array import array
@@ -22,6 +24,7 @@ from pyspark.sql import functions as F
 from hushdex.llm import vbyte
 from hushdex.llm.bpe import WS, byte_alphabet
 from hushdex.llm.common import arrow_schema, partitions_for, remove, scratch_path, slices, to_batches
+from hushdex.sources.local import frame
 
 #: Entries of a worker's word memo; a full one starts anew.
 MEMO_WORDS = 900_000
@@ -34,7 +37,26 @@ _ODD = "\x1c\x1d\x1e\x1f"
 #: Latin-1 letters, then marks other than the apostrophe: two tokens' worth of text
 #: that only lower-casing changes, so the model can be asked without the rest.
 _PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-&(-/:-@[-`{-~]*)")
+#: Texts that can be a part of such a word.
+_WITHIN = re.compile(_PLAIN.pattern.replace("+", "*", 1))
 _workers: dict[str, WordIds] = {}
+#: What _PLAIN relies on: normalisers that leave such text alone but for its case, and
+#: a first split that parts letters from marks (fixed values of the tokenizer's format).
+_KEEPERS = {"NFC", "Replace", "Lowercase"}
+_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def takes_plain(path: str) -> bool:
+    """Whether a tokenizer file treats plain words in the way that the short cut does."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    norm, pre = spec.get("normalizer") or {}, spec.get("pre_tokenizer") or {}
+    steps = [n.get("type") for n in norm.get("normalizers", [norm])]
+    blank = all(n.get("pattern") == {"Regex": r"\s+"} for n in norm.get("normalizers", []) if n.get("type") == "Replace")
+    parts = pre.get("pretokenizers", [])
+    split = len(parts) == 2 and parts[0].get("pattern") == {"Regex": _SPLIT} and parts[1].get("type") == "ByteLevel" and not parts[1].get("add_prefix_space") and not parts[1].get("use_regex")
+    within = any(_WITHIN.fullmatch(t["content"]) for t in spec.get("added_tokens", []))
+    return "Lowercase" in steps and set(steps) <= _KEEPERS and blank and split and not within and spec["model"]["type"] == "BPE"
 
 
 def words_of(text: str) -> list[str]:
@@ -55,12 +77,13 @@ class WordIds(dict):
         self.code = "I" if self.wide else "H"
         self.dtype = "<u4" if self.wide else "<u2"
         self.chars = {b: c for c, b in byte_alphabet().items()}
+        self.plain = takes_plain(path)
 
     def pack(self, ids: list[int]) -> bytes:
         return array(self.code, ids).tobytes()
 
     def __missing__(self, word: str) -> bytes:
-        if m := _PLAIN.fullmatch(word):
+        if self.plain and (m := _PLAIN.fullmatch(word)):
             stem, marks = m.groups()
             low = stem.lower()
             if low == word:
@@ -129,8 +152,8 @@ def frequency_order(table: DataFrame) -> np.ndarray:
     return np.argsort(-counts["n"].to_numpy(np.int64), kind="stable") if len(counts) else np.zeros(0, np.int64)
 
 
-def write_shards(docs: DataFrame, path: str, end_id: int, out: str) -> np.ndarray:
-    """Encode ``docs`` and write the shard set ``out``; returns the id of every rank."""
+def write_shards(docs: DataFrame, path: str, end_id: int, out: str) -> None:
+    """Encode ``docs`` and write the shard set ``out``."""
     spark = docs.sparkSession
     held = scratch_path(spark, "ids")
     coded = encode_ids(docs, path, end_id)
@@ -174,14 +197,16 @@ def write_shards(docs: DataFrame, path: str, end_id: int, out: str) -> np.ndarra
     # Rows of one id are dealt by their content too, so that a repeated id can be split.
     keys = [F.col("doc_id").asc_nulls_first(), F.xxhash64("ids").asc(), F.col("n").asc()]
     sorted_ids = table.where("kind = 0").repartitionByRange(partitions_for(spark), *keys).sortWithinPartitions(*keys)
-    sorted_ids.select("doc_id", "ids").mapInArrow(run, ddl).write.option("compression", "zstd").parquet(out)
+    sorted_ids.select("doc_id", "ids").mapInArrow(run, ddl).write.option("compression", "zstd").parquet(f"{out}/blocks")
+    frame(spark, [(order.tolist(),)], "ids array<int>").coalesce(1).write.option("compression", "zstd").parquet(f"{out}/ranks")
     remove(spark, held)
-    return order
 
 
-def read_shards(spark: SparkSession, path: str, order: np.ndarray, keep_ids: bool = False) -> DataFrame:
+def read_shards(spark: SparkSession, path: str, keep_ids: bool = False) -> DataFrame:
     """One row per document of a shard set: doc_id, start, n_tokens, ids_crc32."""
-    table = spark.read.parquet(path)
+    table = spark.read.parquet(f"{path}/blocks")
+    # As long as the vocabulary.
+    order = np.array(spark.read.parquet(f"{path}/ranks").first()["ids"], np.int64)
     # One row per shard, of which there are as many as partitions were written.
     sizes = table.groupBy("shard").agg(F.max(F.col("before") + F.aggregate("lens", F.lit(0).cast("bigint"), lambda a, x: a + x)).alias("n")).orderBy("shard").collect()
     ends = np.cumsum([0, *(r["n"] for r in sizes)])
@@ -216,4 +241,5 @@ def token_shards(docs: DataFrame, path: str, end_id: int = 1, keep_ids: bool = F
     """
     spark = docs.sparkSession
     out = scratch_path(spark, "shards")
-    return read_shards(spark, out, write_shards(docs, path, end_id, out), keep_ids)
+    write_shards(docs, path, end_id, out)
+    return read_shards(spark, out, keep_ids)
