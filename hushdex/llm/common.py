@@ -106,13 +106,14 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def carried(docs: DataFrame, fixed: tuple[str, ...] = ("doc_id", "text")) -> tuple[DataFrame, dict[str, str]]:
+def carried(docs: DataFrame, fixed: tuple[str, ...] = ("doc_id", "text"), **more: Column) -> tuple[DataFrame, dict[str, str]]:
     """``docs`` with all columns but ``fixed`` under neutral names, and name -> neutral name.
 
     So columns of any name can be carried through an operator that adds its own.
+    ``more`` are further columns, under their own names behind ``more_``.
     """
     rest = {c: f"carried_{k}" for k, c in enumerate(c for c in docs.columns if c not in fixed)}
-    return docs.select(*fixed, *(F.col(f"`{c}`").alias(n) for c, n in rest.items())), rest
+    return docs.select(*fixed, *(F.col(f"`{c}`").alias(n) for c, n in rest.items()), *(c.alias(f"more_{n}") for n, c in more.items())), rest
 
 
 def restored(got: DataFrame, docs: DataFrame, rest: dict[str, str], text: Column, changed: Column) -> DataFrame:

@@ -24,8 +24,6 @@ from hushdex.llm.common import ALNUM_TABLE, arrow_schema, carried, crc_mod, id_f
 #: Labelled texts that the classifier is fitted on, at most. Taken by the order of
 #: a hash of their ids, so that the choice follows neither storage nor label.
 FIT_ROWS = 20_000
-#: Words and stems in the model at most, those of the largest |z| first.
-MODEL_TOKENS = 50_000
 #: Lengths in bytes of the stems that stand in for unseen words.
 STEMS = (4, 5, 6)
 #: Strength of the prior as a share of the fitted documents; |z| from which a token
@@ -33,6 +31,8 @@ STEMS = (4, 5, 6)
 PRIOR, MIN_Z, MIN_SHARE = 0.05, 2.0, 0.6
 #: What a token without evidence adds: small and negative, so that segments end.
 NEUTRAL = -0.03
+#: Words within which a repeated word is no new evidence: one passage's worth.
+REPEAT = 60
 #: F1 by which a cut may fall short of the best one.
 NEAR_BEST = 0.01
 #: Entries of a worker's word memo.
@@ -149,7 +149,8 @@ def fit(docs: DataFrame, labels: DataFrame, fold: int = 0, of: int = 5) -> Model
     model = sums.select("token", "bad", delta.alias("odds"), F.abs(z).alias("z")).where(F.col("z") >= MIN_Z)
     least = MIN_SHARE * (math.log((1 + PRIOR) / PRIOR) + math.log(n0 / n1))
     model = model.where((F.col("odds") < 0) | (F.col("odds") >= least))
-    picked = model.orderBy(F.desc("z"), "token").limit(MODEL_TOKENS).collect()
+    # Words and stems of FIT_ROWS texts, and of these only those that tell something.
+    picked = model.orderBy(F.desc("z"), "token").collect()
     sums.unpersist()
     # A stem that owes its texts to one word says nothing about other words.
     word: dict[bytes, int] = {}
@@ -225,15 +226,15 @@ class Scorer:
         self.memo = Memo()
 
     def scores(self, words: list[bytes]) -> np.ndarray:
-        """A score for each word; a repeated word is evidence only once."""
+        """A score for each word; one that is repeated within REPEAT words counts once."""
         if len(self.memo) > MEMO_WORDS:
             self.memo.clear()
         out = np.fromiter(map(self.memo.__getitem__, words), np.float64, len(words))
-        seen: set[bytes] = set()
+        last: dict[bytes, int] = {}
         for k in np.flatnonzero(out > 0).tolist():
-            if words[k] in seen:
+            if k - last.get(words[k], -REPEAT - 1) <= REPEAT:
                 out[k] = NEUTRAL
-            seen.add(words[k])
+            last[words[k]] = k
         return out
 
     def total(self, text: str | None) -> tuple[float, list[tuple[int, int, float]], int]:
@@ -246,10 +247,11 @@ class Scorer:
 def toxicity(docs: DataFrame, model: Model, fold: int = 0, of: int = 5, keep: tuple[str, ...] = ()) -> DataFrame:
     """One row per row of ``docs``: doc_id, held_out, score, predicted, n_passages, then ``keep``.
 
-    n_passages counts significant passages. A null or empty text has none and gets
-    the score of total 0. Repeated and null ids keep their rows; an empty table
-    gives an empty result. A model that could not be fitted (no label of either
-    kind) finds no passage.
+    n_passages counts significant passages, each as often as it occurs. A null or
+    empty text has none and gets the score of total 0. Repeated and null ids keep
+    their rows; texts of any length are read whole; columns other than doc_id, text
+    and ``keep`` are not read; an empty table gives an empty result. A model that
+    could not be fitted (no label of either kind) finds no passage.
     """
     extra = "".join(f", `{k}` {docs.schema[k].dataType.simpleString()}" for k in keep)
     ddl = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, held_out boolean, score double, predicted int, n_passages int{extra}"
@@ -273,8 +275,8 @@ def toxicity(docs: DataFrame, model: Model, fold: int = 0, of: int = 5, keep: tu
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Rows of ``docs`` that are not judged toxic, unchanged."""
-    held, rest = carried(docs.withColumn("hushdex_text", F.col("text")))
-    got = toxicity(held, fit(docs, labels), keep=tuple(rest.values())).where("predicted = 0")
-    text = F.col(rest.pop("hushdex_text"))
-    return restored(got, docs, rest, text, F.lit(False))
+    """Rows of ``docs`` that are not judged toxic, unchanged: null texts and repeated
+    rows too, with all columns, whatever their names."""
+    held, rest = carried(docs, text=F.col("text"))
+    got = toxicity(held, fit(docs, labels), keep=(*rest.values(), "more_text")).where("predicted = 0")
+    return restored(got, docs, rest, F.col("more_text"), F.lit(False))
