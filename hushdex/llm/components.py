@@ -14,17 +14,18 @@ MAX_ROUNDS = 60
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """Connect each node's neighbours (the larger ones, or the smaller ones and
     itself) to the smallest node around. Hubs are aggregated before the shuffle;
-    the join's other side has one row for each node."""
+    the join's other side has one row for each node and is a table of its own, so
+    that the rows of a hub can be split over tasks."""
     if large:
         around = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     else:
         around = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     least = around.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
-    joined = around.join(least, "u")
+    joined = around.join(saved(least, "least"), "u")
     if large:
         out = joined.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
-        out = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
+        out = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).union(joined.select("u", F.col("m").alias("v")))
     return out.where("u <> v").distinct()
 
 

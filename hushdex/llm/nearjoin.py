@@ -1,12 +1,17 @@
 """Near duplicates: a MinHash LSH forest, then exact Jaccard similarity.
 
-Texts with the same words are one class. Each class gets MinHash signatures for
-several prefix tries. The matched prefix starts at full depth and is shortened
-until the trees together find a pair at the threshold with the target recall;
-classes that share a trie node of that depth are candidates. Candidate groups
-(connected through shared nodes) are verified exactly: a group's texts meet once,
-a large group in blocks of texts against blocks, and only counts and spanning
-links leave a task, never all pairs of a group.
+Texts with the same words are one class. Each class gets a path through each of
+several prefix tries: a sequence of MinHash values. The tries are one table, sorted
+by trie and path, so that classes below a common node are neighbours and the depth
+of a class's deepest shared node is its longest common prefix with a neighbour.
+The matched prefix starts at full depth. Classes that share a node of that depth
+are candidates, and candidate groups are verified exactly: a group's texts meet
+once, a large group in blocks of texts against blocks, and only counts and spanning
+links leave a task. A verified link of similarity s is found at depth d with the
+probability 1 - (1 - s^d)^trees, so the links found tell how many were missed.
+While that is more than the target recall allows, the prefix is shortened by one
+and the groups that have changed are verified again. It stops at the latest where
+a pair at the threshold itself is found with the target recall.
 """
 
 from __future__ import annotations
@@ -15,28 +20,29 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hushdex.llm.common import ALNUM_TABLE, arrow_schema, mix64, saved, shingle_hashes, slices, to_batches, word_hashes
+from hushdex.llm.common import ALNUM_TABLE, arrow_schema, saved, shingle_hashes, slices, to_batches, word_hashes
 from hushdex.llm.components import components
 
-#: Tries and their full depth.
-TREES, DEPTH = 20, 8
+#: Tries and their full depth; a step of a path takes two bytes.
+TREES, DEPTH, STEP = 20, 8, 2
 #: Texts of a block, and shingles that make a group large enough to be cut into blocks.
 BLOCK_DOCS, BLOCK_SHINGLES = 2_000, 600_000
 #: Shingles in more texts of a block than this are multiplied as a matrix, others by lists.
 COMMON = 32
 
 
-def prefix_depth(threshold: float, recall: float, trees: int = TREES, depth: int = DEPTH) -> int:
-    """Longest prefix by which ``trees`` tries find a pair at ``threshold`` with ``recall``."""
-    for d in range(depth, 1, -1):
-        if 1 - (1 - threshold**d) ** trees >= recall:
-            return d
-    return 1
+def found(s: np.ndarray | float, depth: int) -> np.ndarray | float:
+    """Probability that a pair of similarity ``s`` shares a node of ``depth`` in some trie."""
+    return 1 - (1 - s**depth) ** TREES
+
+
+def shortest_prefix(threshold: float, recall: float) -> int:
+    """Longest prefix by which a pair at ``threshold`` is found with ``recall``."""
+    return next((d for d in range(DEPTH, 1, -1) if found(threshold, d) >= recall), 1)
 
 
 _rng = np.random.default_rng(0x5EED)
@@ -44,19 +50,15 @@ _A = (_rng.integers(0, 1 << 32, TREES * DEPTH, np.uint64) | 1).astype(np.uint32)
 _B = _rng.integers(0, 1 << 32, TREES * DEPTH, np.uint64).astype(np.uint32)
 
 
-def trie_labels(shingles: np.ndarray, depth: int) -> np.ndarray:
-    """The node of each trie at ``depth``, as a hash of tree and prefix."""
+def paths(shingles: np.ndarray) -> list[bytes]:
+    """The path of a text through each trie: the trie's number, then its MinHash values."""
     h = (shingles >> np.uint64(32)).astype(np.uint32)
-    use = (np.arange(TREES)[:, None] * DEPTH + np.arange(depth)).ravel()
-    low = np.full(len(use), 0xFFFFFFFF, np.uint32)
+    low = np.full(TREES * DEPTH, 0xFFFFFFFF, np.uint32)
     for k in range(0, len(h), 1024):
         part = h[k : k + 1024]
-        np.minimum(low, (part * _A[use][:, None] + _B[use][:, None]).min(1), out=low)
-    sig = low.reshape(TREES, depth).astype(np.uint64)
-    label = np.arange(1, TREES + 1, dtype=np.uint64)
-    for k in range(depth):
-        label = mix64(label * np.uint64(0xD6E8FEB86659FD93) + sig[:, k])
-    return label.view(np.int64)
+        np.minimum(low, (part * _A[:, None] + _B[:, None]).min(1), out=low)
+    raw = (low & np.uint32(0xFFFF)).astype(">u2").reshape(TREES, DEPTH)
+    return [bytes([t]) + raw[t].tobytes() for t in range(TREES)]
 
 
 def content(text: str | None) -> bytes:
@@ -68,34 +70,63 @@ def content_key(words: bytes) -> bytes | None:
     return hashlib.blake2b(words, digest_size=16).digest() if words else None
 
 
-def key_of(col: str) -> Column:
-    """The content key of a text column."""
-
-    def keys(text: pd.Series) -> pd.Series:
-        return text.map(lambda t: content_key(content(t)))
-
-    return F.pandas_udf(keys, "binary")(F.col(col))
-
-
-def fingerprints(docs: DataFrame, n: int, depth: int) -> DataFrame:
-    """doc_id, key (null without words), size in shingles and trie labels of every row."""
-    ddl = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, key binary, size int, labels array<bigint>"
+def fingerprints(docs: DataFrame, n: int) -> DataFrame:
+    """doc_id, mark (a hash of the text as it is), key (null without words), size in
+    shingles and paths of every row."""
+    ddl = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, mark bigint, key binary, size int, paths array<binary>"
     arrow = arrow_schema(docs.sparkSession, ddl)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[tuple]:
             for b in slices(batches):
-                for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                for doc, mark, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
                     words = content(text)
                     if not words:
-                        yield doc, None, 0, None
+                        yield doc, mark, None, 0, None
                         continue
                     s = shingle_hashes(word_hashes(words), n)
-                    yield doc, content_key(words), len(s), trie_labels(s, depth)
+                    yield doc, mark, content_key(words), len(s), paths(s)
 
         yield from to_batches(rows(), arrow)
 
-    return docs.select("doc_id", "text").mapInArrow(run, ddl)
+    return docs.select("doc_id", F.xxhash64("text"), "text").mapInArrow(run, ddl)
+
+
+def shared_depths(rows: np.ndarray) -> np.ndarray:
+    """Of paths in order, the depth of the node that each shares with the one before it."""
+    same = rows[1:] == rows[:-1]
+    step = same[:, 1:].reshape(len(same), DEPTH, STEP).all(2) & same[:, :1]
+    return np.logical_and.accumulate(step, 1).sum(1)
+
+
+def forest(classes: DataFrame, least: int) -> DataFrame:
+    """path, key, depth: the part of all tries in which classes share nodes of ``least`` or deeper.
+
+    A partition's first and last path count as shared: their neighbours are elsewhere.
+    """
+    ddl = "path binary, key binary, depth int"
+    arrow = arrow_schema(classes.sparkSession, ddl)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, before = None, DEPTH  # the last row so far, and what it shares with the one before
+        for b in batches:
+            t = pa.Table.from_batches([b] if held is None else [held, b]).combine_chunks().to_batches()
+            if not t:
+                continue
+            b = t[0]
+            wide = 1 + DEPTH * STEP
+            at = b.column(0)
+            raw = np.frombuffer(at.buffers()[2], np.uint8)[at.offset * wide : (at.offset + len(at)) * wide].reshape(-1, wide)
+            shared = np.concatenate(([before], shared_depths(raw)))
+            depth = np.maximum(shared[:-1], shared[1:])
+            keep = np.flatnonzero(depth >= least)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(keep)), b.column(1).take(pa.array(keep)), pa.array(depth[keep], pa.int32())], schema=arrow)
+            held, before = b.slice(b.num_rows - 1), int(shared[-1])
+        if held is not None:
+            yield pa.RecordBatch.from_arrays([held.column(0), held.column(1), pa.array([DEPTH], pa.int32())], schema=arrow)
+
+    every = classes.select(F.explode("paths").alias("path"), "key")
+    return every.repartitionByRange("path", "key").sortWithinPartitions("path", "key").mapInArrow(run, ddl)
 
 
 # -- exact verification ----------------------------------------------------------
@@ -136,12 +167,13 @@ def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def similar(left: list[np.ndarray], right: list[np.ndarray], threshold: float) -> np.ndarray:
-    """Which pairs have an exact Jaccard similarity of ``threshold`` or more."""
+def similar(left: list[np.ndarray], right: list[np.ndarray], threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Which pairs have an exact Jaccard similarity of ``threshold`` or more, and the similarities."""
     common = overlaps(left, right)
     a, b = np.array([len(x) for x in left]), np.array([len(x) for x in right])
+    either = a[:, None] + b[None, :] - common
     # The tolerance is far below the distance of any two ratios of counts.
-    return common >= threshold * (a[:, None] + b[None, :] - common) - 1e-4
+    return common >= threshold * either - 1e-4, common / either
 
 
 def roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -157,11 +189,13 @@ def roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         root = new
 
 
-def verify_group(rows: list[tuple[bytes, int, np.ndarray]], threshold: float, left: int, right: int) -> Iterator[tuple[bytes, int, bytes]]:
-    """(key, links here, a linked key that spans) of the texts of blocks ``left`` and ``right``.
+def verify_group(rows: list[tuple[bytes, int, np.ndarray]], threshold: float, left: int, right: int, least: int = DEPTH) -> Iterator[tuple[bytes, int, bytes, list[float]]]:
+    """(key, links here, a linked key that spans, missed) of the texts of blocks ``left`` and ``right``.
 
     ``rows`` are (key, block, shingles); all of one block are compared with each
     other, those of two blocks only across: nothing if one of the two is empty.
+    ``missed`` is, for each depth from the full one to ``least``, how many links are
+    missed for those found here.
     """
     rows = sorted({k: (k, b, s) for k, b, s in rows}.values(), key=lambda r: (r[1], r[0]))
     first = [r for r in rows if r[1] == left]
@@ -169,32 +203,41 @@ def verify_group(rows: list[tuple[bytes, int, np.ndarray]], threshold: float, le
     if left != right and not (first and second):
         return
     one, two = [r[2] for r in first], [r[2] for r in second]
-    hit = similar(one, two or one, threshold)
+    hit, how = similar(one, two or one, threshold)
     if not second:
         np.fill_diagonal(hit, False)
     i, j = np.nonzero(hit)
+    s = np.clip(how[i, j].astype(np.float64), threshold, 1)
     root = roots(len(rows), i, j + (len(first) if second else 0))
     links = np.concatenate((hit.sum(1), hit.sum(0))) if second else hit.sum(1)
+    # Each link counts at both of its ends.
+    ends = np.concatenate((i, j + len(first))) if second else i
+    missed = [np.bincount(ends, weights=np.tile(1 / found(s, d) - 1, 2 if second else 1), minlength=len(rows)) for d in range(DEPTH, least - 1, -1)]
     for k, (key, _, _) in enumerate(rows):
         if links[k]:
-            yield key, int(links[k]), rows[root[k]][0]
+            yield key, int(links[k]), rows[root[k]][0], [float(m[k]) for m in missed]
 
 
-def verified(docs: DataFrame, members: DataFrame, n: int, threshold: float) -> DataFrame:
-    """(key, links, root) rows for candidate groups.
+def verified(docs: DataFrame, members: DataFrame, n: int, threshold: float, least: int) -> DataFrame:
+    """(comp, key, links, root, missed) rows for candidate groups.
 
-    ``members`` has rep (a doc_id), key, comp, blocks (into how many the group is cut).
+    ``members`` has doc_id and mark (of one row with the class's text), key, comp,
+    blocks (into how many the group is cut).
     """
     ddl = "comp binary, left int, right int, key binary, block int, shingles binary"
     arrow = arrow_schema(docs.sparkSession, ddl)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[tuple]:
+            last = None
             for b in slices(batches):
                 for text, key, comp, blocks in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                    if key == last:
+                        continue  # the same row, repeated
+                    last = key
                     words = content(text)
                     if content_key(words) != key:
-                        continue  # another text under the same id
+                        continue  # another text of the same mark
                     raw = shingle_hashes(word_hashes(words), n).tobytes()
                     own = int.from_bytes(key[:8], "little") % blocks
                     for other in range(blocks):
@@ -202,7 +245,7 @@ def verified(docs: DataFrame, members: DataFrame, n: int, threshold: float) -> D
 
         yield from to_batches(rows(), arrow)
 
-    out = "key binary, links bigint, root binary"
+    out = "comp binary, key binary, links bigint, root binary, missed array<double>"
     result = arrow_schema(docs.sparkSession, out)
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -212,25 +255,77 @@ def verified(docs: DataFrame, members: DataFrame, n: int, threshold: float) -> D
                 for comp, left, right, key, block, raw in zip(*(c.to_pylist() for c in b.columns), strict=True):
                     if (comp, left, right) != now:
                         if some:
-                            yield some, *now[1:]
+                            yield some, *now
                         now, some = (comp, left, right), []
                     some.append((key, block, np.frombuffer(raw, np.uint64)))
             if some:
-                yield some, *now[1:]
+                yield some, *now
 
-        yield from to_batches((r for g, left, right in groups() for r in verify_group(g, threshold, left, right)), result)
+        yield from to_batches(((comp, *r) for g, comp, left, right in groups() for r in verify_group(g, threshold, left, right, least)), result)
 
     # One plan at every size: the members' number grows with the corpus.
-    texts = docs.select(F.col("doc_id").alias("rep"), "text").join(members.hint("merge"), "rep").select("text", "key", "comp", "blocks")
-    # Classes whose rows all have a null id: their texts are found by their words.
-    nameless = members.where("rep is null")
-    if not nameless.isEmpty():
-        found = docs.where("doc_id is null").select("text", key_of("text").alias("key")).join(nameless.hint("merge"), "key")
-        texts = texts.unionByName(found.select("text", "key", "comp", "blocks"))
-    dealt = texts.mapInArrow(cut, ddl).repartition("comp", "left", "right").sortWithinPartitions("comp", "left", "right", "key")
+    texts = docs.select("doc_id", F.xxhash64("text").alias("mark"), "text").alias("d")
+    same = F.col("d.mark").eqNullSafe(F.col("m.mark")) & F.col("d.doc_id").eqNullSafe(F.col("m.doc_id"))
+    met = texts.join(members.alias("m").hint("merge"), same).select("text", "key", "comp", "blocks")
+    dealt = met.mapInArrow(cut, ddl).repartition("comp", "left", "right").sortWithinPartitions("comp", "left", "right", "key")
     return dealt.mapInArrow(check, out)
 
 
+def grouped(classes: DataFrame, tries: DataFrame, depth: int) -> tuple[DataFrame, DataFrame]:
+    """Members (key, comp) of the candidate groups at ``depth``, and their groups
+    (comp, blocks, many, sign): a sign tells whether a group is the same at two depths."""
+    nodes = tries.where(F.col("depth") >= depth).select("key", F.substring("path", 1, 1 + STEP * depth).alias("node"))
+    heads = saved(nodes.groupBy("node").agg(F.min("key").alias("v"), F.count(F.lit(1)).alias("many")).where("many > 1").select("node", "v"), "heads")
+    edges = nodes.join(heads, "node").where("key <> v").select(F.col("key").alias("u"), "v")
+    groups = components(edges)
+    # Every member of a candidate group, its smallest key too.
+    member = groups.select(F.col("u").alias("key"), F.col("v").alias("comp")).union(groups.select(F.col("v").alias("key"), F.col("v").alias("comp")).distinct())
+    member = saved(member.join(classes.select("key", "size"), "key"), "members")
+    blocks = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_DOCS), F.ceil(F.sum("size") / BLOCK_SHINGLES)).cast("int")
+    stats = member.groupBy("comp").agg(blocks.alias("blocks"), F.count(F.lit(1)).alias("many"), F.bit_xor(F.xxhash64("key")).alias("sign"))
+    return member.select("key", "comp"), saved(stats, "groups")
+
+
+def linked(docs: DataFrame, classes: DataFrame, n: int, threshold: float, recall: float) -> DataFrame:
+    """(comp, key, links, root) rows of all links, by matched prefixes as short as ``recall`` asks for."""
+    least = shortest_prefix(threshold, recall)
+    tries = saved(forest(classes, least), "forest")
+    links, old = None, None
+    for depth in range(DEPTH, least - 1, -1):
+        member, stats = grouped(classes, tries, depth)
+        new = stats if old is None else stats.join(old, ["comp", "many", "sign"], "left_anti")
+        todo = member.join(new.select("comp", "blocks"), "comp").join(classes.select("key", "doc_id", "mark"), "key")
+        got = verified(docs, saved(todo, "todo"), n, threshold, least)
+        if links is not None:
+            kept = stats.join(old, ["comp", "many", "sign"], "left_semi").select("comp")
+            got = got.unionByName(links.join(kept, "comp", "left_semi"))
+        links, old = saved(got, "links"), stats.select("comp", "many", "sign")
+        sums = links.agg(F.sum("links").alias("n"), F.sum(F.col("missed")[DEPTH - depth]).alias("missed")).first()
+        # Both ends of a link count. Too few links cannot tell so small a share.
+        have, missed = (sums["n"] or 0) / 2, (sums["missed"] or 0) / 2
+        if have * (1 - recall) >= 1 and have >= recall * (have + missed):
+            break
+    return links
+
+
+def _known(docs: DataFrame, threshold: float, n: int, recall: float) -> tuple[DataFrame, DataFrame]:
+    """Fingerprints of all rows, and (key, top, class_id, n_copies, n_links, doc_id,
+    mark) of every class that has copies or links; doc_id and mark are those of the
+    first row of all classes of one top, a null id coming last."""
+    table = saved(fingerprints(docs, n), "fingerprints")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "mark")).alias("rep")
+    classes = table.where("key is not null").groupBy("key").agg(least, F.count(F.lit(1)).alias("n_copies"), F.first("size").alias("size"), F.first("paths").alias("paths"))
+    classes = saved(classes.select("key", "rep.doc_id", "rep.mark", "n_copies", "size", "paths"), "classes")
+    links = linked(docs, classes, n, threshold, recall)
+    count = links.groupBy("key").agg(F.sum("links").alias("n_links"))
+    joined = components(links.select(F.col("key").alias("u"), F.col("root").alias("v")))
+    known = classes.select("key", "doc_id", "mark", "n_copies").join(count, "key", "left").where("n_copies > 1 or n_links > 0")
+    known = saved(known.join(joined.select(F.col("u").alias("key"), F.col("v").alias("top")), "key", "left").withColumn("top", F.coalesce("top", "key")), "known")
+    first = saved(known.groupBy("top").agg(least).select("top", "rep.doc_id", "rep.mark"), "tops")
+    many = known.select("key", "top", "n_copies", "n_links").join(first, "top").withColumn("class_id", F.col("doc_id"))
+    return table, many
+
+
 def near_duplicates(docs: DataFrame, threshold: float = 0.8, n: int = 5, recall: float = 0.999) -> DataFrame:
     """One row per row of ``docs``: doc_id, class_id, n_links, n_copies.
 
@@ -240,44 +335,36 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, n: int = 5, recall:
     through others; n_links the number of different texts of similarity
     ``threshold`` or more; n_copies the number of rows with the same words. A null
     text, or one without words, is a class of its own with no copies counted but
-    itself. Null ids come last among class ids; repeated ids keep their rows; an
+    itself. Null ids come last among class ids, and a class without any other id has
+    a null one; repeated ids keep their rows, whatever their texts; texts of any
+    length are compared whole; columns other than doc_id and text are not read; an
     empty table gives an empty result.
     """
-    table = saved(fingerprints(docs, n, prefix_depth(threshold, recall)), "fingerprints")
-    classes = table.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n_copies"), F.first("size").alias("size"), F.first("labels").alias("labels"))
-    classes = saved(classes, "classes")
-    nodes = classes.select("key", F.explode("labels").alias("label"))
-    heads = nodes.groupBy("label").agg(F.min("key").alias("v"), F.count(F.lit(1)).alias("many")).where("many > 1").select("label", "v")
-    edges = nodes.join(heads, "label").where("key <> v").select(F.col("key").alias("u"), "v")
-    groups = components(edges)
-    # Every member of a candidate group, its smallest key too.
-    member = groups.select(F.col("u").alias("key"), F.col("v").alias("comp")).union(groups.select(F.col("v").alias("key"), F.col("v").alias("comp")).distinct())
-    sized = classes.select("key", "rep", "size").join(member, "key")
-    blocks = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_DOCS), F.ceil(F.sum("size") / BLOCK_SHINGLES)).cast("int")
-    sized = sized.join(sized.groupBy("comp").agg(blocks.alias("blocks")), "comp").select("rep", "key", "comp", "blocks")
-    links = saved(verified(docs, saved(sized, "members"), n, threshold), "links")
-    count = links.groupBy("key").agg(F.sum("links").alias("n_links"))
-    joined = components(links.select(F.col("key").alias("u"), F.col("root").alias("v")))
-    # Classes that have copies or links; all others are one document each.
-    known = classes.select("key", "rep", "n_copies").join(joined.select(F.col("u").alias("key"), F.col("v").alias("top")), "key", "left").withColumn("top", F.coalesce("top", "key"))
-    ids = known.groupBy("top").agg(F.min("rep").alias("class_id"))
-    many = known.join(count, "key", "left").where("n_copies > 1 or n_links > 0").join(ids, "top").select("key", "class_id", "n_copies", "n_links")
+    table, many = _known(docs, threshold, n, recall)
     # One row for each key on the right: copies of a text, however many, only repeat on the left.
-    got = table.select("doc_id", "key").join(many, "key", "left")
-    return got.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0).cast("bigint")).alias("n_links"), F.coalesce("n_copies", F.lit(1).cast("bigint")).alias("n_copies"))
+    got = table.select("doc_id", "key").join(many.select("key", "class_id", "n_links", "n_copies", F.lit(True).alias("has")), "key", "left")
+    alone = F.col("has").isNull()
+    return got.select("doc_id", F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0).cast("bigint")).alias("n_links"), F.coalesce("n_copies", F.lit(1).cast("bigint")).alias("n_copies"))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """``docs`` with one row of each class: the one whose id is the class id.
+    """``docs`` with one row of each class: that with the smallest id, a null one last.
 
-    Of rows with that same id, one is kept if their texts are of that class. Rows
-    with null ids or without words stay.
+    Of rows that agree in id and text one stays. Rows without words stay, as do all
+    columns, whatever their names.
     """
-    got = near_duplicates(docs)
-    gone = saved(got.where(F.col("doc_id") != F.col("class_id")).select("doc_id").distinct(), "gone")
-    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    many = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows_of_id")).where("rows_of_id > 1 and doc_id is not null").select("doc_id")
-    if many.isEmpty():
+    table, many = _known(docs, 0.8, 5, 0.999)
+    rows = table.select("doc_id", "mark", "key").alias("t").join(many.select("key", F.col("doc_id").alias("first_id"), F.col("mark").alias("first_mark")), "key")
+    first = F.col("t.doc_id").eqNullSafe(F.col("first_id")) & F.col("t.mark").eqNullSafe(F.col("first_mark"))
+    rows = rows.groupBy("t.doc_id", "t.mark").agg(F.count(F.lit(1)).alias("times"), F.max(first).alias("stays"))
+    # Rows to drop, and rows to keep once: no others are looked up.
+    marks = saved(rows.where("not stays or times > 1").select(F.col("doc_id").alias("of_id"), F.col("mark").alias("of_mark"), "stays"), "marks")
+    held = [F.col(f"`{c}`").alias(f"kept_{k}") for k, c in enumerate(docs.columns)]
+    named = docs.select(F.col("doc_id").alias("own_id"), F.xxhash64("text").alias("own_mark"), *held)
+    same = F.col("own_id").eqNullSafe(F.col("of_id")) & F.col("own_mark").eqNullSafe(F.col("of_mark"))
+    back = lambda df: df.select(*(F.col(f"kept_{k}").alias(c) for k, c in enumerate(docs.columns)))
+    kept = back(named.join(marks, same, "left_anti"))
+    once = marks.where("stays")
+    if once.isEmpty():
         return kept
-    rest = kept.join(many, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return kept.join(many, "doc_id", "left_anti").unionByName(rest).select(*docs.columns)
+    return kept.unionByName(back(named.join(once, same, "left_semi").dropDuplicates(["own_id", "own_mark"])))
