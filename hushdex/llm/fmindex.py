@@ -19,11 +19,11 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast
+from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hushdex.llm.common import ALNUM_TABLE, arrow_schema, carried, restored, slices, to_batches
+from hushdex.llm.common import ALNUM_TABLE, arrow_schema, carried, restored, saved, slices, to_batches
 
 #: Bytes of benchmark text in one pattern block; each task holds one block at a time.
 PATTERN_BYTES = 16_000_000
@@ -58,44 +58,39 @@ class Patterns:
 def patterns_of(items: list[tuple[str, str]], width: int) -> Patterns | None:
     """Distinct windows by length, and for each length (window, item) pairs."""
     vocab: dict[bytes, int] = {}
-    by: dict[int, list[tuple[int, ...]]] = {}
-    own: dict[int, list[int]] = {}
+    by: dict[int, list[np.ndarray]] = {}
+    own: dict[int, list[np.ndarray]] = {}
     names: list[str] = []
     for name, text in items:
-        w = [vocab.setdefault(x, len(vocab) + 1) for x in words_of(text)]
-        if not w:
+        w = np.array([vocab.setdefault(x, len(vocab) + 1) for x in words_of(text)], np.int32)
+        if not len(w):
             continue
-        m = min(width, len(w))
-        for k in range(len(w) - m + 1):
-            by.setdefault(m, []).append(tuple(w[k : k + m]))
-            own.setdefault(m, []).append(len(names))
+        rows = sliding_window_view(w, min(width, len(w)))
+        by.setdefault(rows.shape[1], []).append(rows)
+        own.setdefault(rows.shape[1], []).append(np.full(len(rows), len(names), np.int32))
         names.append(name)
     windows, item_of = [], []
     for m, rows in by.items():
-        u, inverse = np.unique(np.array(rows, np.int64), axis=0, return_inverse=True)
-        pairs = np.unique(np.stack((inverse.ravel(), np.array(own[m]))), axis=1)
+        u, inverse = np.unique(np.concatenate(rows), axis=0, return_inverse=True)
+        pairs = np.unique(np.stack((inverse.ravel(), np.concatenate(own[m]))), axis=1)
         windows.append(u)
         item_of.append((pairs[0], pairs[1]))
     return Patterns(vocab, windows, item_of, names) if windows else None
 
 
-def pattern_blocks(bench: DataFrame, width: int) -> list[Broadcast]:
-    """Broadcast blocks of patterns, each of a bounded size; items stream to the driver."""
-    sc, out, some, size = bench.sparkSession.sparkContext, [], [], 0
-
-    def flush() -> None:
-        if some and (p := patterns_of(some, width)):
-            out.append(sc.broadcast(p))
-
+def pattern_blocks(bench: DataFrame, width: int) -> Iterator[Patterns]:
+    """Patterns of a bounded amount of text at a time; items stream to the driver."""
+    some, size = [], 0
     rows = bench.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("i"), F.coalesce("text", F.lit("")).alias("t"))
     for r in rows.toLocalIterator():
         some.append((r["i"], r["t"]))
         size += len(r["t"])
         if size >= PATTERN_BYTES:
-            flush()
+            if p := patterns_of(some, width):
+                yield p
             some, size = [], 0
-    flush()
-    return out
+    if some and (p := patterns_of(some, width)):
+        yield p
 
 
 # -- the index -------------------------------------------------------------------
@@ -243,38 +238,34 @@ def occurrences(t: np.ndarray, p: Patterns) -> Iterator[tuple[int, np.ndarray, n
             yield k, at[which], origin[index.locate(row)]
 
 
-def shard_hits(texts: list[str], blocks: list[Broadcast]) -> tuple[np.ndarray, np.ndarray, list[set[str]]]:
+def shard_hits(texts: list[str], p: Patterns | None) -> tuple[np.ndarray, np.ndarray, list[set[str]]]:
     """Hit mask over all words of a shard, word counts, and item ids of each text."""
     words = [words_of(t) for t in texts]
     lens = np.fromiter(map(len, words), np.int64, len(words))
     begin = np.cumsum(lens + 1) - (lens + 1)
     n = int((lens + 1).sum())
-    hit = np.zeros(n, bool)
     found: list[set[str]] = [set() for _ in texts]
-    for block in blocks:
-        p = block.value
-        t = np.zeros(n, np.int64)
-        for b, w in zip(begin.tolist(), words, strict=True):
-            t[b : b + len(w)] = np.fromiter(map(p.vocab.get, w, repeat(0)), np.int64, len(w))
-        cover = np.zeros(n + 1, np.int64)
-        pairs: dict[int, list[np.ndarray]] = {}
-        for k, which, pos in occurrences(t, p):
-            m = p.windows[k].shape[1]
-            np.add.at(cover, pos, 1)
-            np.subtract.at(cover, pos + m, 1)
-            doc = np.searchsorted(begin, pos, side="right") - 1
-            pairs.setdefault(k, []).append(np.unique(doc * len(p.windows[k]) + which))
-        hit |= np.cumsum(cover[:-1]) > 0
-        for k, keys in pairs.items():
-            key = np.unique(np.concatenate(keys))
-            doc, which = np.divmod(key, len(p.windows[k]))
-            wins, items = p.item_of[k]
-            lo, hi = np.searchsorted(wins, which), np.searchsorted(wins, which, side="right")
-            for d, a, b in zip(doc.tolist(), lo.tolist(), hi.tolist(), strict=True):
-                found[d].update(p.items[i] for i in items[a:b].tolist())
-        if len(blocks) > 1:  # a worker's copy; the next use loads it again
-            vars(block).pop("_value", None)
-    return hit, lens, found
+    if p is None:
+        return np.zeros(n, bool), lens, found
+    t = np.zeros(n, np.int64)
+    for b, w in zip(begin.tolist(), words, strict=True):
+        t[b : b + len(w)] = np.fromiter(map(p.vocab.get, w, repeat(0)), np.int64, len(w))
+    cover = np.zeros(n + 1, np.int64)
+    pairs: dict[int, list[np.ndarray]] = {}
+    for k, which, pos in occurrences(t, p):
+        m = p.windows[k].shape[1]
+        np.add.at(cover, pos, 1)
+        np.subtract.at(cover, pos + m, 1)
+        doc = np.searchsorted(begin, pos, side="right") - 1
+        pairs.setdefault(k, []).append(np.unique(doc * len(p.windows[k]) + which))
+    for k, keys in pairs.items():
+        key = np.unique(np.concatenate(keys))
+        doc, which = np.divmod(key, len(p.windows[k]))
+        wins, items = p.item_of[k]
+        lo, hi = np.searchsorted(wins, which), np.searchsorted(wins, which, side="right")
+        for d, a, b in zip(doc.tolist(), lo.tolist(), hi.tolist(), strict=True):
+            found[d].update(p.items[i] for i in items[a:b].tolist())
+    return np.cumsum(cover[:-1]) > 0, lens, found
 
 
 def removal_spans(text: str, hit: np.ndarray) -> list[tuple[int, int]]:
@@ -302,37 +293,58 @@ def contamination(docs: DataFrame, bench: DataFrame, width: int = 10, keep: tupl
     columns ``keep`` of ``docs``, then with ``clean`` spans (merged removal spans)
     and clean_text. A null or empty text has no words, and an item without words
     no window; items of one id count once, a null item id is the empty string;
-    repeated and null doc ids keep their rows; empty tables give zero hits or an
-    empty result.
+    repeated and null doc ids keep their rows; texts of any length are read whole;
+    columns other than doc_id, text and ``keep`` are not read; empty tables give
+    zero hits or an empty result.
     """
-    spark = docs.sparkSession
-    blocks = pattern_blocks(bench, width)
     keep = tuple(keep)
+    kind = docs.schema["doc_id"].dataType.simpleString()
     extra = "".join(f", `{k}` {docs.schema[k].dataType.simpleString()}" for k in keep)
-    ddl = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean{extra}" + ", spans array<struct<start:int,end:int>>, clean_text string" * clean
-    arrow = arrow_schema(spark, ddl)
+    ends = f"doc_id {kind}, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean{extra}" + ", spans array<struct<start:int,end:int>>, clean_text string" * clean
+    rows = docs.select("doc_id", "text", *keep)
+    blocks = list(pattern_blocks(bench, width)) or [None]
+    # Usually one step. Each holds one block of patterns and hands on what it found; steps
+    # are written apart, so that no two blocks are in a task's memory at once.
+    for k, p in enumerate(blocks):
+        last = k == len(blocks) - 1
+        ddl = ends if last else f"doc_id {kind}, text string{extra}, hit binary, items array<string>"
+        rows = rows.mapInArrow(_step(p, arrow_schema(docs.sparkSession, ddl), k > 0, last, clean), ddl)
+        rows = rows if last else saved(rows, "searched")
+    return rows
+
+
+def _step(p: Patterns | None, arrow: pa.Schema, more: bool, last: bool, clean: bool):
+    """Search some patterns in all shards; ``more``: rows come with what was found before."""
+
+    def shard(rows: list[tuple]) -> Iterator[tuple]:
+        hit, lens, found = shard_hits([r[1] or "" for r in rows], p)
+        at = 0
+        for row, n, items in zip(rows, lens.tolist(), found, strict=True):
+            own = hit[at : at + n]
+            at += n + 1
+            doc, text, *rest = row
+            if more:
+                *rest, before, names = rest
+                own = own | np.unpackbits(np.frombuffer(before, np.uint8), count=n).astype(bool)
+                items.update(names)
+            if not last:
+                yield doc, text, *rest, np.packbits(own).tobytes(), sorted(items)
+                continue
+            many = int(own.sum())
+            out = (doc, n, many, len(items), hashlib.sha256(",".join(sorted(items)).encode()).hexdigest(), many > 0, *rest)
+            if clean:
+                spans = removal_spans(text or "", own)
+                out += ([{"start": a, "end": b} for a, b in spans], without(text or "", spans))
+            yield out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def shard(rows: list[tuple]) -> Iterator[tuple]:
-            hit, lens, found = shard_hits([r[1] for r in rows], blocks)
-            at = 0
-            for (doc, text, *rest), n, items in zip(rows, lens.tolist(), found, strict=True):
-                own = hit[at : at + n]
-                at += n + 1
-                many = int(own.sum())
-                row = (doc, n, many, len(items), hashlib.sha256(",".join(sorted(items)).encode()).hexdigest(), many > 0, *rest)
-                if clean:
-                    spans = removal_spans(text, own)
-                    row += ([{"start": a, "end": b} for a, b in spans], without(text, spans))
-                yield row
-
         def rows() -> Iterator[tuple]:
             some: list[tuple] = []
             size = 0
             for b in slices(batches):
-                for doc, text, *rest in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                    some.append((doc, text or "", *rest))
-                    size += len(text or "")
+                for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                    some.append(row)
+                    size += len(row[1] or "")
                     if size >= SHARD_BYTES:
                         yield from shard(some)
                         some, size = [], 0
@@ -341,12 +353,12 @@ def contamination(docs: DataFrame, bench: DataFrame, width: int = 10, keep: tupl
 
         yield from to_batches(rows(), arrow)
 
-    return docs.select("doc_id", "text", *keep).mapInArrow(run, ddl)
+    return run
 
 
 def decontaminated(docs: DataFrame, bench: DataFrame, width: int = 10) -> DataFrame:
     """``docs`` with benchmark passages cut out of text; n_chars follows. Rows stay."""
-    held, rest = carried(docs.withColumn("hushdex_null", F.col("text").isNull()))
-    got = contamination(held, bench, width, tuple(rest.values()), clean=True)
-    text = F.when(F.col(rest.pop("hushdex_null")), None).otherwise(F.col("clean_text"))
+    held, rest = carried(docs, null=F.col("text").isNull())
+    got = contamination(held, bench, width, (*rest.values(), "more_null"), clean=True)
+    text = F.when(F.col("more_null"), None).otherwise(F.col("clean_text"))
     return restored(got, docs, rest, text, F.col("contaminated"))
