@@ -110,6 +110,38 @@ SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items,
 FROM d LEFT JOIN h USING (n) LEFT JOIN t USING (n)"""
 
 
+def _crc32(x: str) -> str:
+    """crc32 of an ASCII text; ``crc`` is the table of _CRC_TABLE."""
+    return f"CASE WHEN {x} = '' THEN 0 ELSE xor(list_reduce(list_transform(string_split({x}, ''), lambda z: CAST(unicode(z) AS BIGINT)), lambda c, y: xor(c >> 8, (SELECT t FROM crc)[(xor(c, y) & 255) + 1]), CAST(4294967295 AS BIGINT)), 4294967295) END"
+
+
+_CRC_TABLE = "crc AS (SELECT list(v ORDER BY k) AS t FROM (SELECT k, list_reduce(range(0, 8), lambda c, j: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k) AS v FROM range(256) r(k)))"
+
+
+def _op10_sql() -> str:
+    top, own = langid.LANG_TOP, langid.DOC_TOP
+    code = lambda w, i: f"CASE WHEN {i} BETWEEN 1 AND length({w}) THEN CAST(unicode(substr({w}, {i}, 1)) AS BIGINT) ELSE 0 END"
+    return f"""
+WITH {_CRC_TABLE},
+a AS (SELECT row_number() OVER () AS n, doc_id, lang, coalesce(CAST(doc_id AS VARCHAR), '') AS id, regexp_extract_all(lower(coalesce(text, '')), '\\p{{L}}+') AS ws FROM documents),
+d AS (SELECT n, doc_id, lang, ws, ({_crc32("id")}) % 4 = 2 AS held_out FROM a),
+w AS (SELECT n, w, count(*) AS many FROM (SELECT n, unnest(ws) AS w FROM d) GROUP BY n, w),
+p AS (SELECT n, w, many, unnest(range(0, length(w) + 1)) AS i FROM w),
+c AS (SELECT n, many, i, {code("w", "i")} AS x, {code("w", "i + 1")} AS y, {code("w", "i + 2")} AS z FROM p),
+g AS (SELECT n, sum(many) AS many, code FROM (
+  SELECT n, many, -(CAST(1 AS BIGINT) << 50) - x AS code FROM c WHERE i > 0
+  UNION ALL SELECT n, many, -1 - ((x << 21) | y) FROM c
+  UNION ALL SELECT n, many, (x << 42) | (y << 21) | z FROM c WHERE y > 0) GROUP BY n, code),
+l AS (SELECT lang, code, row_number() OVER (PARTITION BY lang ORDER BY sum(many) DESC, code) - 1 AS r FROM g JOIN d USING (n) WHERE lang IS NOT NULL AND NOT held_out GROUP BY lang, code QUALIFY r < {top}),
+m AS (SELECT n, code, row_number() OVER (PARTITION BY n ORDER BY many DESC, code) - 1 AS r FROM g QUALIFY r < {own}),
+s AS (SELECT n, count(*) AS size FROM m GROUP BY n),
+f AS (SELECT n, lang, sum(abs(l.r - m.r) - {top}) AS gain FROM m JOIN l USING (code) GROUP BY n, lang),
+o AS (SELECT s.n, k.lang, {top} * size + coalesce(gain, 0) AS far FROM s CROSS JOIN (SELECT DISTINCT lang FROM l) k LEFT JOIN f ON f.n = s.n AND f.lang = k.lang),
+b AS (SELECT n, arg_min(lang, (far, lang)) AS lang_pred, list(CAST(far AS DOUBLE) ORDER BY far)[1:2] AS two FROM o GROUP BY n)
+SELECT doc_id, held_out, coalesce(lang_pred, 'und') AS lang_pred, CASE WHEN lang_pred IS NULL THEN 0.0 WHEN len(two) < 2 THEN 1.0 WHEN two[2] = 0 THEN 0.5 ELSE two[2] / (two[2] + two[1]) END AS score
+FROM d LEFT JOIN b USING (n)"""
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL for the operators that it expresses."""
-    return {"op1_urlfilter": _op1_sql(), "op6_nearjoin": _op6_sql(), "op8_decontamination": _op8_sql()}
+    return {"op1_urlfilter": _op1_sql(), "op6_nearjoin": _op6_sql(), "op8_decontamination": _op8_sql(), "op10_langid": _op10_sql()}
