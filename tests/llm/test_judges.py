@@ -23,20 +23,34 @@ fold = lambda doc, n: zlib.crc32(("" if doc is None else str(doc)).encode()) % n
 @settings(deadline=None, max_examples=50)
 @given(st.sets(st.text(max_size=6), max_size=30), st.sets(st.text(max_size=6), min_size=1, max_size=200))
 def test_cascade_is_exact_in_its_universe(listed, universe):
-    c = urlfilter.Cascade(listed, len(universe) + len(listed))
-    c.close({k for k in universe - listed if c.passes_first(urlfilter.digest(k))})
+    first = urlfilter.filled(listed, len(listed), urlfilter.first_rate(len(listed), len(universe) + len(listed)), 1)
+    c = urlfilter.cascade([first], listed, {k for k in universe - listed if urlfilter.digest(k) in first})
     assert all((urlfilter.digest(k) in c) == (k in listed) for k in universe | listed)
 
 
 def test_cascade_with_many_false_positives():
     listed, universe = {f"l{k}" for k in range(500)}, {f"u{k}" for k in range(3000)}
-    c = urlfilter.Cascade(listed, 600)  # a far too small guess: the first level lets many pass
-    false = {k for k in universe if c.passes_first(urlfilter.digest(k))}
+    first = urlfilter.filled(listed, 500, urlfilter.first_rate(500, 600), 1)  # a far too small guess: many pass
+    false = {k for k in universe if urlfilter.digest(k) in first}
     assert len(false) > 500
-    c.close(false)
+    c = urlfilter.cascade([first], listed, false)
     assert all((urlfilter.digest(k) in c) == (k in listed) for k in universe | listed)
 
 
+@pytest.mark.parametrize("most", [200_000, 40])
+def test_a_list_may_be_a_table(spark, monkeypatch, most):
+    monkeypatch.setattr(urlfilter, "DRIVER_KEYS", most)
+    monkeypatch.setattr(urlfilter, "STRETCH", 16)
+    rng = random.Random(3)
+    names = [f"h{k}.example.com" for k in range(900)]
+    bad = rng.sample(names, 300) + ["absent.example.org"]
+    pages = spark.createDataFrame([(k, f"http://{rng.choice(['', 'www.'])}{n}/x") for k, n in enumerate(names)], "page_id bigint, url string")
+    lists = spark.createDataFrame([(h,) for h in bad + bad[:5] + [None]], "host string")
+    got = urlfilter.filter_urls(pages, (), lists).collect()
+    assert {r["page_id"]: r["listed"] for r in got} == {k: n in set(bad) for k, n in enumerate(names)}
+    assert all(r["verdict"] == ("block" if r["listed"] else "allow") for r in got)
+
+
 @pytest.mark.parametrize(("url", "parts"), [(None, ("", "")), ("no scheme/x", ("", "")), ("http://A.Org", ("a.org", "")), ("x://É.com/P?q#f", ("É.com", "/P")), ("a://b#f/x?y", ("b", "")), ("http:///p", ("", "/p")), ("u://h://k/l", ("h:", "//k/l"))])
 def test_split_url(url, parts):
     assert urlfilter.split_url(url) == parts
@@ -153,24 +167,58 @@ def test_ngrams(text):
     assert sorted(n.tolist()) == sorted(want.values()) and len(u) == len(want)
 
 
-def test_identify(spark):
+def identify_brute(rows, fold_of):
+    """Every text's language by the definition: profiles, ranks, out-of-place distances."""
+    # Ties go by code: two-letter n-grams fall, all others rise, single letters come first, from the last.
+    tie = lambda g: (0, -ord(g)) if len(g) == 1 else (1, *(-(0 if c == " " else ord(c)) for c in g)) if len(g) == 2 else (2, *(0 if c == " " else ord(c) for c in g))
+    best = lambda n, top: [g for g, _ in sorted(n.items(), key=lambda x: (-x[1], tie(x[0])))[:top]]
+    by = collections.defaultdict(collections.Counter)
+    for d, t, lang in rows:
+        if lang is not None and fold(d, 4) != fold_of and t and ngrams_brute(t):
+            by[lang].update(ngrams_brute(t))
+    ranks = {k: {g: r for r, g in enumerate(best(v, langid.LANG_TOP))} for k, v in by.items()}
+    out = []
+    for d, t, _ in rows:
+        mine = best(ngrams_brute(t or ""), langid.DOC_TOP)
+        far = sorted((sum(abs(r[g] - k) if g in r else langid.LANG_TOP for k, g in enumerate(mine)), lang) for lang, r in ranks.items())
+        if not mine or not far:
+            out.append((d, fold(d, 4) == fold_of, "und", 0.0))
+        else:
+            out.append((d, fold(d, 4) == fold_of, far[0][1], 1.0 if len(far) < 2 else far[1][0] / (far[1][0] + far[0][0]) if far[1][0] else 0.5))
+    return out
+
+
+@pytest.fixture(scope="module")
+def spoken():
     rng = random.Random(4)
     sounds = {"aa": ["ba", "na", "la", "ma"], "bb": ["sch", "ung", "ver", "ich"], "cc": ["eau", "oir", "què", "ment"]}
     rows = []
     for k in range(240):
         lang = "aabbcc"[2 * (k % 3) :][:2]
         rows.append((k, " ".join("".join(rng.choice(sounds[lang]) for _ in range(3)) for _ in range(12)), lang))
-    rows += [(900, None, "aa"), (901, "", "aa"), (902, "12 34!", "aa"), (903, "bana lama", None), (None, "schung verich", "bb"), (0, rows[0][1], "aa")]
-    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
-    got = langid.identify(docs).collect()
-    assert len(got) == len(rows)
-    for r in got:
-        d = r["doc_id"]
-        assert 0 <= r["score"] <= 1 and r["held_out"] == (fold(d, 4) == 2)
-        want = "bb" if d is None else "und" if d in (900, 901, 902) else "aa" if d == 903 else rows[d][2]
-        assert r["lang_pred"] == want
-    assert {r["lang_pred"] for r in langid.identify(docs.withColumn("lang", langid.F.lit(None).cast("string"))).collect()} == {"und"}
+    rows += [(900, None, "aa"), (901, "", "aa"), (902, "12 34!", "aa"), (903, "bana lama", None), (None, "schung verich", "bb"), (0, rows[0][1], "aa"), (904, "oireau " * 3000 + "x" * 5000, "cc")]
+    return rows
+
+
+@pytest.mark.parametrize(("langs", "chars"), [(5000, 1 << 20), (2, 100)])
+def test_identify(spark, monkeypatch, spoken, langs, chars):
+    rows = spoken
+    docs = spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id bigint, text string, lang string, lang_pred string, best int")
+    monkeypatch.setattr(langid, "LANGS_AT_ONCE", langs)
+    assert len(list(langid.learn(docs, 2, 4))) == (1 if langs > 3 else 2)
+    got = [tuple(r) for r in langid.identify(docs).collect()]
+    order = lambda r: (str(r[0]), r[1:])
+    want = identify_brute(rows, 2)
+    assert [(*r[:3], round(r[3], 12)) for r in sorted(got, key=order)] == [(*r[:3], round(r[3], 12)) for r in sorted(want, key=order)]
+    for d, _, lang, _ in got:
+        assert lang == ("bb" if d is None else "und" if d in (900, 901, 902) else "aa" if d == 903 else "cc" if d == 904 else rows[d][2])
+    assert {(r["lang_pred"], r["score"]) for r in langid.identify(docs.withColumn("lang", langid.F.lit(None).cast("string"))).collect()} == {("und", 0.0)}
     assert langid.identify(docs.where("false")).collect() == []
+    monkeypatch.setattr(langid, "CHARS_AT_ONCE", chars)
+    for _, t, _ in rows:
+        u, n = langid.counted(langid.ngrams(x) for x in langid.stretches(t or ""))
+        v, m = np.unique(langid.ngrams(t or ""), return_counts=True)
+        assert u.tolist() == v.tolist() and n.tolist() == m.tolist() and "".join(langid.stretches(t or "")) == (t or "")
 
 
 # -- near duplicates -------------------------------------------------------------
@@ -235,7 +283,7 @@ def test_near_duplicates_in_empty_blocks(spark, monkeypatch):
     assert got == sorted(near_brute(rows)) and {r[2] for r in got} == {4}
     two = [(b"a", 1, np.arange(9, dtype=np.uint64)), (b"b", 1, np.arange(9, dtype=np.uint64))]
     assert [list(nearjoin.verify_group(two, 0.8, *pair)) for pair in ((0, 1), (1, 2))] == [[], []]
-    assert list(nearjoin.verify_group(two, 0.8, 1, 1)) == [(b"a", 1, b"a"), (b"b", 1, b"a")]
+    assert [r[:3] for r in nearjoin.verify_group(two, 0.8, 1, 1)] == [(b"a", 1, b"a"), (b"b", 1, b"a")]
 
 
 def test_near_duplicates_edge_rows(spark):
@@ -243,10 +291,30 @@ def test_near_duplicates_edge_rows(spark):
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
     got = sorted(((r["doc_id"] or 0, r["class_id"] or 0, r["n_links"], r["n_copies"]) for r in nearjoin.near_duplicates(docs).collect()))
     assert got == [(0, 0, 0, 1), (0, 3, 0, 3), (3, 3, 0, 1), (3, 3, 0, 3), (3, 3, 0, 3)]
-    assert nearjoin.one_of_each(docs).where("doc_id = 3").count() == 2
+    kept = sorted((r["doc_id"] or 0, r["text"] or "") for r in nearjoin.one_of_each(docs).collect())
+    assert kept == [(0, ""), (3, rows[1][1]), (3, rows[3][1])]
     assert nearjoin.near_duplicates(docs.where("false")).collect() == []
 
 
+def test_one_of_each_decides_by_row(spark):
+    """A repeated id: one of its texts goes, another stays; columns of any name stay too."""
+    rng = random.Random(13)
+    base = [f"w{k}" for k in range(150)]
+    rows = [(1, varied(rng, base, 1)), (5, varied(rng, base, 1)), (5, "quite another text"), (5, "quite another text"), (5, None), (5, None), (None, varied(rng, base, 1))]
+    docs = spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id bigint, text string, own_id string, `kept.0` int")
+    got = nearjoin.one_of_each(docs)
+    assert got.columns == docs.columns
+    assert sorted(((r["doc_id"], r["text"] or "") for r in got.collect()), key=str) == sorted([rows[0], rows[2], (5, ""), (5, "")], key=str)
+
+
+def test_many_texts_of_one_id(spark):
+    rng = random.Random(14)
+    texts = [[rng.choice(["a", "b", "c", "d"]) + str(rng.randrange(999)) for _ in range(80)] for _ in range(60)]
+    rows = [(7, varied(rng, t, 1)) for t in texts for _ in range(2)]
+    got = [tuple(r) for r in nearjoin.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()]
+    assert sorted(got) == sorted(near_brute(rows)) and sum(r[2] for r in got) == 120
+
+
 def test_near_duplicates_without_ids(spark):
     rng = random.Random(12)
     one, two = [f"a{k}" for k in range(150)], [f"b{k}" for k in range(150)]
@@ -258,10 +326,59 @@ def test_near_duplicates_without_ids(spark):
     assert sorted(got, key=order) == sorted(near_brute(rows), key=order)
 
 
-def test_prefix_is_shortened_to_the_recall():
-    d = nearjoin.prefix_depth(0.8, 0.999)
-    assert 1 - (1 - 0.8**d) ** nearjoin.TREES >= 0.999 > 1 - (1 - 0.8 ** (d + 1)) ** nearjoin.TREES
-    assert nearjoin.prefix_depth(0.99, 0.9) == nearjoin.DEPTH
+def test_shortest_prefix():
+    d = nearjoin.shortest_prefix(0.8, 0.999)
+    assert nearjoin.found(0.8, d) >= 0.999 > nearjoin.found(0.8, d + 1)
+    assert nearjoin.shortest_prefix(0.99, 0.9) == nearjoin.DEPTH
+
+
+def test_forest_holds_the_shared_nodes(spark):
+    rng = random.Random(15)
+    sets = [np.unique(np.array([rng.randrange(40) for _ in range(30)], np.uint64) * np.uint64(0x9E3779B97F4A7C15)) for _ in range(60)]
+    rows = [(str(k).encode(), nearjoin.paths(s)) for k, s in enumerate(sets)]
+    classes = spark.createDataFrame(rows, "key binary, paths array<binary>").repartition(3)
+    got = {(bytes(r["path"]), bytes(r["key"])): r["depth"] for r in nearjoin.forest(classes, 2).collect()}
+    steps = lambda p: [p[:1], *(p[k : k + 2] for k in range(1, len(p), 2))]
+    for key, own in rows:
+        for path in own:
+            deep = 0
+            for other, theirs in rows:
+                if other != key:
+                    x, y = steps(path), steps(theirs[path[0]])
+                    deep = max(deep, next((k for k in range(len(x)) if x[k] != y[k]), len(x)) - 1)
+            if deep >= 2:
+                assert got[path, key] >= deep
+            assert got.get((path, key), nearjoin.DEPTH) in (deep, nearjoin.DEPTH)
+
+
+@pytest.mark.parametrize(("changed", "depth"), [(1, 8), (4, 5)])
+def test_prefix_is_shortened_until_the_recall(spark, monkeypatch, changed, depth):
+    """Links of high similarity are found at full depth; those near the threshold ask for shorter prefixes."""
+    rng = random.Random(16)
+    rows = []
+    for k in range(1200):
+        base = [f"{rng.randrange(10**6)}" for _ in range(190)]
+        near = list(base)
+        for c in range(changed):
+            near[20 + 40 * c] = "x"
+        rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(near))]
+    depths = []
+    grouped = nearjoin.grouped
+    monkeypatch.setattr(nearjoin, "grouped", lambda classes, tries, d: depths.append(d) or grouped(classes, tries, d))
+    got = nearjoin.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert depths == list(range(8, depth - 1, -1))
+    assert sum(r["n_links"] == 1 and r["class_id"] == r["doc_id"] // 2 * 2 for r in got) >= 0.999 * len(got)
+
+
+def test_recall_at_the_threshold(spark):
+    """Ten thousand pairs of a similarity of exactly 0.8: 45 shingles, 5 of them changed."""
+    rng = random.Random(17)
+    rows = []
+    for k in range(10_000):
+        base = [str(rng.randrange(10**9)) for _ in range(49)]
+        rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join([*base[:24], "x", *base[25:]]))]
+    got = nearjoin.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    assert got.where("n_links = 1").count() >= 0.999 * len(rows)
 
 
 @pytest.mark.parametrize("seed", range(3))
