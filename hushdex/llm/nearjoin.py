@@ -9,9 +9,10 @@ are candidates, and candidate groups are verified exactly: a group's texts meet
 once, a large group in blocks of texts against blocks, and only counts and spanning
 links leave a task. A verified link of similarity s is found at depth d with the
 probability 1 - (1 - s^d)^trees, so the links found tell how many were missed.
-While that is more than the target recall allows, the prefix is shortened by one
-and the groups that have changed are verified again. It stops at the latest where
-a pair at the threshold itself is found with the target recall.
+While that is more than the target recall allows, the prefix is shortened as far
+as they ask for and the groups that have changed are verified again. It stops at
+the latest where a pair at the threshold itself is found with the target recall;
+too few links to tell make it go there at once.
 """
 
 from __future__ import annotations
@@ -290,8 +291,8 @@ def linked(docs: DataFrame, classes: DataFrame, n: int, threshold: float, recall
     """(comp, key, links, root) rows of all links, by matched prefixes as short as ``recall`` asks for."""
     least = shortest_prefix(threshold, recall)
     tries = saved(forest(classes, least), "forest")
-    links, old = None, None
-    for depth in range(DEPTH, least - 1, -1):
+    links, old, depth = None, None, DEPTH
+    while True:
         member, stats = grouped(classes, tries, depth)
         new = stats if old is None else stats.join(old, ["comp", "many", "sign"], "left_anti")
         todo = member.join(new.select("comp", "blocks"), "comp").join(classes.select("key", "doc_id", "mark"), "key")
@@ -300,12 +301,21 @@ def linked(docs: DataFrame, classes: DataFrame, n: int, threshold: float, recall
             kept = stats.join(old, ["comp", "many", "sign"], "left_semi").select("comp")
             got = got.unionByName(links.join(kept, "comp", "left_semi"))
         links, old = saved(got, "links"), stats.select("comp", "many", "sign")
-        sums = links.agg(F.sum("links").alias("n"), F.sum(F.col("missed")[DEPTH - depth]).alias("missed")).first()
-        # Both ends of a link count. Too few links cannot tell so small a share.
-        have, missed = (sums["n"] or 0) / 2, (sums["missed"] or 0) / 2
-        if have * (1 - recall) >= 1 and have >= recall * (have + missed):
-            break
-    return links
+        if depth == least:
+            return links
+        sums = links.agg(F.sum("links").alias("n"), *(F.sum(F.col("missed")[DEPTH - d]).alias(f"missed_{d}") for d in range(depth, least - 1, -1))).first()
+        depth = next_depth((sums["n"] or 0) / 2, {d: (sums[f"missed_{d}"] or 0) / 2 for d in range(depth, least - 1, -1)}, depth, least, recall)
+        if depth is None:
+            return links
+
+
+def next_depth(have: float, missed: dict[int, float], depth: int, least: int, recall: float) -> int | None:
+    """The depth to go on with, or None if the links found at ``depth`` are enough of all."""
+    if have * (1 - recall) < 1:  # so few cannot tell so small a share
+        return least
+    if have >= recall * (have + missed[depth]):
+        return None
+    return next((d for d in range(depth - 1, least, -1) if have >= recall * (have + missed[d])), least)
 
 
 def _known(docs: DataFrame, threshold: float, n: int, recall: float) -> tuple[DataFrame, DataFrame]:
