@@ -7,27 +7,27 @@ class HushError(Exception):
 
 class IndexNotFound(HushError):
     def __init__(self, name: str) -> None:
-        super().__init__(f"index not found: {name}")
+        super().__init__(f"there is no index {name!r}")
 
 
 class IndexExists(HushError):
     def __init__(self, name: str) -> None:
-        super().__init__(f"index already exists: {name}")
+        super().__init__(f"index {name!r} is there already")
 
 
 class EntryNotFound(HushError):
     def __init__(self, index: str, entry: str) -> None:
-        super().__init__(f"entry not found: {index}/{entry}")
+        super().__init__(f"index {index!r} has no entry {entry!r}")
 
 
 class InvalidArgument(HushError):
     def __init__(self, what: str) -> None:
-        super().__init__(f"invalid argument: {what}")
+        super().__init__(f"bad argument: {what}")
 
 
 class PolicyDenied(HushError):
     def __init__(self, action: str, resource: str, policy: str) -> None:
-        super().__init__(f"policy denied: {action} on {resource} (policy: {policy})")
+        super().__init__(f"policy {policy!r} forbids {action} on {resource}")
 
 
 class AccessDenied(HushError):
@@ -36,9 +36,9 @@ class AccessDenied(HushError):
 
 class StoreError(HushError):
     def __init__(self, what: str) -> None:
-        super().__init__(f"store error: {what}")
+        super().__init__(f"storage: {what}")
 
 
 class InternalError(HushError):
     def __init__(self, what: str) -> None:
-        super().__init__(f"internal error: {what}")
+        super().__init__(f"internal: {what}")

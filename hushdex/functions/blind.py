@@ -41,15 +41,20 @@ def blinded(df: DataFrame, token_set: Column, key_rows: DataFrame, out: str = "t
 # -- wire ------------------------------------------------------------------------
 
 
+def unbroken_base64(data: Column) -> Column:
+    """Base64 on one line; Spark's own breaks it every 76 characters."""
+    return F.translate(F.base64(data), "\r\n", "")
+
+
 def wire(token_set: Column) -> Column:
     """Base64 of the token set's JSON."""
-    return F.base64(F.encode(F.to_json(token_set), "UTF-8"))
+    return unbroken_base64(F.encode(F.to_json(token_set), "UTF-8"))
 
 
 def strict_base64(text: Column) -> Column:
     """Bytes, or null where the text is not canonical base64."""
     data = F.try_to_binary(text, F.lit("base64"))
-    return F.when(F.base64(data) == text, data)
+    return F.when(unbroken_base64(data) == text, data)
 
 
 def unwire(text: Column) -> Column:

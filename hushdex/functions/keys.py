@@ -20,10 +20,14 @@ def from_bytes(data: bytes) -> bytes:
     return bytes(data)
 
 
+def derive_root(secret: bytes) -> bytes:
+    """First step of HKDF-SHA256, with a salt of zero bytes."""
+    return hmac.digest(bytes(KEY_BYTES), secret, "sha256")
+
+
 def derive(secret: bytes, info: bytes) -> bytes:
     """HKDF-SHA256 with a salt of zero bytes and one output block."""
-    inner = hmac.digest(bytes(KEY_BYTES), secret, "sha256")
-    return hmac.digest(inner, info + b"\x01", "sha256")
+    return hmac.digest(derive_root(secret), info + b"\x01", "sha256")
 
 
 def pads(key: bytes) -> tuple[bytes, bytes]:

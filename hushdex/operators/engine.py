@@ -56,19 +56,23 @@ def check_name(name: str) -> str:
     return name
 
 
-def last_of_each(rows: DataFrame, order: Column | None) -> DataFrame:
-    """One row for each entry_id: the last by ``order``, or any if there is none."""
-    if order is None:
-        return rows.dropDuplicates(["entry_id"])
-    w = Window.partitionBy("entry_id").orderBy(order.desc())
-    return rows.withColumn("age_", F.row_number().over(w)).where("age_ = 1").drop("age_")
+def _none() -> Column:
+    return F.array().cast("array<string>")
+
+
+def last_of_each(rows: DataFrame) -> DataFrame:
+    """One row for each entry_id: the one of the largest ``order_``."""
+    w = Window.partitionBy("entry_id").orderBy(F.desc("order_"))
+    return rows.withColumn("age_", F.row_number().over(w)).where("age_ = 1").drop("age_", "order_")
 
 
 class Engine:
-    def __init__(self, spark: SparkSession, root: str, config: Config = Config(), guard: Guard | None = None) -> None:
+    """``store`` may be any object with the methods of ``Store``, for other places to keep indexes."""
+
+    def __init__(self, spark: SparkSession, root: str, config: Config = Config(), guard: Guard | None = None, store: Store | None = None) -> None:
         self.guard = guard or Guard()
         self.guard.require(config.require_policy, config.require_audit)
-        self.spark, self.config, self.store = spark, config, Store(spark, root)
+        self.spark, self.config, self.store = spark, config, store or Store(spark, root)
         for name in self.store.names():
             self.store.load(name)  # a corrupt record stops the start
 
@@ -83,7 +87,7 @@ class Engine:
     def _current(self, name: str) -> Manifest:
         m = self._get(name)
         if m.tokenizer_version != tokens.TOKENIZER_VERSION:
-            raise InvalidArgument(f"index '{name}' uses tokenizer v{m.tokenizer_version} but current is v{tokens.TOKENIZER_VERSION}; run INDEX REINDEX to migrate")
+            raise InvalidArgument(f"the entries of {name!r} were cut into tokens by rules {m.tokenizer_version}, these are rules {tokens.TOKENIZER_VERSION}: INDEX REINDEX empties the index for them")
         return m
 
     def _info(self, m: Manifest) -> IndexInfo:
@@ -91,8 +95,7 @@ class Engine:
 
     def create(self, name: str, actor: str | None = None) -> IndexInfo:
         self.guard.allow(name, "index_create", actor)
-        with self.guard.audited("INDEX_CREATE", name, actor):
-            check_name(name)
+        with self.guard.audited("INDEX_CREATE", name, actor), self.store.writing(check_name(name)):
             if self.store.load(name):
                 raise IndexExists(name)
             m = self.store.create(name, keys.generate(), tokens.TOKENIZER_VERSION)
@@ -101,19 +104,20 @@ class Engine:
     def seed(self, names: list[str]) -> None:
         """Create what is not there yet; no policy, no audit."""
         for name in names:
-            if not self.store.load(check_name(name)):
-                self.store.create(name, keys.generate(), tokens.TOKENIZER_VERSION)
+            with self.store.writing(check_name(name)):
+                if not self.store.load(name):
+                    self.store.create(name, keys.generate(), tokens.TOKENIZER_VERSION)
 
     def rotate(self, name: str, actor: str | None = None) -> IndexInfo:
         """New key, no entries, and ``created_at`` set to now."""
         self.guard.allow(name, "index_rotate", actor)
-        with self.guard.audited("INDEX_ROTATE", name, actor):
+        with self.guard.audited("INDEX_ROTATE", name, actor), self.store.writing(name):
             m = self.store.rotate(self._get(name), keys.generate(), int(time.time()))
         return self._info(m)
 
     def destroy(self, name: str, actor: str | None = None) -> int:
         self.guard.allow(name, "index_destroy", actor)
-        with self.guard.audited("INDEX_DESTROY", name, actor):
+        with self.guard.audited("INDEX_DESTROY", name, actor), self.store.writing(name):
             m = self._get(name)
             self.store.destroy(m)
         return m.entry_count
@@ -121,7 +125,7 @@ class Engine:
     def reindex(self, name: str, actor: str | None = None) -> tuple[IndexInfo, int]:
         """Same key and age, current token rules, no entries."""
         self.guard.allow(name, "index_reindex", actor)
-        with self.guard.audited("INDEX_REINDEX", name, actor):
+        with self.guard.audited("INDEX_REINDEX", name, actor), self.store.writing(name):
             old = self._get(name)
             m = self.store.clear(old, tokenizer_version=tokens.TOKENIZER_VERSION)
         return self._info(m), old.entry_count
@@ -169,7 +173,7 @@ class Engine:
         self.guard.allow(name, "put", actor)
         if not entry:
             raise InvalidArgument("entry id is empty")
-        with self.guard.audited("PUT", f"{name}/{entry}", actor):
+        with self.guard.audited("PUT", f"{name}/{entry}", actor), self.store.writing(name):
             if is_blind:
                 m = self._get(name)
                 self._decode(data)
@@ -185,97 +189,141 @@ class Engine:
             _, rejected = self._add(m, rows)
             if rejected.first():
                 raise InvalidArgument(f"index '{name}' is full: {self.config.max_entries_per_index} entries")
-            version = self.store.entries(self._get(name)).where(F.col("entry_id") == entry).first()["version"]
+            version = self.store.entries(self._get(name), rows).first()["version"]
         return version
 
-    def _add(self, m: Manifest, rows: DataFrame) -> tuple[Manifest, DataFrame]:
-        """Write token sets (one row for each id); rejected ids come back.
+    def _add(self, m: Manifest, rows: DataFrame, gone: DataFrame | None = None) -> tuple[Manifest, DataFrame]:
+        """Write token sets and the removal of the ids ``gone`` (entry_id, seq) as one
+        segment, one row for each id; rejected ids come back.
 
         An id that is there gets the next version and is always written. New ids
         are admitted in their order as far as there is room.
         """
-        old = self.store.entries(m).select("entry_id", F.col("version").alias("old"))
-        rows = rows.join(old, "entry_id", "left").persist()
-        fresh = rows.where("old is null").select("entry_id")
-        none = frame(self.spark, [], "entry_id string")
-        rejected = none
-        most = self.config.max_entries_per_index
-        added = fresh.count()
-        if most and m.entry_count + added > most:
-            room = max(0, most - m.entry_count)
-            admitted = fresh.orderBy("entry_id").limit(room)
-            rejected = fresh.join(admitted, "entry_id", "left_anti").persist()
-            added = admitted.count()
-            rejected.count()
-            rows = rows.join(rejected, "entry_id", "left_anti")
-        if most and not added and rows.where("old is not null").isEmpty():
-            return m, rejected
-        new = self.store.append(m, rows.select("entry_id", (F.coalesce("old", F.lit(0)) + 1).alias("version"), F.lit(False).alias("deleted"), "words", "trigrams"), m.entry_count + added)
-        return new, rejected
-
-    def put_frame(self, name: str, rows: DataFrame, entry: str = "entry_id", text: str = "text", order: Column | None = None, actor: str | None = None) -> DataFrame:
+        seq = "seq" if "seq" in rows.columns else F.lit(None).cast("bigint").alias("seq")
+        rows = rows.select("entry_id", "words", "trigrams", seq, F.lit(False).alias("deleted"))
+        if gone is not None:
+            rows = rows.unionByName(gone.select("entry_id", _none().alias("words"), _none().alias("trigrams"), "seq", F.lit(True).alias("deleted")))
+        held = rows.persist()
+        refused = frame(self.spark, [], "entry_id string")
+        try:
+            # Ids with a row in an older segment, a deleted one too, are replaced there.
+            old = self.store.latest(m, held.select("entry_id")).select("entry_id", F.when(~F.col("deleted"), F.col("version")).alias("old"), F.lit(True).alias("again"))
+            rows = held.join(old, "entry_id", "left")
+            is_new, is_gone = F.expr("not deleted and old is null"), F.expr("deleted and old is not null")
+            count = rows.agg(F.count(F.lit(1)).alias("all"), F.count(F.when(is_new, 1)).alias("new"), F.count(F.when(is_gone, 1)).alias("gone")).first()
+            added, most = count["new"], self.config.max_entries_per_index
+            if most and m.entry_count - count["gone"] + added > most:
+                fresh, room = rows.where(is_new).select("entry_id"), max(0, most - m.entry_count + count["gone"])
+                admitted = fresh.orderBy("entry_id").limit(room)
+                refused = self.store.set_aside(m, fresh.join(admitted, "entry_id", "left_anti"))
+                rows = rows.join(refused, "entry_id", "left_anti")
+                if count["all"] == added and not room:
+                    return m, refused
+                added = min(added, room)
+            if not count["all"]:
+                return m, refused
+            version = F.coalesce(F.col("old"), F.lit(0)) + F.when(F.col("deleted"), 0).otherwise(1)
+            rows = rows.select("entry_id", version.alias("version"), "deleted", "words", "trigrams", "seq", F.coalesce("again", F.lit(False)).alias("again"))
+            return self.store.append(m, rows, max(0, m.entry_count - count["gone"]) + added), refused
+        finally:
+            held.unpersist()
+
+    def put_frame(self, name: str, rows: DataFrame, entry: str = "entry_id", text: str = "text", order: Column | None = None, actor: str | None = None, field: Column | str | None = None) -> DataFrame:
         """Add or replace many entries at once; returns (entry_id, reason) of refused rows.
 
-        ``text`` is indexed as it is, or through JSON extraction if it is binary. Of
-        several rows of an id the last by ``order`` counts. Rows without an id are
-        refused, as are new ids beyond the index's capacity.
+        ``text`` is indexed as it is, or through JSON extraction if it is binary or if
+        a ``field`` is named (a name, or a column of names, null for all strings). Of
+        several rows of an id the last by ``order`` counts, without it the one of the
+        largest text. Rows without an id are refused, as are new ids beyond the
+        index's capacity.
         """
         self.guard.allow(name, "put", actor)
-        with self.guard.audited("PUT", f"{name}/*", actor):
+        with self.guard.audited("PUT", f"{name}/*", actor), self.store.writing(name):
             m = self._current(name)
             # Hashing tokens costs far more than moving texts: spread the rows, by the key that the
             # steps below need anyway. A stated number is not coalesced by size.
             parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-            got = rows.withColumns({"entry_id": F.col(entry).cast("string")}).repartition(parts, "entry_id")
+            got = rows.select(F.col(entry).cast("string").alias("entry_id"), self._plain(rows, text, field).alias("text"), (F.col(text) if order is None else order).alias("order_")).repartition(parts, "entry_id")
             bad = got.where("entry_id is null or entry_id = ''").select("entry_id", F.lit("entry id is empty").alias("reason"))
-            good = last_of_each(got.where("entry_id <> ''"), order)
-            plain = extract.extracted(F.col(text)) if rows.schema[text].dataType.typeName() == "binary" else F.col(text)
-            sets = self._blinded(name, good.select("entry_id", plain.alias("text")), F.col("text"))
+            sets = self._blinded(name, last_of_each(got.where("entry_id <> ''")), F.col("text"))
             _, rejected = self._add(m, sets.select("entry_id", "tokens.words", "tokens.trigrams"))
         return bad.unionByName(rejected.select("entry_id", F.lit("index is full").alias("reason")))
 
-    def put_blind_frame(self, name: str, rows: DataFrame, entry: str = "entry_id", data: str = "data", actor: str | None = None) -> DataFrame:
+    def put_blind_frame(self, name: str, rows: DataFrame, entry: str = "entry_id", data: str = "data", order: Column | None = None, actor: str | None = None) -> DataFrame:
         """Like ``put_frame`` for wire token sets that clients made; malformed ones are refused."""
         self.guard.allow(name, "put", actor)
-        with self.guard.audited("PUT", f"{name}/*", actor):
+        with self.guard.audited("PUT", f"{name}/*", actor), self.store.writing(name):
             m = self._get(name)
-            got = rows.select(F.col(entry).cast("string").alias("entry_id"), blind.unwire(F.col(data)).alias("set"))
+            got = rows.select(F.col(entry).cast("string").alias("entry_id"), blind.unwire(F.col(data)).alias("set"), (F.col(data) if order is None else order).alias("order_"))
             ok = F.coalesce(F.col("entry_id") != "", F.lit(False)) & F.coalesce(blind.well_formed(F.col("set")), F.lit(False))
             bad = got.where(~ok).select("entry_id", F.lit("invalid blind tokens").alias("reason"))
-            _, rejected = self._add(m, got.where(ok).dropDuplicates(["entry_id"]).select("entry_id", "set.words", "set.trigrams"))
+            _, rejected = self._add(m, last_of_each(got.where(ok)).select("entry_id", "set.words", "set.trigrams"))
         return bad.unionByName(rejected.select("entry_id", F.lit("index is full").alias("reason")))
 
-    def _remove(self, m: Manifest, ids: DataFrame) -> tuple[Manifest, int]:
-        """Write tombstones for those of ``ids`` that are there."""
-        gone = self.store.entries(m).select("entry_id", "version").join(ids.select("entry_id").distinct(), "entry_id", "left_semi").persist()
-        many = gone.count()
-        if not many:
-            return m, 0
-        none = F.array().cast("array<string>")
-        return self.store.append(m, gone.select("entry_id", "version", F.lit(True).alias("deleted"), none.alias("words"), none.alias("trigrams")), max(0, m.entry_count - many)), many
+    @staticmethod
+    def _plain(rows: DataFrame, text: str, field: Column | str | None) -> Column:
+        if rows.schema[text].dataType.typeName() == "binary":
+            return extract.extracted(F.col(text), field)
+        return F.col(text) if field is None else extract.extracted(F.encode(F.col(text), "UTF-8"), field)
+
+    def apply_frame(self, name: str, events: DataFrame, actor: str | None = None) -> DataFrame:
+        """Apply (entry_id, op, text, seq) rows, op being put or delete, in one write.
+
+        The event of the largest seq decides about an id, here and over all calls: one
+        that is not later than what was applied to its id changes nothing. Returns
+        (entry_id, reason) of refused rows.
+        """
+        self.guard.allow(name, "put", actor)
+        self.guard.allow(name, "delete", actor)
+        with self.guard.audited("APPLY", f"{name}/*", actor), self.store.writing(name):
+            m = self._current(name)
+            last = events.where("entry_id <> '' and seq is not null").groupBy("entry_id").agg(F.max_by(F.struct("op", "text"), "seq").alias("e"), F.max("seq").alias("seq"))
+            last = last.select("entry_id", "e.op", "e.text", "seq").persist()
+            try:
+                known = self.store.latest(m, last.select("entry_id")).select("entry_id", F.col("seq").alias("seen"))
+                new = last.join(known, "entry_id", "left").where("seen is null or seq > seen")
+                sets = self._blinded(name, new.where("op = 'put'").select("entry_id", "text", "seq"), F.col("text"))
+                _, rejected = self._add(m, sets.select("entry_id", "tokens.words", "tokens.trigrams", "seq"), new.where("op = 'delete'").select("entry_id", "seq"))
+            finally:
+                last.unpersist()
+        return rejected.select("entry_id", F.lit("index is full").alias("reason"))
+
+    def _remove(self, m: Manifest, ids: DataFrame) -> int:
+        """Write tombstones for those of ``ids`` that are there; how many they were."""
+        return self._bury(m, self.store.entries(m, ids.select("entry_id").distinct()))
+
+    def _bury(self, m: Manifest, gone: DataFrame) -> int:
+        """Write tombstones for live entries; how many they were."""
+        gone = gone.select("entry_id", "version", "seq").persist()
+        try:
+            many = gone.count()
+            if many:
+                rows = gone.select("entry_id", "version", F.lit(True).alias("deleted"), _none().alias("words"), _none().alias("trigrams"), "seq", F.lit(True).alias("again"))
+                self.store.append(m, rows, max(0, m.entry_count - many))
+            return many
+        finally:
+            gone.unpersist()
 
     def delete(self, name: str, entry: str, actor: str | None = None) -> None:
         self.guard.allow(name, "delete", actor)
-        with self.guard.audited("DELETE", f"{name}/{entry}", actor):
-            _, many = self._remove(self._get(name), frame(self.spark, [(entry,)], "entry_id string"))
-            if not many:
+        with self.guard.audited("DELETE", f"{name}/{entry}", actor), self.store.writing(name):
+            if not self._remove(self._get(name), frame(self.spark, [(entry,)], "entry_id string")):
                 raise EntryNotFound(name, entry)
 
     def delete_frame(self, name: str, ids: DataFrame, actor: str | None = None) -> int:
         """Remove all entries whose entry_id is in ``ids``; absent ones are no error."""
         self.guard.allow(name, "delete", actor)
-        with self.guard.audited("DELETE", f"{name}/*", actor):
-            return self._remove(self._get(name), ids)[1]
+        with self.guard.audited("DELETE", f"{name}/*", actor), self.store.writing(name):
+            return self._remove(self._get(name), ids)
 
     def reconcile(self, name: str, valid: list[str] | DataFrame, actor: str | None = None, allow_empty: bool = False) -> int:
         """Remove entries that are not in ``valid``; returns how many there were."""
-        with self.guard.audited("RECONCILE", f"{name}/*", actor):
+        with self.guard.audited("RECONCILE", f"{name}/*", actor), self.store.writing(name):
             m = self._get(name)
             ids = valid if isinstance(valid, DataFrame) else frame(self.spark, [(v,) for v in valid], "entry_id string")
             if not allow_empty and ids.isEmpty():
                 raise InvalidArgument("no valid ids: this would remove all entries")
-            orphans = self.store.entries(m).select("entry_id").join(ids.select("entry_id"), "entry_id", "left_anti")
-            return self._remove(m, orphans)[1]
+            return self._bury(m, self.store.entries(m).join(ids.select("entry_id"), "entry_id", "left_anti"))
 
     # -- search -------------------------------------------------------------------
 
@@ -312,13 +360,28 @@ class Engine:
                 raise InvalidArgument("limit is negative")
         return SearchResult(ops.top(hits, k), ops.stats(every, hits))
 
-    def search_frame(self, name: str, queries: DataFrame, limit: int | None = None, actor: str | None = None) -> DataFrame:
-        """(query_id, entry_id, score, rank) for a table with query_id, query, mode."""
+    def search_frame(self, name: str, queries: DataFrame, limit: int | None = None, actor: str | None = None, is_blind: bool = False) -> DataFrame:
+        """(query_id, entry_id, score, rank) for a table with query_id, query, mode.
+
+        With ``is_blind`` queries are wire token sets that clients made. A table with
+        an unknown mode, an empty query or a malformed token set is refused as a whole.
+        """
         self.guard.allow(name, "search", actor)
+        if limit is not None and limit < 0:
+            raise InvalidArgument("limit is negative")
         with self.guard.audited("SEARCH", name, actor):
-            m = self._current(name)
-            q = self._blinded(name, queries.select("query_id", "query", F.lower("mode").alias("mode")), F.col("query")).select("query_id", "mode", "tokens.words", "tokens.trigrams")
+            m = self._get(name) if is_blind else self._current(name)
+            q = queries.select("query_id", F.col("query").alias("text"), F.lower("mode").alias("mode"))
+            if is_blind:
+                q = q.withColumn("tokens", blind.unwire(F.col("text")))
+                ok = F.coalesce(F.size("tokens.words") + F.size("tokens.trigrams") > 0, F.lit(False))
+            else:
+                ok = F.coalesce(F.col("text") != "", F.lit(False))
+            mode = F.when(~F.coalesce(F.col("mode").isin(*ops.MODES), F.lit(False)), F.concat(F.lit("unknown match mode: "), F.coalesce("mode", F.lit("none"))))
+            wrong = q.select("query_id", mode.when(~ok, "query is empty or malformed").alias("what")).where("what is not null").first()
+            if wrong:
+                raise InvalidArgument(f"query {wrong['query_id']}: {wrong['what']}")
+            if not is_blind:
+                q = self._blinded(name, q, F.col("text"))
             rows = self.store.live(m, self.store.postings(m))
-            return ops.batch(rows, q, self.config.thresholds, self.config.default_result_limit if limit is None else limit)
-
-
+            return ops.batch(rows, q.select("query_id", "mode", "tokens.words", "tokens.trigrams"), self.config.thresholds, self.config.default_result_limit if limit is None else limit)

@@ -102,8 +102,8 @@ def batch(postings: DataFrame, queries: DataFrame, limits: Thresholds = Threshol
     by_words = F.col("mode").isin("exact", "contains") | (F.size("trigrams") == 0)
     q = queries.select("query_id", "mode", F.when(by_words, WORD).otherwise(TRIGRAM).alias("kind"), F.when(by_words, F.col("words")).otherwise(F.col("trigrams")).alias("tokens"), (~by_words).alias("bounded"))
     tokens = q.select("query_id", "kind", F.explode("tokens").alias("token")).groupBy("query_id", "kind", "token").agg(F.count(F.lit(1)).alias("uses"))
-    tokens = tokens.persist()
-    small = tokens.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    # Counted from the queries themselves; nothing is kept in memory for a lazy result.
+    small = q.agg(F.coalesce(F.sum(F.size("tokens")), F.lit(0)).alias("n")).first()["n"] <= BROADCAST_ROWS
     side: DataFrame = F.broadcast(tokens) if small else tokens
     n = postings.join(side, ["kind", "token"]).groupBy("query_id", "entry_id").agg(F.sum("uses").alias("n"), F.count(F.lit(1)).alias("different"))
     about = q.select("query_id", "mode", "bounded", F.size("tokens").alias("total"), F.size(F.array_distinct("tokens")).alias("distinct_total"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 from dataclasses import dataclass, field
 
-from hushdex.errors import HushError, InvalidArgument
+from hushdex.errors import HushError, InternalError, InvalidArgument
 from hushdex.operators.engine import Engine
 from hushdex.operators.search import parse_mode
 from hushdex.plans.guard import ADMIN, READ, WRITE, AuthContext, Need
@@ -154,7 +154,7 @@ class Session:
         if command.name == "AUTH":
             if self.tokens is not None:
                 if command.values["token"] not in self.tokens:
-                    raise InvalidArgument("invalid token")
+                    raise InvalidArgument("unknown token")
                 self.context = self.tokens[command.values["token"]]
             return {"status": "ok"}
         return run(self.engine, command, self.context)
@@ -165,6 +165,8 @@ class Session:
             return json.dumps(self.call(words), ensure_ascii=False)
         except HushError as e:
             return f"ERR {e}"
+        except Exception as e:  # whatever Spark or the store raise is an answer too
+            return f"ERR {InternalError(type(e).__name__)}"
 
 
 def shell_split(line: str) -> list[str]:

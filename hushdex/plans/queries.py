@@ -32,17 +32,25 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def index_root(spark: SparkSession) -> str:
-    """A fresh folder that all machines see: below spark.checkpoint.dir where it is set."""
+    """A fresh folder that all machines see: below spark.checkpoint.dir. Only a session
+    on a single machine may do without."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
     return f"{shared.rstrip('/') if shared else 'file://' + tempfile.gettempdir()}/hushdex-index-{uuid.uuid4().hex}"
 
 
 def fresh_engine(spark: SparkSession) -> Engine:
     e = Engine(spark, index_root(spark))
-    atexit.register(_forget, e)
+    forget_at_exit(e)
     return e
 
 
+def forget_at_exit(e: Engine) -> None:
+    """Remove an engine's folder when the driver ends."""
+    atexit.register(_forget, e)
+
+
 def _forget(e: Engine) -> None:
     if e.spark.sparkContext._jsc is not None:
         e.store._drop(e.store.root)
@@ -97,17 +105,17 @@ def wire_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 # -- JSON ------------------------------------------------------------------------
 
 
-def _customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+def customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     doc = F.to_json(F.struct(F.col("c_name").alias("name"), F.col("c_mktsegment").alias("segment"), F.col("c_custkey").alias("key")))
     return read(spark, sf_dir, "customer").select("c_custkey", F.encode(doc, "UTF-8").alias("data"))
 
 
 def json_field(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _customers(spark, sf_dir).select("c_custkey", F.array_join(tokens.word_tokens(extract.extracted(F.col("data"), "segment")), " ").alias("words"))
+    return customers(spark, sf_dir).select("c_custkey", F.array_join(tokens.word_tokens(extract.extracted(F.col("data"), "segment")), " ").alias("words"))
 
 
 def json_all_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _customers(spark, sf_dir).select("c_custkey", F.array_join(tokens.word_tokens(extract.extracted(F.col("data"))), " ").alias("words"))
+    return customers(spark, sf_dir).select("c_custkey", F.array_join(tokens.word_tokens(extract.extracted(F.col("data"))), " ").alias("words"))
 
 
 def json_no_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -160,7 +168,7 @@ def _conversations_engine(spark: SparkSession, sf_dir: str) -> Engine:
     return e
 
 
-def _state(e: Engine, name: str) -> DataFrame:
+def state(e: Engine, name: str) -> DataFrame:
     m = e.store.load(name)
     return e.store.entries(m).select("entry_id", "version", F.size("words").cast("bigint").alias("words"), F.size("trigrams").cast("bigint").alias("trigrams"))
 
@@ -172,7 +180,7 @@ def index_info_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def put_last_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _state(_conversations_engine(spark, sf_dir), "talk")
+    return state(_conversations_engine(spark, sf_dir), "talk")
 
 
 def put_overwrite(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -183,7 +191,7 @@ def put_overwrite(spark: SparkSession, sf_dir: str) -> DataFrame:
     e.put_frame("over", docs.select("entry_id", "text"))
     again = docs.join(read(spark, sf_dir, "labels").select(F.col("doc_id").cast("string").alias("entry_id")), "entry_id", "left_semi")
     e.put_frame("over", again.select("entry_id", F.col("lang").alias("text")))
-    return _state(e, "over")
+    return state(e, "over")
 
 
 def delete_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -227,23 +235,23 @@ def _split(x: str) -> str:
     return rf"list_filter(regexp_split_to_array(lower({x}), '[^\p{{L}}\p{{N}}]+'), lambda y: y <> '')"
 
 
-def _w(x: str) -> str:
+def sql_words(x: str) -> str:
     return f"list_sort(list_distinct(list_transform({_split(x)}, lambda y: 'w:' || y)))"
 
 
-def _t(x: str) -> str:
+def sql_trigrams(x: str) -> str:
     long = f"list_filter({_split(x)}, lambda y: length(y) >= 3)"
     return f"list_sort(list_distinct(flatten(list_transform({long}, lambda y: list_transform(range(1, length(y) - 1), lambda i: 't:' || substr(y, i, 3))))))"
 
 
-def _hmac(x: str) -> str:
+def sql_hmac(x: str) -> str:
     ipad = bytes(b ^ 0x36 for b in TEST_KEY.ljust(64, b"\0")).hex()
     opad = bytes(b ^ 0x5C for b in TEST_KEY.ljust(64, b"\0")).hex()
     return f"sha256(unhex('{opad}') || unhex(sha256(unhex('{ipad}') || encode({x}))))"
 
 
-def _hits(source: str, query: str, kind: str, keep: str = "", limit: int = TOP) -> str:
-    f = _w if kind == "w" else _t
+def sql_hits(source: str, query: str, kind: str, keep: str = "", limit: int = TOP) -> str:
+    f = sql_words if kind == "w" else sql_trigrams
     return f"""
 WITH q AS (SELECT unnest({f(f"'{query}'")}) AS tok),
 p AS (SELECT id, unnest({f("text")}) AS tok FROM ({source})),
@@ -251,14 +259,14 @@ s AS (SELECT id AS entry_id, count(*)::DOUBLE / (SELECT count(*) FROM q)::DOUBLE
 SELECT entry_id, score FROM s {keep} ORDER BY score DESC, entry_id LIMIT {limit}"""
 
 
-_DOCS = "SELECT CAST(doc_id AS VARCHAR) AS id, text FROM documents"
+DOCS_SQL = "SELECT CAST(doc_id AS VARCHAR) AS id, text FROM documents"
 
 
 def _batch_sql(f: Callable[[str], str], least: float, limit: int) -> str:
     return f"""
 WITH q AS (SELECT item_id, unnest({f("text")}) AS tok FROM benchmark),
 t AS (SELECT item_id, count(*) AS total FROM q GROUP BY item_id),
-p AS (SELECT id, unnest({f("text")}) AS tok FROM ({_DOCS})),
+p AS (SELECT id, unnest({f("text")}) AS tok FROM ({DOCS_SQL})),
 s AS (SELECT item_id, id, count(*) AS n FROM p JOIN q USING (tok) GROUP BY item_id, id),
 r AS (SELECT item_id AS query_id, id AS entry_id, n::DOUBLE / total::DOUBLE AS score FROM s JOIN t USING (item_id))
 SELECT query_id, entry_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, entry_id) AS INTEGER) AS rank
@@ -266,40 +274,40 @@ FROM r WHERE score >= {least} QUALIFY row_number() OVER (PARTITION BY query_id O
 
 
 def oracle_sql() -> dict[str, str]:
-    sizes = f"CAST(len({_w('text')}) AS BIGINT) AS words, CAST(len({_t('text')}) AS BIGINT) AS trigrams"
+    sizes = f"CAST(len({sql_words('text')}) AS BIGINT) AS words, CAST(len({sql_trigrams('text')}) AS BIGINT) AS trigrams"
     fuzzy = f"""
-WITH q AS (SELECT unnest({_t(f"'{TRIGRAM_QUERY}'")}) AS tok),
-p AS (SELECT doc_id, unnest({_t("text")}) AS tok FROM documents),
+WITH q AS (SELECT unnest({sql_trigrams(f"'{TRIGRAM_QUERY}'")}) AS tok),
+p AS (SELECT doc_id, unnest({sql_trigrams("text")}) AS tok FROM documents),
 s AS (SELECT doc_id, count(*)::DOUBLE / (SELECT count(*) FROM q)::DOUBLE AS score FROM p JOIN q USING (tok) GROUP BY doc_id)
 SELECT count(*) AS scanned, count(*) FILTER (WHERE score >= 0.3) AS matched FROM s"""
     doubled = f"""
-WITH p AS (SELECT CAST(p_partkey AS VARCHAR) AS id, unnest({_w("p_name")}) AS tok FROM part),
+WITH p AS (SELECT CAST(p_partkey AS VARCHAR) AS id, unnest({sql_words("p_name")}) AS tok FROM part),
 q AS (SELECT unnest(['w:red', 'w:red', 'w:widget']) AS tok)
 SELECT id AS entry_id, count(*)::DOUBLE / 3.0::DOUBLE AS score FROM p JOIN q USING (tok) GROUP BY id ORDER BY score DESC, entry_id LIMIT {TOP}"""
     return {
-        "word_tokens": f"SELECT doc_id, array_to_string({_w('text')}, ' ') AS words FROM documents",
-        "trigram_tokens": f"SELECT doc_id, array_to_string({_t('text')}, ' ') AS trigrams FROM documents",
+        "word_tokens": f"SELECT doc_id, array_to_string({sql_words('text')}, ' ') AS words FROM documents",
+        "trigram_tokens": f"SELECT doc_id, array_to_string({sql_trigrams('text')}, ' ') AS trigrams FROM documents",
         "token_counts": f"SELECT p_partkey, {sizes} FROM (SELECT p_partkey, p_name AS text FROM part)",
-        "page_words": f"SELECT page_id, array_to_string({_w('url')}, ' ') AS words FROM pages",
-        "blind_words": f"SELECT p_partkey, array_to_string(list_transform({_w('p_name')}, lambda z: {_hmac('z')}), ',') AS words, array_to_string(list_transform({_t('p_name')}, lambda z: {_hmac('z')}), ',') AS trigrams FROM part",
-        "wire_roundtrip": f"SELECT p_partkey, array_to_string(list_transform({_w('p_name')}, lambda z: {_hmac('z')}), ',') AS words, CAST(len({_t('p_name')}) AS BIGINT) AS trigrams, true AS ok FROM part",
-        "json_field": f"SELECT c_custkey, array_to_string({_w('c_mktsegment')}, ' ') AS words FROM customer",
-        "json_all_strings": f"SELECT c_custkey, array_to_string({_w('''c_name || ' ' || c_mktsegment''')}, ' ') AS words FROM customer",
+        "page_words": f"SELECT page_id, array_to_string({sql_words('url')}, ' ') AS words FROM pages",
+        "blind_words": f"SELECT p_partkey, array_to_string(list_transform({sql_words('p_name')}, lambda z: {sql_hmac('z')}), ',') AS words, array_to_string(list_transform({sql_trigrams('p_name')}, lambda z: {sql_hmac('z')}), ',') AS trigrams FROM part",
+        "wire_roundtrip": f"SELECT p_partkey, array_to_string(list_transform({sql_words('p_name')}, lambda z: {sql_hmac('z')}), ',') AS words, CAST(len({sql_trigrams('p_name')}) AS BIGINT) AS trigrams, true AS ok FROM part",
+        "json_field": f"SELECT c_custkey, array_to_string({sql_words('c_mktsegment')}, ' ') AS words FROM customer",
+        "json_all_strings": f"SELECT c_custkey, array_to_string({sql_words('''c_name || ' ' || c_mktsegment''')}, ' ') AS words FROM customer",
         "json_no_strings": "SELECT event_id, CAST(0 AS BIGINT) AS words FROM events",
-        "search_exact": _hits(_DOCS, WORDS_QUERY, "w", "WHERE score = 1.0"),
-        "search_contains": _hits(_DOCS, WORDS_QUERY, "w"),
-        "search_prefix": _hits(_DOCS, TRIGRAM_QUERY, "t", "WHERE score >= 0.6"),
-        "search_fuzzy": _hits(_DOCS, TRIGRAM_QUERY, "t", "WHERE score >= 0.3"),
-        "search_short_fallback": _hits(_DOCS, SHORT_QUERY, "w"),
-        "search_limit_ties": _hits(_DOCS, TIES_QUERY, "w", "", 10),
+        "search_exact": sql_hits(DOCS_SQL, WORDS_QUERY, "w", "WHERE score = 1.0"),
+        "search_contains": sql_hits(DOCS_SQL, WORDS_QUERY, "w"),
+        "search_prefix": sql_hits(DOCS_SQL, TRIGRAM_QUERY, "t", "WHERE score >= 0.6"),
+        "search_fuzzy": sql_hits(DOCS_SQL, TRIGRAM_QUERY, "t", "WHERE score >= 0.3"),
+        "search_short_fallback": sql_hits(DOCS_SQL, SHORT_QUERY, "w"),
+        "search_limit_ties": sql_hits(DOCS_SQL, TIES_QUERY, "w", "", 10),
         "search_no_tokens": "SELECT '' AS entry_id, CAST(0 AS DOUBLE) AS score WHERE false",
         "search_stats": fuzzy,
         "search_blind_multiplicity": doubled,
-        "batch_search": _batch_sql(_w, 0.0, 10),
-        "batch_search_fuzzy": _batch_sql(_t, 0.3, 5),
+        "batch_search": _batch_sql(sql_words, 0.0, 10),
+        "batch_search_fuzzy": _batch_sql(sql_trigrams, 0.3, 5),
         "index_info_counts": "SELECT 'docs' AS name, count(DISTINCT doc_id) AS entry_count, CAST(1 AS BIGINT) AS tokenizer_version FROM documents UNION ALL SELECT 'empty', 0, 1",
         "put_last_wins": f"SELECT CAST(conv_id AS VARCHAR) AS entry_id, CAST(1 AS BIGINT) AS version, {sizes} FROM (SELECT conv_id, text FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) = 1)",
         "put_overwrite": f"SELECT CAST(doc_id AS VARCHAR) AS entry_id, CAST(CASE WHEN again THEN 2 ELSE 1 END AS BIGINT) AS version, {sizes} FROM (SELECT doc_id, doc_id IN (SELECT doc_id FROM labels) AS again, CASE WHEN doc_id IN (SELECT doc_id FROM labels) THEN lang ELSE text END AS text FROM documents)",
-        "delete_entries": _hits("SELECT CAST(p_partkey AS VARCHAR) AS id, p_name AS text FROM part WHERE NOT (p_size % 2 = 1)", "red widget ring", "w"),
-        "reconcile_orphans": _hits("SELECT CAST(doc_id AS VARCHAR) AS id, text FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)", WORDS_QUERY, "w"),
+        "delete_entries": sql_hits("SELECT CAST(p_partkey AS VARCHAR) AS id, p_name AS text FROM part WHERE NOT (p_size % 2 = 1)", "red widget ring", "w"),
+        "reconcile_orphans": sql_hits("SELECT CAST(doc_id AS VARCHAR) AS id, text FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)", WORDS_QUERY, "w"),
     }

@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 from urllib.parse import parse_qsl
 
-from hushdex.errors import AccessDenied, EntryNotFound, HushError, IndexExists, IndexNotFound, InvalidArgument, PolicyDenied
+from hushdex.errors import AccessDenied, EntryNotFound, HushError, IndexExists, IndexNotFound, InternalError, InvalidArgument, PolicyDenied
 from hushdex.operators.engine import Engine
 from hushdex.plans.command import Command, Session, run
 from hushdex.plans.guard import AuthContext
@@ -89,13 +89,16 @@ def application(engine: Engine, tokens: dict[str, AuthContext] | None = None) ->
             if header is not None:
                 kind, _, token = header.partition(" ")
                 if kind != "Bearer" or token not in tokens:
-                    return 401, {"error": "expected Bearer token" if kind != "Bearer" else "invalid token"}
+                    return 401, {"error": "unknown token" if kind == "Bearer" else f"{kind} is not a scheme of this server, Bearer is"}
                 context = tokens[token]
             elif route.command not in ("HEALTH", "INDEX LIST"):
-                return 401, {"error": "authentication required: Authorization: Bearer <token>"}
+                return 401, {"error": "this call needs a token"}
         given: object = dict(parse_qsl(env.get("QUERY_STRING", ""), keep_blank_values=True))
         if route.method == "POST":
-            size = int(env.get("CONTENT_LENGTH") or 0)
+            length = env.get("CONTENT_LENGTH") or "0"
+            if not length.isdecimal():
+                return 400, {"error": "the length of the body is no number"}
+            size = int(length)
             if size > MAX_BODY:
                 return 413, {"error": "body too large"}
             try:
@@ -108,6 +111,8 @@ def application(engine: Engine, tokens: dict[str, AuthContext] | None = None) ->
             reply = run(engine, command_of(route, given), context)
         except HushError as e:
             return STATUS.get(type(e), 500), {"error": str(e)}
+        except Exception as e:  # whatever Spark or the store raise is an answer too
+            return 500, {"error": str(InternalError(type(e).__name__))}
         return 200, reply | {"indexes": len(engine.names())} if route.command == "HEALTH" else reply
 
     def app(env: dict, start: Callable) -> Iterable[bytes]:

@@ -2,20 +2,25 @@
 
     <root>/keys/<index>.json                     key, apart from the data
     <root>/indexes/<index>/manifest.json         record, live segments, entry count
-    <root>/indexes/<index>/segment-<n>/entries   entry_id, version, deleted, words, trigrams
-    <root>/indexes/<index>/segment-<n>/postings  kind, token, entry_id (sorted by token)
-
-A write adds one segment and then replaces the manifest by a rename, so a crash in
-between leaves the old state. The newest segment that names an entry decides; when
-segments are many they are merged into one. One writer at a time.
+    <root>/indexes/<index>/<segment>/entries    entry_id, version, deleted, words, trigrams, seq
+    <root>/indexes/<index>/<segment>/postings   kind, token, entry_id (sorted by token)
+    <root>/indexes/<index>/<segment>/replaced   ids of the segment that older ones hold too
+
+A write adds one segment, whose name no other writer can draw, and then replaces the
+manifest by a rename, so a crash in between leaves the old state. The newest segment
+that names an entry decides. Searches read postings and, if any id was written twice,
+the replaced ids; never the entries. When segments are many, the newest ones are
+merged as far as they are not much smaller than the next older one. A writer whose
+manifest is no longer the stored one fails; one process's writers wait in line.
 """
 
 from __future__ import annotations
 
 import json
+import threading
 import time
 import uuid
-from dataclasses import asdict, dataclass, field
+from dataclasses import asdict, dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -24,10 +29,22 @@ from hushdex.errors import StoreError
 from hushdex.operators.search import postings_of
 from hushdex.sources.local import frame
 
-ENTRY = "entry_id string, version bigint, deleted boolean, words array<string>, trigrams array<string>"
+ENTRY = "entry_id string, version bigint, deleted boolean, words array<string>, trigrams array<string>, seq bigint"
 POSTING = "kind string, token string, entry_id string"
-#: Segments after which a write merges them.
+#: Segments after which a write merges some.
 MAX_SEGMENTS = 8
+#: A segment is merged with newer ones that together have this share of its rows.
+TIER = 0.5
+#: Ids up to which a look at entries filters them where they are read.
+PUSHED_IDS = 500
+
+
+@dataclass
+class Segment:
+    number: int
+    name: str
+    rows: int
+    replaced: int
 
 
 @dataclass
@@ -35,11 +52,15 @@ class Manifest:
     name: str
     created_at: int
     tokenizer_version: int = 1
-    segments: list[int] = field(default_factory=list)
+    segments: list[Segment] = field(default_factory=list)
     next_segment: int = 0
     entry_count: int = 0
 
 
+_locks: dict[tuple[str, str], threading.RLock] = {}
+_lock = threading.Lock()
+
+
 class Store:
     def __init__(self, spark: SparkSession, root: str) -> None:
         self.spark, self.root = spark, root.rstrip("/")
@@ -93,21 +114,35 @@ class Store:
         return sorted(n for n in found if self._fs.exists(self._path(f"{self._home(n)}/manifest.json")))
 
     def load(self, name: str) -> Manifest | None:
-        got = self._read(f"{self._home(name)}/manifest.json")
+        path = f"{self._home(name)}/manifest.json"
+        got = self._read(path)
+        for _ in range(20):
+            if got is not None or not self._fs.exists(self._path(self._home(name))):
+                break
+            time.sleep(0.01)  # not every file system replaces a file in one step
+            got = self._read(path)
         if got is None:
             return None
         try:
-            return Manifest(**got)
-        except TypeError as e:
+            return Manifest(**(got | {"segments": [Segment(**s) for s in got["segments"]]}))
+        except (TypeError, KeyError) as e:
             raise StoreError(f"corrupt record of index {name}") from e
 
+    def writing(self, name: str) -> threading.RLock:
+        """The lock of an index's writers in this process."""
+        with _lock:
+            return _locks.setdefault((self.root, name), threading.RLock())
+
     def create(self, name: str, key: bytes, version: int, now: int | None = None) -> Manifest:
         self._write(f"{self.root}/keys/{name}.json", {"key": key.hex()})
         m = Manifest(name, int(time.time()) if now is None else now, version)
         self._save(m)
         return m
 
-    def _save(self, m: Manifest) -> None:
+    def _save(self, m: Manifest, before: Manifest | None = None) -> None:
+        """Store a record; with ``before``, only if that one is still the stored one."""
+        if before is not None and self.load(m.name) != before:
+            raise StoreError(f"index {m.name} was changed by another writer")
         self._write(f"{self._home(m.name)}/manifest.json", asdict(m))
 
     def key(self, name: str) -> bytes:
@@ -118,11 +153,8 @@ class Store:
 
     # -- data ---------------------------------------------------------------------
 
-    def _segment(self, m: Manifest, n: int, part: str, ddl: str) -> DataFrame:
-        return self.spark.read.schema(ddl).parquet(f"{self._home(m.name)}/segment-{n}/{part}")
-
-    def _all(self, m: Manifest, part: str, ddl: str) -> DataFrame:
-        frames = [self._segment(m, n, part, ddl).withColumn("segment", F.lit(n)) for n in m.segments]
+    def _all(self, m: Manifest, part: str, ddl: str, segments: list[Segment] | None = None) -> DataFrame:
+        frames = [self.spark.read.schema(ddl).parquet(f"{self._home(m.name)}/{g.name}/{part}").withColumn("segment", F.lit(g.number)) for g in (m.segments if segments is None else segments)]
         if not frames:
             return frame(self.spark, [], ddl + ", segment int")
         out = frames[0]
@@ -130,13 +162,21 @@ class Store:
             out = out.unionByName(f)
         return out
 
-    def entries(self, m: Manifest) -> DataFrame:
-        """Live entries: entry_id, version, words, trigrams."""
-        every = self._all(m, "entries", ENTRY)
-        if len(m.segments) > 1:
+    def latest(self, m: Manifest, ids: DataFrame | None = None, segments: list[Segment] | None = None) -> DataFrame:
+        """The newest row of every entry, of deleted ones too; with ``ids``, a table of
+        distinct entry_ids, only theirs. A few ids are looked up by pushed filters."""
+        every = self._all(m, "entries", ENTRY, segments)
+        if ids is not None and m.segments:
+            few = [r["entry_id"] for r in ids.select("entry_id").limit(PUSHED_IDS + 1).collect()]
+            every = every.where(F.col("entry_id").isin(few)) if len(few) <= PUSHED_IDS else every.join(ids.select("entry_id"), "entry_id", "left_semi")
+        if len(m.segments if segments is None else segments) > 1:
             newest = Window.partitionBy("entry_id").orderBy(F.desc("segment"))
             every = every.withColumn("age", F.row_number().over(newest)).where("age = 1").drop("age")
-        return every.where("not deleted").select("entry_id", "version", "words", "trigrams")
+        return every.select("entry_id", "version", "deleted", "words", "trigrams", "seq")
+
+    def entries(self, m: Manifest, ids: DataFrame | None = None) -> DataFrame:
+        """Live entries: entry_id, version, words, trigrams, seq; see ``latest``."""
+        return self.latest(m, ids).where("not deleted").drop("deleted")
 
     def postings(self, m: Manifest) -> DataFrame:
         """All postings, with the segment they come from; see ``live``."""
@@ -145,39 +185,67 @@ class Store:
     def live(self, m: Manifest, rows: DataFrame) -> DataFrame:
         """Drop rows (entry_id, segment, ...) that a later segment replaced.
 
-        Only ids in more than one segment are looked at, and none after a merge.
+        Only ids that were written more than once are looked at.
         """
-        if len(m.segments) < 2:
+        again = [g for g in m.segments if g.replaced]
+        if not again:
             return rows.drop("segment")
-        ids = self._all(m, "entries", ENTRY).groupBy("entry_id").agg(F.max("segment").alias("newest"), F.min("segment").alias("oldest")).where("newest > oldest")
-        old = rows.join(ids.select("entry_id", "newest"), "entry_id", "left")
-        return old.where("newest is null or segment = newest").drop("segment", "newest")
+        last = self._all(m, "replaced", "entry_id string", again).groupBy("entry_id").agg(F.max("segment").alias("last"))
+        return rows.join(last, "entry_id", "left").where("last is null or segment >= last").drop("segment", "last")
 
     def append(self, m: Manifest, rows: DataFrame, entry_count: int) -> Manifest:
-        """Add a segment of entry rows (ENTRY columns, one row for each id)."""
-        n = m.next_segment
-        at = f"{self._home(m.name)}/segment-{n}"
-        rows.select("entry_id", "version", "deleted", "words", "trigrams").write.mode("overwrite").option("compression", "zstd").parquet(f"{at}/entries")
-        own = self.spark.read.schema(ENTRY).parquet(f"{at}/entries")
-        postings_of(own.where("not deleted")).repartitionByRange("kind", "token", "entry_id").sortWithinPartitions("kind", "token", "entry_id").write.mode("overwrite").option("compression", "zstd").parquet(f"{at}/postings")
-        new = Manifest(m.name, m.created_at, m.tokenizer_version, [*m.segments, n], n + 1, entry_count)
-        self._save(new)
+        """Add a segment of rows (ENTRY columns and ``again``: older segments hold the
+        id; one row for each id)."""
+        g = self._written(m, rows)
+        new = Manifest(m.name, m.created_at, m.tokenizer_version, [*m.segments, g], g.number + 1, entry_count)
+        self._save(new, m)
         return self.merge(new) if len(new.segments) > MAX_SEGMENTS else new
 
+    def set_aside(self, m: Manifest, rows: DataFrame) -> DataFrame:
+        """A table beside the index's segments, read back: it outlives what it was made from."""
+        at = f"{self._home(m.name)}/aside-{uuid.uuid4().hex}"
+        rows.write.option("compression", "zstd").parquet(at)
+        return self.spark.read.schema(rows.schema).parquet(at)
+
+    def _written(self, m: Manifest, rows: DataFrame) -> Segment:
+        n = m.next_segment
+        name = f"segment-{n}-{uuid.uuid4().hex}"
+        at = f"{self._home(m.name)}/{name}"
+        held = rows.select("entry_id", "version", "deleted", "words", "trigrams", "seq", "again").sortWithinPartitions("entry_id")
+        held.write.option("compression", "zstd").option("parquet.bloom.filter.enabled#entry_id", "true").parquet(f"{at}/entries")
+        own = self.spark.read.schema(ENTRY + ", again boolean").parquet(f"{at}/entries")
+        counts = own.agg(F.count(F.lit(1)).alias("rows"), F.count(F.when(F.col("again"), 1)).alias("again")).first()
+        if counts["again"]:
+            own.where("again").select("entry_id").write.option("compression", "zstd").parquet(f"{at}/replaced")
+        postings_of(own.where("not deleted")).repartitionByRange("kind", "token", "entry_id").sortWithinPartitions("kind", "token", "entry_id").write.option("compression", "zstd").parquet(f"{at}/postings")
+        return Segment(n, name, counts["rows"], counts["again"])
+
     def merge(self, m: Manifest) -> Manifest:
-        """Write all live entries as one segment, then drop the old ones."""
-        base = Manifest(m.name, m.created_at, m.tokenizer_version, [], m.next_segment, 0)
-        new = self.append(base, self.entries(m).withColumn("deleted", F.lit(False)), m.entry_count)
-        for n in m.segments:
-            self._drop(f"{self._home(m.name)}/segment-{n}")
+        """Write the newest segments as one: two at least, and older ones as long as
+        those newer than them are not much smaller."""
+        k, rows = len(m.segments) - 1, m.segments[-1].rows
+        while k > 0 and (k == len(m.segments) - 1 or rows >= TIER * m.segments[k - 1].rows):
+            k -= 1
+            rows += m.segments[k].rows
+        old, some = m.segments[:k], m.segments[k:]
+        again = [g for g in some if g.replaced]
+        ids = self._all(m, "replaced", "entry_id string", again).select("entry_id").distinct().withColumn("again", F.lit(True)) if again and old else None
+        every = self.latest(m, None, some)
+        every = every.join(ids, "entry_id", "left").withColumn("again", F.coalesce("again", F.lit(False))) if ids is not None else every.withColumn("again", F.lit(False))
+        # A deleted entry is kept while an older segment has it, or a later event may be about it.
+        g = self._written(m, every.where("not deleted or again or seq is not null"))
+        new = Manifest(m.name, m.created_at, m.tokenizer_version, [*old, g], g.number + 1, m.entry_count)
+        self._save(new, m)
+        for x in some:
+            self._drop(f"{self._home(m.name)}/{x.name}")
         return new
 
     def clear(self, m: Manifest, **change: object) -> Manifest:
         """Forget all entries; ``change`` replaces fields of the record."""
-        new = Manifest(**(asdict(m) | {"segments": [], "entry_count": 0} | change))
-        self._save(new)
-        for n in m.segments:
-            self._drop(f"{self._home(m.name)}/segment-{n}")
+        new = replace(m, segments=[], entry_count=0, **change)
+        self._save(new, m)
+        for g in m.segments:
+            self._drop(f"{self._home(m.name)}/{g.name}")
         return new
 
     def rotate(self, m: Manifest, key: bytes, now: int) -> Manifest:

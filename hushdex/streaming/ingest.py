@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
 from hushdex.operators.engine import Engine
@@ -15,20 +14,14 @@ EVENT = "entry_id string, op string, text string, seq bigint"
 
 
 def applier(engine: Engine, index: str) -> Callable[[DataFrame, int], None]:
-    """Micro-batch handler: the last event of each id wins, then one write of each kind.
+    """Micro-batch handler: one write for each batch.
 
-    A batch that is delivered again leads to the same entries.
+    The event of the largest seq decides about an id, in whichever batch it comes; a
+    late event, or a batch that is delivered again, changes nothing.
     """
 
     def apply(batch: DataFrame, _: int) -> None:
-        last = batch.where("entry_id <> ''").groupBy("entry_id").agg(F.max_by(F.struct("op", "text"), "seq").alias("e")).select("entry_id", "e.op", "e.text").persist()
-        puts = last.where("op = 'put'")
-        if not puts.isEmpty():
-            engine.put_frame(index, puts)
-        gone = last.where("op = 'delete'").select("entry_id")
-        if not gone.isEmpty():
-            engine.delete_frame(index, gone)
-        last.unpersist()
+        engine.apply_frame(index, batch)
 
     return apply
 

@@ -49,7 +49,7 @@ def test_replies(engine):
     assert s.call(["PING"]) == "PONG" and s.call(["HEALTH"]) == {"status": "ok"}
     assert s.call(["COMMAND", "LIST"])["count"] == len(FORMS) == 16
     assert set(s.call(["HELLO"])) == {"engine", "version", "protocol", "commands", "capabilities"}
-    assert json.loads(s.execute(["PING"])) == "PONG" and s.execute(["INDEX", "INFO", "i"]) == "ERR index not found: i"
+    assert json.loads(s.execute(["PING"])) == "PONG" and s.execute(["INDEX", "INFO", "i"]) == "ERR there is no index 'i'"
 
 
 def test_access(engine):
@@ -57,7 +57,7 @@ def test_access(engine):
     tokens = {"r": AuthContext("ana", grants=grant("read")), "w": AuthContext("bob", grants=grant("write")), "a": AuthContext("root", platform=True), "m": AuthContext("max", grants=(Grant("*", ("admin",)),))}
     s = Session(engine, tokens)
     assert s.execute(["INDEX", "CREATE", "i"]).startswith("ERR access denied")
-    assert s.execute(["PING"]) == '"PONG"' and s.execute(["AUTH", "zzz"]) == "ERR invalid argument: invalid token"
+    assert s.execute(["PING"]) == '"PONG"' and s.execute(["AUTH", "zzz"]) == "ERR bad argument: unknown token"
     for token, allowed in (("a", "CPS"), ("w", "P"), ("r", "S"), ("m", "C")):
         s.execute(["AUTH", token])
         calls = {"C": ["INDEX", "CREATE", "i" if token == "a" else "j"], "P": ["PUT", "i", "x", b64("x")], "S": ["SEARCH", "i", "x"]}

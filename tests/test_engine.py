@@ -256,3 +256,80 @@ def test_guard(spark, tmp_path):
     for config in (Config(require_audit=True), Config(require_policy=True)):
         with pytest.raises(InternalError, match="required"):
             Engine(spark, f"file://{tmp_path}/g", config)
+
+
+def test_writers_of_one_process_wait_in_line(engine):
+    from concurrent.futures import ThreadPoolExecutor
+
+    engine.create("i")
+    with ThreadPoolExecutor(4) as pool:
+        versions = list(pool.map(lambda k: engine.put("i", f"e{k % 3}", b64(f"word{k}")), range(6)))
+    assert sorted(versions) == [1, 1, 1, 2, 2, 2] and engine.info("i").entry_count == 3
+
+
+def test_a_writer_with_an_old_record_fails(engine):
+    engine.create("i")
+    old = engine.store.load("i")
+    engine.put("i", "a", b64("x"))
+    rows = engine.spark.createDataFrame([("b", 1, False, ["w"], ["t"], None, False)], "entry_id string, version bigint, deleted boolean, words array<string>, trigrams array<string>, seq bigint, again boolean")
+    with pytest.raises(StoreError, match="another writer"):
+        engine.store.append(old, rows, 1)
+    assert found(engine, "i", "x")[0] == [("a", 1.0)] and engine.info("i").entry_count == 1
+
+
+def test_searches_read_no_entries(engine):
+    fill(engine, "i", WORDS)
+    fill(engine, "i", [("p9", "green chair")])
+    plan = lambda: engine.search("i", "chair").hits._jdf.queryExecution().executedPlan().toString()
+    assert "/entries" not in plan() and "/replaced" not in plan()
+    fill(engine, "i", [("p1", "red stool")])  # an id written again: only such ids are looked up
+    assert "/entries" not in plan() and found(engine, "i", "chair")[0] == [("p3", 1.0), ("p9", 1.0)]
+
+
+def test_merges_keep_to_segments_of_like_size(engine):
+    fill(engine, "i", [(f"d{k}", "all") for k in range(300)])
+    big = engine.store.load("i").segments[0].name
+    for k in range(9):
+        fill(engine, "i", [(f"d{k}", f"all new{k}"), (f"x{k}", "all")])
+    engine.delete("i", "d8")
+    for k in range(9, 18):
+        fill(engine, "i", [(f"x{k}", "all")])
+    m = engine.store.load("i")
+    assert m.segments[0].name == big and len(m.segments) <= 9
+    assert engine.info("i").entry_count == 317 and found(engine, "i", "all", limit=0)[1] == 317
+    assert found(engine, "i", "new3")[0] == [("d3", 1.0)] and found(engine, "i", "new8")[0] == []
+    assert engine.store.entries(m).where("entry_id = 'd5'").first()["version"] == 2
+
+
+def test_late_events_change_nothing(engine):
+    engine.create("i")
+    events = lambda *rows: engine.spark.createDataFrame(list(rows), "entry_id string, op string, text string, seq bigint")
+    engine.apply_frame("i", events(("a", "put", "newest", 10), ("b", "put", "one", 1)))
+    engine.apply_frame("i", events(("a", "put", "older", 3), ("b", "delete", None, 5), ("zz", "delete", None, 9)))
+    engine.apply_frame("i", events(("b", "put", "late", 4), ("zz", "put", "late", 8), ("c", "put", "fresh", 1)))
+    engine.apply_frame("i", events(("c", "put", "fresh", 1)))
+    assert found(engine, "i", "newest older late one fresh", "contains", limit=9)[0] == [("a", 0.2), ("c", 0.2)]
+    assert {r["entry_id"]: r["version"] for r in engine.store.entries(engine.store.load("i")).collect()} == {"a": 1, "c": 1}
+    assert engine.info("i").entry_count == 2
+
+
+def test_bulk_puts_by_field_and_order(engine):
+    engine.create("i")
+    rows = [("a", '{"t":"kilo","u":"metre"}', 2), ("a", '{"t":"old"}', 1), ("b", "no json", 1)]
+    engine.put_frame("i", engine.spark.createDataFrame(rows, "entry_id string, text string, at int"), order=F.col("at"), field="t")
+    assert found(engine, "i", "kilo metre old json")[0] == [("a", 0.25), ("b", 0.25)]
+    key = blind.BlindKey.generate()
+    sets = [("c", blind.encode_set(*key.tokenize(t)), k) for k, t in enumerate(("first", "second", "third"))]
+    engine.put_blind_frame("i", engine.spark.createDataFrame(sets, "entry_id string, data string, at int"), order=-F.col("at"))
+    assert found(engine, "i", blind.encode_set(*key.tokenize("first")), is_blind=True)[0] == [("c", 1.0)]
+    q = engine.spark.createDataFrame([(1, blind.encode_set(*key.tokenize("first second")), "contains")], "query_id int, query string, mode string")
+    assert [tuple(r) for r in engine.search_frame("i", q, is_blind=True).collect()] == [(1, "c", 0.5, 1)]
+
+
+@pytest.mark.parametrize(("row", "what"), [((1, "x", "nearby"), "unknown match mode"), ((1, "", "fuzzy"), "empty"), ((1, None, "fuzzy"), "empty"), ((1, "x", None), "unknown match mode")])
+def test_batch_search_checks_its_queries(engine, row, what):
+    fill(engine, "i", WORDS)
+    with pytest.raises(InvalidArgument, match=what):
+        engine.search_frame("i", engine.spark.createDataFrame([(0, "red", "exact"), row], "query_id int, query string, mode string"))
+    with pytest.raises(InvalidArgument, match="negative"):
+        engine.search_frame("i", engine.spark.createDataFrame([(0, "red", "exact")], "query_id int, query string, mode string"), -1)

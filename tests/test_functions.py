@@ -3,7 +3,7 @@ import hmac
 import json
 
 import pytest
-from hypothesis import given
+from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
@@ -36,6 +36,13 @@ def test_column_and_plain_tokens_agree(spark):
     assert tokens_of(spark, texts) == [tokens.plain_tokens(t) for t in texts]
 
 
+def test_column_and_plain_tokens_agree_on_every_code_point(spark):
+    texts = ["".join(f"a{chr(c)}b " for c in range(k, k + 512) if not 0xD800 <= c < 0xE000) for k in range(0, 0x110000, 512)]
+    got = tokens_of(spark, texts)
+    wrong = [hex(k * 512) for k, (t, g) in enumerate(zip(texts, got, strict=True)) if g != tokens.plain_tokens(t)]
+    assert wrong == []
+
+
 def test_hmac_fixed_values(spark):
     want = {"w:lamp": "4120f1aa590b32fb8aee13f67f81bfc403cbc3d69cc958131e263f517d1943e5", "t:lam": "54325339be93f853e63469405c22b7913c32f479e9ce050ed99fc1e5ee4304c9"}
     i, o = keys.pads(KEY)
@@ -79,6 +86,7 @@ def test_extract_bytes_and_column(spark):
     assert [r[0] for r in df.select(extract.extracted(F.col("d"), "town")).collect()] == ["Oslo", "\ufffd", None]
 
 
+@settings(deadline=None)
 @given(st.dictionaries(st.text(max_size=5), st.one_of(st.text(max_size=8), st.integers(-(2**63), 2**63 - 1), st.none()), max_size=4))
 def test_extract_takes_top_level_strings(value):
     assert extract.text_of(json.dumps(value, ensure_ascii=False).encode("utf-8", "surrogatepass")) == " ".join(v for v in value.values() if isinstance(v, str))
@@ -95,6 +103,15 @@ def test_base64_is_strict(spark):
             blind.decode_base64(c)
 
 
+def test_clients_and_columns_agree_on_the_wire(spark):
+    """Token sets of many lines' worth of base64, made on either side and read on the other."""
+    key = blind.BlindKey(KEY)
+    words, trigrams = key.tokenize("a text of more than a few words")
+    sent = blind.encode_set(words, trigrams)
+    row = spark.createDataFrame([(sent, words, trigrams)], "t string, words array<string>, trigrams array<string>").select(blind.unwire(F.col("t")).alias("s"), blind.wire(F.struct("words", "trigrams")).alias("w")).first()
+    assert (row["s"]["words"], row["s"]["trigrams"], row["w"]) == (words, trigrams, sent)
+
+
 def test_wire(spark):
     df = spark.createDataFrame([(["ab"], ["cd", "ef"])], "words array<string>, trigrams array<string>").select(blind.wire(F.struct("words", "trigrams")).alias("w"))
     text = df.first()["w"]

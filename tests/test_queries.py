@@ -5,6 +5,7 @@ import os
 import duckdb
 import pytest
 
+from hushdex.plans import contract
 from hushdex.plans import queries as core
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
@@ -19,10 +20,13 @@ def tables():
     return con
 
 
-@pytest.mark.parametrize("name", sorted(core.oracle_sql()))
+QUERIES, SQL = core.queries() | contract.queries(), core.oracle_sql() | contract.oracle_sql()
+
+
+@pytest.mark.parametrize("name", sorted(SQL))
 def test_query(spark, tables, name):
-    got = core.queries()[name](spark, SF)
-    want = tables.execute(core.oracle_sql()[name])
+    got = QUERIES[name](spark, SF)
+    want = tables.execute(SQL[name])
     names = [d[0] for d in want.description]
     rows = sorted(tuple(map(str, r)) for r in want.fetchall())
     assert sorted(got.columns) == sorted(names)

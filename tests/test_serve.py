@@ -91,7 +91,47 @@ def test_socket(engine):
 
             assert call("PING") == "PONG" and call("INDEX", "CREATE", "i")["status"] == "ok"
             assert call("PUT", "i", "a", b64("é x"))["version"] == 1 and call("SEARCH", "i", "é")["matched"] == 1
-            assert call("NOPE") == "-ERR invalid argument: unknown command: NOPE"
+            assert call("NOPE") == "-ERR bad argument: unknown command: NOPE"
     finally:
         server.shutdown()
         server.server_close()
+
+
+def test_client(engine):
+    from hushdex.client import Client, ServerError
+    from hushdex.functions.blind import BlindKey
+
+    server = socket_server(engine, ("127.0.0.1", 0), {"t": AuthContext("ana", platform=True)})
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    try:
+        with Client(*server.server_address, token="t") as c:
+            assert c.ping() == "PONG" and c.create("i")["status"] == "ok" and c.indexes() == ["i"]
+            assert c.put("i", "a", b'{"t":"red chair","u":"x"}', "t")["version"] == 1
+            assert c.search("i", "chair", "exact", 3)["results"] == [{"id": "a", "score": 1.0}]
+            key = BlindKey.generate()
+            c.put_blind("i", "b", key, "größer é".encode())
+            assert c.search_blind("i", key, "é")["results"] == [{"id": "b", "score": 1.0}]
+            assert c.info("i")["entry_count"] == 2 and c.reconcile("i", ["b"])["orphans_removed"] == 1
+            with pytest.raises(ServerError, match="no index"):
+                c.info("none")
+            assert c.destroy("i")["deleted_entries"] == 1 and c.health() == {"status": "ok"}
+        with pytest.raises(ServerError, match="token"):
+            Client(*server.server_address, token="zz")
+    finally:
+        server.shutdown()
+        server.server_close()
+
+
+def test_other_errors_are_answers_too(engine, monkeypatch):
+    from hushdex.plans.command import Session
+
+    def broken(*_):
+        raise RuntimeError("x")
+
+    monkeypatch.setattr(engine, "info", broken)
+    assert Session(engine).execute(["INDEX", "INFO", "i"]) == "ERR internal: RuntimeError"
+    app = application(engine)
+    assert caller(app)("GET", "/index/info", query="name=i") == (500, {"error": "internal: RuntimeError"})
+    got = []
+    app({"REQUEST_METHOD": "POST", "PATH_INFO": "/put", "CONTENT_LENGTH": "no"}, lambda status, _: got.append(status))
+    assert got == ["400 Bad Request"]
