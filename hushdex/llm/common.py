@@ -76,6 +76,24 @@ def bucketed(df: DataFrame, name: str, key: str) -> DataFrame:
     return spark.table(table)
 
 
+#: A key of more rows than this, and than one in HOT_SHARE of all, is joined by broadcast.
+HOT_ROWS, HOT_SHARE = 100, 10_000
+
+
+def hot_join(left: DataFrame, right: DataFrame, key: str, rows: int) -> DataFrame:
+    """Inner join of ``left`` (of about ``rows`` rows) with one row for each key.
+
+    ``right`` tells in its column rows, which is dropped, how many rows its key has on
+    the left. Of keys with more than HOT_ROWS and one in HOT_SHARE of all rows there
+    are HOT_SHARE at most: their rows are broadcast, and the left side's stay where
+    they are. All others meet in a shuffle in which none is large.
+    """
+    most = max(HOT_ROWS, rows // HOT_SHARE)
+    hot = F.broadcast(right.where(F.col("rows") > most).drop("rows"))
+    cold = left.join(hot.select(key), key, "left_anti").join(right.where(F.col("rows") <= most).drop("rows"), key)
+    return left.join(hot, key).unionByName(cold)
+
+
 #: Rows of an Arrow batch: texts are long, and a batch exists in the JVM and in Python at once.
 BATCH_ROWS = 1_000
 

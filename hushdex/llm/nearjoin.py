@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hushdex.llm.common import ALNUM_TABLE, arrow_schema, saved, shingle_hashes, slices, to_batches, word_hashes
+from hushdex.llm.common import ALNUM_TABLE, arrow_schema, hot_join, saved, shingle_hashes, slices, to_batches, word_hashes
 from hushdex.llm.components import components
 
 #: Tries and their full depth; a step of a path takes two bytes.
@@ -272,12 +272,13 @@ def verified(docs: DataFrame, members: DataFrame, n: int, threshold: float, leas
     return dealt.mapInArrow(check, out)
 
 
-def grouped(classes: DataFrame, tries: DataFrame, depth: int) -> tuple[DataFrame, DataFrame]:
-    """Members (key, comp) of the candidate groups at ``depth``, and their groups
+def grouped(classes: DataFrame, tries: DataFrame, depth: int, rows: int) -> tuple[DataFrame, DataFrame]:
+    """Members (key, comp) of the candidate groups at ``depth`` of ``tries`` (of so many
+    ``rows``), and their groups
     (comp, blocks, many, sign): a sign tells whether a group is the same at two depths."""
     nodes = tries.where(F.col("depth") >= depth).select("key", F.substring("path", 1, 1 + STEP * depth).alias("node"))
-    heads = saved(nodes.groupBy("node").agg(F.min("key").alias("v"), F.count(F.lit(1)).alias("many")).where("many > 1").select("node", "v"), "heads")
-    edges = nodes.join(heads, "node").where("key <> v").select(F.col("key").alias("u"), "v")
+    heads = nodes.groupBy("node").agg(F.min("key").alias("v"), F.count(F.lit(1)).alias("rows")).where("rows > 1")
+    edges = hot_join(nodes, heads, "node", rows).where("key <> v").select(F.col("key").alias("u"), "v")
     groups = components(edges)
     # Every member of a candidate group, its smallest key too.
     member = groups.select(F.col("u").alias("key"), F.col("v").alias("comp")).union(groups.select(F.col("v").alias("key"), F.col("v").alias("comp")).distinct())
@@ -291,12 +292,12 @@ def linked(docs: DataFrame, classes: DataFrame, n: int, threshold: float, recall
     """(comp, key, links, root) rows of all links, by matched prefixes as short as ``recall`` asks for."""
     least = shortest_prefix(threshold, recall)
     tries = saved(forest(classes, least), "forest")
-    links, old, depth = None, None, DEPTH
+    links, old, depth, rows = None, None, DEPTH, tries.count()
     while True:
-        member, stats = grouped(classes, tries, depth)
+        member, stats = grouped(classes, tries, depth, rows)
         new = stats if old is None else stats.join(old, ["comp", "many", "sign"], "left_anti")
-        todo = member.join(new.select("comp", "blocks"), "comp").join(classes.select("key", "doc_id", "mark"), "key")
-        got = verified(docs, saved(todo, "todo"), n, threshold, least)
+        todo = hot_join(member, new.select("comp", "blocks", F.col("many").alias("rows")), "comp", rows).join(classes.select("key", "doc_id", "mark"), "key")
+        got = verified(docs, todo, n, threshold, least)
         if links is not None:
             kept = stats.join(old, ["comp", "many", "sign"], "left_semi").select("comp")
             got = got.unionByName(links.join(kept, "comp", "left_semi"))
@@ -331,9 +332,9 @@ def _known(docs: DataFrame, threshold: float, n: int, recall: float) -> tuple[Da
     joined = components(links.select(F.col("key").alias("u"), F.col("root").alias("v")))
     known = classes.select("key", "doc_id", "mark", "n_copies").join(count, "key", "left").where("n_copies > 1 or n_links > 0")
     known = saved(known.join(joined.select(F.col("u").alias("key"), F.col("v").alias("top")), "key", "left").withColumn("top", F.coalesce("top", "key")), "known")
-    first = saved(known.groupBy("top").agg(least).select("top", "rep.doc_id", "rep.mark"), "tops")
-    many = known.select("key", "top", "n_copies", "n_links").join(first, "top").withColumn("class_id", F.col("doc_id"))
-    return table, many
+    first = known.groupBy("top").agg(least, F.count(F.lit(1)).alias("rows")).select("top", "rep.doc_id", "rep.mark", "rows")
+    many = hot_join(known.select("key", "top", "n_copies", "n_links"), first, "top", known.count())
+    return table, many.withColumn("class_id", F.col("doc_id"))
 
 
 def near_duplicates(docs: DataFrame, threshold: float = 0.8, n: int = 5, recall: float = 0.999) -> DataFrame:

@@ -11,7 +11,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from hushdex.llm import gru, langid, lmscore, nearjoin, toxicity, urlfilter
+from hushdex.llm import common, gru, langid, lmscore, nearjoin, toxicity, urlfilter
 from hushdex.llm.components import components
 
 fold = lambda doc, n: zlib.crc32(("" if doc is None else str(doc)).encode()) % n
@@ -370,7 +370,7 @@ def test_prefix_is_shortened_until_the_recall(spark, monkeypatch, changed, depth
         rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(near))]
     depths = []
     grouped = nearjoin.grouped
-    monkeypatch.setattr(nearjoin, "grouped", lambda classes, tries, d: depths.append(d) or grouped(classes, tries, d))
+    monkeypatch.setattr(nearjoin, "grouped", lambda classes, tries, d, rows: depths.append(d) or grouped(classes, tries, d, rows))
     got = nearjoin.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
     assert depths[0] == nearjoin.DEPTH and depths[-1] == depth
     assert sum(r["n_links"] == 1 and r["class_id"] == r["doc_id"] // 2 * 2 for r in got) >= 0.999 * len(got)
@@ -388,8 +388,9 @@ def test_recall_at_the_threshold(spark):
 
 
 @pytest.mark.parametrize("seed", range(3))
-def test_components(spark, seed):
+def test_components(spark, monkeypatch, seed):
     rng = random.Random(seed)
+    monkeypatch.setattr(common, "HOT_ROWS", 2 if seed == 2 else 100)
     edges = [(a := rng.randrange(80), (a + rng.choice([1, 2, 3])) % 100 if seed else a + 1) for _ in range(70)] + [(5, 5)]
     root = {n: n for e in edges for n in e}
     for _ in root:

@@ -24,4 +24,7 @@ def test_query(spark, name):
 
 
 def test_names_are_complete():
-    assert {n.split("_")[0] for n in llm.queries()} == {*(f"op{k}" for k in range(1, 11)), "pipeline"}
+    import __spark_entry__ as entry
+
+    assert {n.split("_")[0] for n in llm.queries()} == {f"op{k}" for k in range(1, 11)}
+    assert {*llm.queries(), "pipeline"} <= set(entry.queries())
