@@ -3,6 +3,11 @@
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last
 return the columns of ``documents``. ``run`` writes each stage's rows as Parquet
 and reads them again for the next.
+
+For all stages: a null or empty text is clean, has no passages and no personal data
+and stays as it is; rows with null or repeated ids are judged by themselves; texts of
+any length are taken whole; columns of any name and null values in them are carried
+along; an empty table gives an empty one. What a stage adds to that is said there.
 """
 
 from __future__ import annotations
@@ -15,29 +20,35 @@ from hushdex.llm.common import read_table, saved, ship
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity scorer does not reject."""
+    """Documents that the toxicity scorer does not reject. Without labels of both kinds
+    none is rejected."""
     return toxicity.without_toxic(docs, read_table(spark, sf_dir, "labels"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked texts: that with the smallest id."""
+    """One document of each group of linked texts: that with the smallest id, a null one
+    last; of rows that agree in id and text one. Texts without words are in no group
+    and all stay."""
     ship(spark)
     return nearjoin.one_of_each(docs)
 
 
 def cut_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, benchmark passages cut out of their texts."""
+    """All documents, benchmark passages cut out of their texts; n_chars follows, and is
+    left alone where nothing was cut."""
     return fmindex.decontaminated(docs, read_table(spark, sf_dir, "benchmark"))
 
 
 def redact_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, personal data replaced by the names of their kinds."""
+    """All documents, personal data replaced by the names of their kinds; n_chars follows
+    where something was replaced."""
     ship(spark)
     return pii.redacted(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document, with digests of the ids and of the decoded text."""
+    """Token ids of every document, with digests of the ids and of the decoded text; no
+    ids for a null or empty text."""
     ship(spark)
     # Shorter chunks than the operator's own: the workers have served four stages before.
     return bpe.bpe_roundtrip(docs, public_tokenizers.path("byte_bpe_50k.json"), keep_ids=True, chunk_chars=8_000_000)

@@ -26,20 +26,31 @@ def _trigrams_of(word: Column) -> Column:
     return F.when(n >= 3, F.transform(F.sequence(F.lit(1), n - 2), lambda i: F.substring(word, i, F.lit(3)))).otherwise(F.array().cast("array<string>"))
 
 
+def _marked(kind: str, found: Column) -> Column:
+    """Sorted tokens of distinct texts; the mark in front changes no order."""
+    return F.transform(F.array_sort(found), lambda x: F.concat(F.lit(f"{kind}:"), x))
+
+
+def _trigrams(distinct: Column) -> Column:
+    # Of distinct words: a text repeats most of them.
+    return F.array_distinct(F.flatten(F.transform(distinct, _trigrams_of)))
+
+
 def word_tokens(text: Column) -> Column:
     """Sorted distinct ``w:`` tokens."""
-    return F.array_sort(F.array_distinct(F.transform(words(text), lambda w: F.concat(F.lit("w:"), w))))
+    return _marked(WORD, F.array_distinct(words(text)))
 
 
 def trigram_tokens(text: Column) -> Column:
     """Sorted distinct ``t:`` tokens of words of three characters or more."""
-    return F.array_sort(F.array_distinct(F.transform(F.flatten(F.transform(words(text), _trigrams_of)), lambda t: F.concat(F.lit("t:"), t))))
+    return _marked(TRIGRAM, _trigrams(F.array_distinct(words(text))))
 
 
 def token_set(text: Column) -> Column:
     """Struct of both token lists; a null text has empty lists."""
-    t = F.coalesce(text, F.lit(""))
-    return F.struct(word_tokens(t).alias("words"), trigram_tokens(t).alias("trigrams"))
+    distinct = F.array_distinct(words(F.coalesce(text, F.lit(""))))
+    # A list of one, so that the words are cut once for both lists.
+    return F.transform(F.array(distinct), lambda d: F.struct(_marked(WORD, d).alias("words"), _marked(TRIGRAM, _trigrams(d)).alias("trigrams")))[0]
 
 
 # -- the same without Spark ------------------------------------------------------
