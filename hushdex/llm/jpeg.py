@@ -438,11 +438,23 @@ def thumbnail(im: Image, coef: np.ndarray) -> np.ndarray:
     return np.clip(np.round(grey / 8 + 128), 0, 255).astype(np.uint8)
 
 
+def cells(n: int, many: int) -> tuple[np.ndarray, np.ndarray]:
+    """Begin and end of each of ``many`` stretches that together cover ``n`` pixels;
+    where pixels are fewer than stretches, neighbours share them."""
+    begin = np.arange(many) * n // many
+    return begin, np.maximum(begin + 1, (np.arange(many) + 1) * n // many)
+
+
 def thumbnail_hash(thumb: np.ndarray) -> str:
-    """64 bits: which of 8x8 sampled cells are brighter than their right neighbour."""
-    h, w = thumb.shape
-    g = thumb[np.arange(8) * h // 8][:, np.arange(9) * w // 9]
-    return np.packbits(g[:, :-1] > g[:, 1:]).tobytes().hex()
+    """64 bits: which of 8 by 8 cells are brighter than their right neighbours, by the
+    mean over all pixels of a cell."""
+    (top, bottom), (left, right) = cells(thumb.shape[0], 8), cells(thumb.shape[1], 9)
+    sums = np.zeros((thumb.shape[0] + 1, thumb.shape[1] + 1), np.int64)
+    sums[1:, 1:] = thumb.cumsum(0, dtype=np.int64).cumsum(1)
+    box = sums[bottom][:, right] - sums[top][:, right] - sums[bottom][:, left] + sums[top][:, left]
+    size = (bottom - top)[:, None] * (right - left)[None, :]
+    # Means compared without division.
+    return np.packbits(box[:, :-1] * size[:, 1:] > box[:, 1:] * size[:, :-1]).tobytes().hex()
 
 
 def payload_of(im: Image, coef: np.ndarray) -> tuple[int, bytes]:

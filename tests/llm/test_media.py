@@ -120,6 +120,20 @@ def test_decoder_against_scalar_coder(comps, restart):
         assert thumb.shape == (-(-im.height // 8), -(-im.width // 8))
 
 
+@pytest.mark.parametrize("shape", [(1, 1), (2, 3), (8, 9), (40, 31), (125, 125)])
+def test_thumbnail_hash_takes_every_pixel(shape):
+    rng = np.random.default_rng(5)
+    thumb = rng.integers(0, 256, shape).astype(np.uint8)
+    bits = []
+    for k in range(8):
+        mean = []
+        for j in range(9):
+            a, b = k * shape[0] // 8, j * shape[1] // 9
+            mean.append(thumb[a : max(a + 1, (k + 1) * shape[0] // 8), b : max(b + 1, (j + 1) * shape[1] // 9)].mean())
+        bits += [mean[j] > mean[j + 1] for j in range(8)]
+    assert jpeg.thumbnail_hash(thumb) == np.packbits(bits).tobytes().hex()
+
+
 def test_thumbnail_values():
     blocks = np.zeros((6, 64), int)
     blocks[:, 0] = [0, 32, -32, 64, -64, 8]
