@@ -237,12 +237,29 @@ ALNUM_TABLE = bytes(c + 32 if 65 <= c <= 90 else c if ALNUM[c] else 32 for c in
 LOWER_TABLE = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
-def word_hashes(data: bytes) -> np.ndarray:
-    """64-bit hashes of the alphanumeric words of ``data``, in text order.
+#: Bytes whose words are hashed at once; numpy takes some twenty times as many.
+HASH_BYTES = 1 << 20
 
-    Polynomial prefix sums give each word's hash without cutting strings.
-    """
-    a = np.frombuffer(data.translate(ALNUM_TABLE), np.uint8)
+
+def word_hashes(data: bytes) -> np.ndarray:
+    """64-bit hashes of the alphanumeric words of ``data``, in text order."""
+    data = data.translate(ALNUM_TABLE)
+    out, at = [], 0
+    while len(data) - at > HASH_BYTES:
+        end = data.rfind(b" ", at + 1, at + HASH_BYTES)
+        if end < 0:  # a longer word stays whole
+            end = data.find(b" ", at + HASH_BYTES)
+        if end < 0:
+            break
+        out.append(_word_hashes(data[at:end]))
+        at = end
+    out.append(_word_hashes(data[at:]))
+    return np.concatenate(out) if len(out) > 1 else out[0]
+
+
+def _word_hashes(data: bytes) -> np.ndarray:
+    """Polynomial prefix sums give each word's hash, wherever it stands, without cutting strings."""
+    a = np.frombuffer(data, np.uint8)
     if not len(a):
         return np.zeros(0, np.uint64)
     edge = np.diff(np.concatenate(([0], (a != 32).view(np.int8), [0])).astype(np.int8))

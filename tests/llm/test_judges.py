@@ -396,6 +396,16 @@ def test_near_duplicates_without_ids(spark):
     assert sorted(got, key=order) == sorted(near_brute(rows), key=order)
 
 
+def test_word_hashes_of_long_texts(monkeypatch):
+    rng = random.Random(18)
+    words = ["".join(rng.choice("abcé9") for _ in range(rng.choice([1, 3, 90]))) for _ in range(400)]
+    text = "".join(w + rng.choice([" ", ", ", "\n"]) for w in words).encode()
+    whole = common.word_hashes(text)
+    monkeypatch.setattr(common, "HASH_BYTES", 50)
+    assert common.word_hashes(text).tolist() == whole.tolist() and len(whole) == 400
+    assert [h for w in words for h in common.word_hashes(w.encode()).tolist()] == whole.tolist()
+
+
 def test_shortest_prefix():
     d = nearjoin.shortest_prefix(0.8, 0.999)
     assert nearjoin.found(0.8, d) >= 0.999 > nearjoin.found(0.8, d + 1)
