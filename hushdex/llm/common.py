@@ -77,7 +77,7 @@ def bucketed(df: DataFrame, name: str, key: str) -> DataFrame:
 
 
 #: A key of more rows than this, and than one in HOT_SHARE of all, is joined by broadcast.
-HOT_ROWS, HOT_SHARE = 100, 10_000
+HOT_ROWS, HOT_SHARE = 100_000, 10_000
 
 
 def hot_join(left: DataFrame, right: DataFrame, key: str, rows: int) -> DataFrame:
@@ -87,7 +87,10 @@ def hot_join(left: DataFrame, right: DataFrame, key: str, rows: int) -> DataFram
     the left. Of keys with more than HOT_ROWS and one in HOT_SHARE of all rows there
     are HOT_SHARE at most: their rows are broadcast, and the left side's stay where
     they are. All others meet in a shuffle in which none is large.
+    Where all rows together are no more than HOT_ROWS there is no such key.
     """
+    if rows <= HOT_ROWS:
+        return left.join(right.drop("rows"), key)
     most = max(HOT_ROWS, rows // HOT_SHARE)
     hot = F.broadcast(right.where(F.col("rows") > most).drop("rows"))
     cold = left.join(hot.select(key), key, "left_anti").join(right.where(F.col("rows") <= most).drop("rows"), key)
