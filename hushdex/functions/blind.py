@@ -6,6 +6,7 @@ import base64
 import binascii
 import json
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -51,16 +52,26 @@ def wire(token_set: Column) -> Column:
     return unbroken_base64(F.encode(F.to_json(token_set), "UTF-8"))
 
 
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)``, with the value worked out once however often it is used."""
+    return F.transform(F.array(value), use)[0]
+
+
 def strict_base64(text: Column) -> Column:
     """Bytes, or null where the text is not canonical base64."""
-    data = F.try_to_binary(text, F.lit("base64"))
-    return F.when(unbroken_base64(data) == text, data)
+    same = lambda t: _once(F.try_to_binary(t, F.lit("base64")), lambda data: F.when(unbroken_base64(data) == t, data))
+    return _once(text, same)
 
 
 def unwire(text: Column) -> Column:
     """Token set of a wire text; null unless both lists are there."""
     got = F.from_json(F.decode(strict_base64(text), "UTF-8"), BLIND_SET)
-    return F.when(got["words"].isNotNull() & got["trigrams"].isNotNull(), got)
+    return _once(got, lambda s: F.when(s["words"].isNotNull() & s["trigrams"].isNotNull(), s))
+
+
+def checked(text: Column) -> Column:
+    """Token set of a wire text; null also if a token is not well formed."""
+    return _once(unwire(text), lambda s: F.when(well_formed(s), s))
 
 
 def well_formed(token_set: Column) -> Column:

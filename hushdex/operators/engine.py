@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from hushdex.errors import EntryNotFound, IndexExists, IndexNotFound, InvalidArgument
-from hushdex.functions import blind, extract, keys, tokens
+from hushdex.functions import blind, extract, invert, keys, tokens
 from hushdex.operators import search as ops
 from hushdex.plans.guard import Guard
 from hushdex.sources.local import frame
@@ -56,10 +56,6 @@ def check_name(name: str) -> str:
     return name
 
 
-def _none() -> Column:
-    return F.array().cast("array<string>")
-
-
 def last_of_each(rows: DataFrame) -> DataFrame:
     """One row for each entry_id: the one of the largest ``order_``."""
     w = Window.partitionBy("entry_id").orderBy(F.desc("order_"))
@@ -186,47 +182,45 @@ class Engine:
                 m = self._current(name)
                 words, trigrams = self._blind_text(name, extract.text_of(self._decode(data), field))
             rows = frame(self.spark, [(entry, words, trigrams)], "entry_id string, words array<string>, trigrams array<string>")
-            _, rejected = self._add(m, rows)
-            if rejected.first():
+            if self._add(m, rows).first():
                 raise InvalidArgument(f"index '{name}' is full: {self.config.max_entries_per_index} entries")
             version = self.store.entries(self._get(name), rows).first()["version"]
         return version
 
-    def _add(self, m: Manifest, rows: DataFrame, gone: DataFrame | None = None) -> tuple[Manifest, DataFrame]:
-        """Write token sets and the removal of the ids ``gone`` (entry_id, seq) as one
-        segment, one row for each id; rejected ids come back.
+    def _add(self, m: Manifest, rows: DataFrame, gone: DataFrame | None = None, key: bytes | None = None) -> DataFrame:
+        """Write entries and the removal of the ids ``gone`` (entry_id, seq) as one segment,
+        one row for each id; rejected ids come back.
 
-        An id that is there gets the next version and is always written. New ids
-        are admitted in their order as far as there is room.
+        Rows have tokens, or with a key plain words, as ``invert.inverted`` takes them. An
+        id that is there gets the next version and is always written. New ids are
+        admitted in their order as far as there is room.
         """
-        seq = "seq" if "seq" in rows.columns else F.lit(None).cast("bigint").alias("seq")
-        rows = rows.select("entry_id", "words", "trigrams", seq, F.lit(False).alias("deleted"))
-        if gone is not None:
-            rows = rows.unionByName(gone.select("entry_id", _none().alias("words"), _none().alias("trigrams"), "seq", F.lit(True).alias("deleted")))
-        held = rows.persist()
-        refused = frame(self.spark, [], "entry_id string")
+        if "seq" not in rows.columns:
+            rows = rows.withColumn("seq", F.lit(None).cast("bigint"))
+        refused, most, held = frame(self.spark, [], "entry_id string"), self.config.max_entries_per_index, None
         try:
+            if most:  # only a limit has to know the ids before the entries are written
+                held = rows = rows.persist()
+                known = self.store.entries(m, held.select("entry_id") if gone is None else held.select("entry_id").unionByName(gone.select("entry_id"))).select("entry_id")
+                fresh = held.select("entry_id").join(known, "entry_id", "left_anti")
+                leave = gone.join(known, "entry_id", "left_semi").count() if gone is not None else 0
+                room = max(0, most - m.entry_count + leave)
+                if fresh.count() > room:
+                    refused = self.store.set_aside(m, fresh.join(fresh.orderBy("entry_id").limit(room), "entry_id", "left_anti"))
+                    rows = rows.join(refused, "entry_id", "left_anti")
+            name = self.store.draw(m)
+            made = self.store.stage(m, name, rows, key).withColumn("deleted", F.lit(False))
+            if gone is not None:
+                size = F.lit(0).cast("bigint")
+                made = made.unionByName(gone.select("entry_id", size.alias("words"), size.alias("trigrams"), "seq", F.lit(True).alias("deleted")))
             # Ids with a row in an older segment, a deleted one too, are replaced there.
-            old = self.store.latest(m, held.select("entry_id")).select("entry_id", F.when(~F.col("deleted"), F.col("version")).alias("old"), F.lit(True).alias("again"))
-            rows = held.join(old, "entry_id", "left")
-            is_new, is_gone = F.expr("not deleted and old is null"), F.expr("deleted and old is not null")
-            count = rows.agg(F.count(F.lit(1)).alias("all"), F.count(F.when(is_new, 1)).alias("new"), F.count(F.when(is_gone, 1)).alias("gone")).first()
-            added, most = count["new"], self.config.max_entries_per_index
-            if most and m.entry_count - count["gone"] + added > most:
-                fresh, room = rows.where(is_new).select("entry_id"), max(0, most - m.entry_count + count["gone"])
-                admitted = fresh.orderBy("entry_id").limit(room)
-                refused = self.store.set_aside(m, fresh.join(admitted, "entry_id", "left_anti"))
-                rows = rows.join(refused, "entry_id", "left_anti")
-                if count["all"] == added and not room:
-                    return m, refused
-                added = min(added, room)
-            if not count["all"]:
-                return m, refused
+            old = self.store.latest(m, made.select("entry_id")).select("entry_id", F.when(~F.col("deleted"), F.col("version")).alias("old"), F.lit(True).alias("again"))
             version = F.coalesce(F.col("old"), F.lit(0)) + F.when(F.col("deleted"), 0).otherwise(1)
-            rows = rows.select("entry_id", version.alias("version"), "deleted", "words", "trigrams", "seq", F.coalesce("again", F.lit(False)).alias("again"))
-            return self.store.append(m, rows, max(0, m.entry_count - count["gone"]) + added), refused
+            self.store.add(m, name, made.join(old, "entry_id", "left").select("entry_id", version.cast("bigint").alias("version"), "deleted", "words", "trigrams", "seq", F.coalesce("again", F.lit(False)).alias("again")))
+            return refused
         finally:
-            held.unpersist()
+            if held is not None:
+                held.unpersist()
 
     def put_frame(self, name: str, rows: DataFrame, entry: str = "entry_id", text: str = "text", order: Column | None = None, actor: str | None = None, field: Column | str | None = None) -> DataFrame:
         """Add or replace many entries at once; returns (entry_id, reason) of refused rows.
@@ -240,13 +234,13 @@ class Engine:
         self.guard.allow(name, "put", actor)
         with self.guard.audited("PUT", f"{name}/*", actor), self.store.writing(name):
             m = self._current(name)
-            # Hashing tokens costs far more than moving texts: spread the rows, by the key that the
+            # Cutting texts costs far more than moving them: spread the rows, by the key that the
             # steps below need anyway. A stated number is not coalesced by size.
             parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
             got = rows.select(F.col(entry).cast("string").alias("entry_id"), self._plain(rows, text, field).alias("text"), (F.col(text) if order is None else order).alias("order_")).repartition(parts, "entry_id")
             bad = got.where("entry_id is null or entry_id = ''").select("entry_id", F.lit("entry id is empty").alias("reason"))
-            sets = self._blinded(name, last_of_each(got.where("entry_id <> ''")), F.col("text"))
-            _, rejected = self._add(m, sets.select("entry_id", "tokens.words", "tokens.trigrams"))
+            words = last_of_each(got.where("entry_id <> ''")).select("entry_id", invert.cut(F.col("text")).alias("words"))
+            rejected = self._add(m, words, key=self.store.key(name))
         return bad.unionByName(rejected.select("entry_id", F.lit("index is full").alias("reason")))
 
     def put_blind_frame(self, name: str, rows: DataFrame, entry: str = "entry_id", data: str = "data", order: Column | None = None, actor: str | None = None) -> DataFrame:
@@ -254,10 +248,15 @@ class Engine:
         self.guard.allow(name, "put", actor)
         with self.guard.audited("PUT", f"{name}/*", actor), self.store.writing(name):
             m = self._get(name)
-            got = rows.select(F.col(entry).cast("string").alias("entry_id"), blind.unwire(F.col(data)).alias("set"), (F.col(data) if order is None else order).alias("order_"))
-            ok = F.coalesce(F.col("entry_id") != "", F.lit(False)) & F.coalesce(blind.well_formed(F.col("set")), F.lit(False))
+            parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+            got = rows.select(F.col(entry).cast("string").alias("entry_id"), F.col(data).alias("data"), (F.col(data) if order is None else order).alias("order_")).repartition(parts, "entry_id")
+            # What a row's data is made of may be costly. A map over batches, past which no filter
+            # moves, has it worked out and decoded once, not for each use of a list.
+            got = got.select("entry_id", blind.checked(F.col("data")).alias("set"), "order_").select("entry_id", "set.words", "set.trigrams", "order_")
+            got = got.mapInArrow(lambda batches: batches, got.schema)
+            ok = F.coalesce(F.col("entry_id") != "", F.lit(False)) & F.col("words").isNotNull() & F.col("trigrams").isNotNull()
             bad = got.where(~ok).select("entry_id", F.lit("invalid blind tokens").alias("reason"))
-            _, rejected = self._add(m, last_of_each(got.where(ok)).select("entry_id", "set.words", "set.trigrams"))
+            rejected = self._add(m, last_of_each(got.where(ok)).select("entry_id", "words", "trigrams"))
         return bad.unionByName(rejected.select("entry_id", F.lit("index is full").alias("reason")))
 
     @staticmethod
@@ -282,8 +281,8 @@ class Engine:
             try:
                 known = self.store.latest(m, last.select("entry_id")).select("entry_id", F.col("seq").alias("seen"))
                 new = last.join(known, "entry_id", "left").where("seen is null or seq > seen")
-                sets = self._blinded(name, new.where("op = 'put'").select("entry_id", "text", "seq"), F.col("text"))
-                _, rejected = self._add(m, sets.select("entry_id", "tokens.words", "tokens.trigrams", "seq"), new.where("op = 'delete'").select("entry_id", "seq"))
+                words = new.where("op = 'put'").select("entry_id", invert.cut(F.col("text")).alias("words"), "seq")
+                rejected = self._add(m, words, new.where("op = 'delete'").select("entry_id", "seq"), self.store.key(name))
             finally:
                 last.unpersist()
         return rejected.select("entry_id", F.lit("index is full").alias("reason"))
@@ -298,8 +297,9 @@ class Engine:
         try:
             many = gone.count()
             if many:
-                rows = gone.select("entry_id", "version", F.lit(True).alias("deleted"), _none().alias("words"), _none().alias("trigrams"), "seq", F.lit(True).alias("again"))
-                self.store.append(m, rows, max(0, m.entry_count - many))
+                none = F.lit(0).cast("bigint")
+                rows = gone.select("entry_id", "version", F.lit(True).alias("deleted"), none.alias("words"), none.alias("trigrams"), "seq", F.lit(True).alias("again"))
+                self.store.add(m, self.store.draw(m), rows, max(0, m.entry_count - many))
             return many
         finally:
             gone.unpersist()
@@ -383,5 +383,4 @@ class Engine:
                 raise InvalidArgument(f"query {wrong['query_id']}: {wrong['what']}")
             if not is_blind:
                 q = self._blinded(name, q, F.col("text"))
-            rows = self.store.live(m, self.store.postings(m))
-            return ops.batch(rows, q.select("query_id", "mode", "tokens.words", "tokens.trigrams"), self.config.thresholds, self.config.default_result_limit if limit is None else limit)
+            return ops.batch(self.store.lists(m), lambda rows: self.store.live(m, rows), lambda rows: self.store.live_lists(m, rows), q.select("query_id", "mode", "tokens.words", "tokens.trigrams"), self.config.thresholds, self.config.default_result_limit if limit is None else limit)

@@ -170,7 +170,7 @@ def _conversations_engine(spark: SparkSession, sf_dir: str) -> Engine:
 
 def state(e: Engine, name: str) -> DataFrame:
     m = e.store.load(name)
-    return e.store.entries(m).select("entry_id", "version", F.size("words").cast("bigint").alias("words"), F.size("trigrams").cast("bigint").alias("trigrams"))
+    return e.store.entries(m).select("entry_id", "version", "words", "trigrams")
 
 
 def index_info_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

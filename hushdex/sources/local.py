@@ -17,3 +17,9 @@ def frame(spark: SparkSession, rows: Iterable[tuple], ddl: str) -> DataFrame:
     arrow = to_arrow_schema(schema)
     table = pa.table([pa.array(list(c), f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
     return spark.createDataFrame(table, schema)
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of 1,000 rows where the session has Spark's default of 10,000."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")

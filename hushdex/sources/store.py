@@ -3,9 +3,12 @@
     <root>/keys/<index>.json                     key, apart from the data
     <root>/indexes/<index>/manifest.json         record, live segments, entry count
     <root>/indexes/<index>/<segment>/entries    entry_id, version, deleted, words, trigrams, seq
-    <root>/indexes/<index>/<segment>/postings   kind, token, entry_id (sorted by token)
+    <root>/indexes/<index>/<segment>/made/part=1    postings: kind, token, entry_ids, block (files sorted by token)
     <root>/indexes/<index>/<segment>/replaced   ids of the segment that older ones hold too
 
+Entries have the sizes of their token lists; the tokens stand in the postings alone, once
+for each block of entries (see ``functions/invert.py``).
+
 A write adds one segment, whose name no other writer can draw, and then replaces the
 manifest by a rename, so a crash in between leaves the old state. The newest segment
 that names an entry decides. Searches read postings and, if any id was written twice,
@@ -26,11 +29,15 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from hushdex.errors import StoreError
-from hushdex.operators.search import postings_of
-from hushdex.sources.local import frame
-
-ENTRY = "entry_id string, version bigint, deleted boolean, words array<string>, trigrams array<string>, seq bigint"
-POSTING = "kind string, token string, entry_id string"
+from hushdex.functions.invert import inverted
+from hushdex.sources.local import frame, small_batches
+
+ENTRY = "entry_id string, version bigint, deleted boolean, words bigint, trigrams bigint, seq bigint"
+POSTING = "kind string, token string, entry_ids array<string>, block bigint"
+#: Folders of what is made of entries in one pass: sizes of their lists (kept in ``entries``), and postings.
+SIZES, POSTINGS = "made/part=0", "made/part=1"
+#: Of the files above; indexes of another layout are refused.
+LAYOUT = 2
 #: Segments after which a write merges some.
 MAX_SEGMENTS = 8
 #: A segment is merged with newer ones that together have this share of its rows.
@@ -45,6 +52,8 @@ class Segment:
     name: str
     rows: int
     replaced: int
+    #: Whether there are any.
+    postings: bool = True
 
 
 @dataclass
@@ -55,6 +64,7 @@ class Manifest:
     segments: list[Segment] = field(default_factory=list)
     next_segment: int = 0
     entry_count: int = 0
+    layout: int = 1
 
 
 _locks: dict[tuple[str, str], threading.RLock] = {}
@@ -124,9 +134,12 @@ class Store:
         if got is None:
             return None
         try:
-            return Manifest(**(got | {"segments": [Segment(**s) for s in got["segments"]]}))
+            m = Manifest(**(got | {"segments": [Segment(**s) for s in got["segments"]]}))
         except (TypeError, KeyError) as e:
             raise StoreError(f"corrupt record of index {name}") from e
+        if m.layout != LAYOUT:
+            raise StoreError(f"index {name} has files of layout {m.layout}, this is layout {LAYOUT}: fill it anew")
+        return m
 
     def writing(self, name: str) -> threading.RLock:
         """The lock of an index's writers in this process."""
@@ -135,7 +148,7 @@ class Store:
 
     def create(self, name: str, key: bytes, version: int, now: int | None = None) -> Manifest:
         self._write(f"{self.root}/keys/{name}.json", {"key": key.hex()})
-        m = Manifest(name, int(time.time()) if now is None else now, version)
+        m = Manifest(name, int(time.time()) if now is None else now, version, layout=LAYOUT)
         self._save(m)
         return m
 
@@ -178,26 +191,61 @@ class Store:
         """Live entries: entry_id, version, words, trigrams, seq; see ``latest``."""
         return self.latest(m, ids).where("not deleted").drop("deleted")
 
+    def lists(self, m: Manifest, segments: list[Segment] | None = None) -> DataFrame:
+        """All postings lists, with the segment they come from; see ``live_lists``."""
+        return self._all(m, POSTINGS, POSTING, [g for g in (m.segments if segments is None else segments) if g.postings])
+
     def postings(self, m: Manifest) -> DataFrame:
-        """All postings, with the segment they come from; see ``live``."""
-        return self._all(m, "postings", POSTING)
+        """(kind, token, entry_id, segment) of all postings; see ``live``."""
+        return self.lists(m).select("kind", "token", F.explode("entry_ids").alias("entry_id"), "segment")
 
-    def live(self, m: Manifest, rows: DataFrame) -> DataFrame:
+    def live(self, m: Manifest, rows: DataFrame, segments: list[Segment] | None = None) -> DataFrame:
         """Drop rows (entry_id, segment, ...) that a later segment replaced.
 
         Only ids that were written more than once are looked at.
         """
-        again = [g for g in m.segments if g.replaced]
+        again = [g for g in (m.segments if segments is None else segments) if g.replaced]
         if not again:
             return rows.drop("segment")
         last = self._all(m, "replaced", "entry_id string", again).groupBy("entry_id").agg(F.max("segment").alias("last"))
         return rows.join(last, "entry_id", "left").where("last is null or segment >= last").drop("segment", "last")
 
+    def live_lists(self, m: Manifest, lists: DataFrame, segments: list[Segment] | None = None) -> DataFrame:
+        """Lists (POSTING columns and segment) without ids that a later segment replaced."""
+        if not any(g.replaced for g in (m.segments if segments is None else segments)):
+            return lists.drop("segment")
+        rows = self.live(m, lists.select("kind", "token", "block", F.explode("entry_ids").alias("entry_id"), "segment"), segments)
+        return rows.groupBy("kind", "token", "block").agg(F.collect_list("entry_id").alias("entry_ids")).select("kind", "token", "entry_ids", "block")
+
+    def draw(self, m: Manifest) -> str:
+        """Name of a new segment."""
+        return f"segment-{m.next_segment}-{uuid.uuid4().hex}"
+
+    def stage(self, m: Manifest, name: str, rows: DataFrame, key: bytes | None = None) -> DataFrame:
+        """Write the postings of a segment and return the sizes of its entries' lists, read
+        back; see ``inverted`` for the rows and the key."""
+        small_batches(self.spark)
+        at = f"{self._home(m.name)}/{name}"
+        made = inverted(rows, key).sortWithinPartitions("part", "kind", "token")
+        made.write.partitionBy("part").option("compression", "zstd").parquet(f"{at}/made")
+        ddl = "entry_id string, words bigint, trigrams bigint, seq bigint"
+        return self.spark.read.schema(ddl).parquet(f"{at}/{SIZES}") if self._fs.exists(self._path(f"{at}/{SIZES}")) else frame(self.spark, [], ddl)
+
     def append(self, m: Manifest, rows: DataFrame, entry_count: int) -> Manifest:
-        """Add a segment of rows (ENTRY columns and ``again``: older segments hold the
-        id; one row for each id)."""
-        g = self._written(m, rows)
-        new = Manifest(m.name, m.created_at, m.tokenizer_version, [*m.segments, g], g.number + 1, entry_count)
+        """Add a segment of rows (ENTRY columns, but lists of tokens, and ``again``: older
+        segments hold the id; one row for each id)."""
+        name = self.draw(m)
+        made = self.stage(m, name, rows.where("not deleted")).select("entry_id", "words", "trigrams")
+        return self.add(m, name, rows.drop("words", "trigrams").join(made, "entry_id", "left"), entry_count)
+
+    def add(self, m: Manifest, name: str, rows: DataFrame, entry_count: int | None = None) -> Manifest:
+        """Add a segment whose postings, if there are any, are written; rows have ENTRY
+        columns and ``again``. Without a count, it follows from the versions."""
+        g, change = self._written(m, name, rows)
+        if not g.rows:
+            self._drop(f"{self._home(m.name)}/{name}")
+            return m
+        new = replace(m, segments=[*m.segments, g], next_segment=g.number + 1, entry_count=max(0, m.entry_count + change) if entry_count is None else entry_count)
         self._save(new, m)
         return self.merge(new) if len(new.segments) > MAX_SEGMENTS else new
 
@@ -207,18 +255,18 @@ class Store:
         rows.write.option("compression", "zstd").parquet(at)
         return self.spark.read.schema(rows.schema).parquet(at)
 
-    def _written(self, m: Manifest, rows: DataFrame) -> Segment:
-        n = m.next_segment
-        name = f"segment-{n}-{uuid.uuid4().hex}"
+    def _written(self, m: Manifest, name: str, rows: DataFrame) -> tuple[Segment, int]:
+        """The segment, and by how many its rows change the number of live entries."""
         at = f"{self._home(m.name)}/{name}"
         held = rows.select("entry_id", "version", "deleted", "words", "trigrams", "seq", "again").sortWithinPartitions("entry_id")
         held.write.option("compression", "zstd").option("parquet.bloom.filter.enabled#entry_id", "true").parquet(f"{at}/entries")
+        self._drop(f"{at}/{SIZES}")
         own = self.spark.read.schema(ENTRY + ", again boolean").parquet(f"{at}/entries")
-        counts = own.agg(F.count(F.lit(1)).alias("rows"), F.count(F.when(F.col("again"), 1)).alias("again")).first()
+        one = lambda what: F.count(F.when(F.expr(what), 1))
+        counts = own.agg(F.count(F.lit(1)).alias("rows"), one("again").alias("again"), (one("not deleted and version = 1") - one("deleted and version > 0")).alias("change")).first()
         if counts["again"]:
             own.where("again").select("entry_id").write.option("compression", "zstd").parquet(f"{at}/replaced")
-        postings_of(own.where("not deleted")).repartitionByRange("kind", "token", "entry_id").sortWithinPartitions("kind", "token", "entry_id").write.option("compression", "zstd").parquet(f"{at}/postings")
-        return Segment(n, name, counts["rows"], counts["again"])
+        return Segment(m.next_segment, name, counts["rows"], counts["again"], self._fs.exists(self._path(f"{at}/{POSTINGS}"))), counts["change"]
 
     def merge(self, m: Manifest) -> Manifest:
         """Write the newest segments as one: two at least, and older ones as long as
@@ -233,8 +281,12 @@ class Store:
         every = self.latest(m, None, some)
         every = every.join(ids, "entry_id", "left").withColumn("again", F.coalesce("again", F.lit(False))) if ids is not None else every.withColumn("again", F.lit(False))
         # A deleted entry is kept while an older segment has it, or a later event may be about it.
-        g = self._written(m, every.where("not deleted or again or seq is not null"))
-        new = Manifest(m.name, m.created_at, m.tokenizer_version, [*old, g], g.number + 1, m.entry_count)
+        name = self.draw(m)
+        lists = self.live_lists(m, self.lists(m, some), some)
+        if any(g.postings for g in some):
+            lists.repartitionByRange("kind", "token", "block").sortWithinPartitions("kind", "token").write.option("compression", "zstd").parquet(f"{self._home(m.name)}/{name}/{POSTINGS}")
+        g, _ = self._written(m, name, every.where("not deleted or again or seq is not null"))
+        new = replace(m, segments=[*old, g], next_segment=g.number + 1)
         self._save(new, m)
         for x in some:
             self._drop(f"{self._home(m.name)}/{x.name}")

@@ -1,11 +1,12 @@
 import base64
 import random
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
 
 from hushdex.errors import EntryNotFound, IndexExists, IndexNotFound, InternalError, InvalidArgument, PolicyDenied, StoreError
-from hushdex.functions import blind, tokens
+from hushdex.functions import blind, invert, keys, tokens
 from hushdex.operators.engine import Config, Engine
 from hushdex.plans.guard import Capability, Decision, Guard
 
@@ -333,3 +334,64 @@ def test_batch_search_checks_its_queries(engine, row, what):
         engine.search_frame("i", engine.spark.createDataFrame([(0, "red", "exact"), row], "query_id int, query string, mode string"))
     with pytest.raises(InvalidArgument, match="negative"):
         engine.search_frame("i", engine.spark.createDataFrame([(0, "red", "exact")], "query_id int, query string, mode string"), -1)
+
+
+# -- postings by blocks ------------------------------------------------------------
+
+
+def test_blocks_hold_every_token_of_every_entry():
+    import pyarrow as pa
+
+    key = bytes(range(32))
+    texts = {f"e{k}": " ".join(f"word{(k * j) % 11} über{j}" for j in range(k % 9)) for k in range(40)}
+    words = [sorted({w[2:] for w in tokens.plain_tokens(t)[0]}) for t in texts.values()]
+    batch = pa.RecordBatch.from_arrays([pa.array(list(texts)), pa.array(words, pa.list_(pa.string())), pa.array([None] * 40, pa.int64())], names=["entry_id", "words", "seq"])
+    out = pa.Table.from_batches(invert._inverter(key, 30, 7, 5)([batch.slice(0, 13), batch.slice(13)])).to_pylist()
+    lists = [r for r in out if r["part"] == 1]
+    assert len({r["block"] for r in lists}) > 40 // 7 and max(len(r["entry_ids"]) for r in lists) <= 7
+    got = sorted((r["kind"], r["token"], e) for r in lists for e in r["entry_ids"])
+    want = [(k, keys.blind_token(key, t), e) for e, text in texts.items() for k, ts in zip("wt", tokens.plain_tokens(text), strict=True) for t in ts]
+    assert got == sorted(want)
+    assert {r["entry_id"]: (r["words"], r["trigrams"]) for r in out if r["part"] == 0} == {e: tuple(map(len, tokens.plain_tokens(t))) for e, t in texts.items()}
+
+
+def test_no_row_holds_the_tokens_of_a_whole_text(engine):
+    fill(engine, "i", [(f"d{k:03}", " ".join(f"w{j}" for j in range(k, k + 300))) for k in range(60)])
+    m = engine.store.load("i")
+    assert dict(engine.store.entries(m).dtypes) == {"entry_id": "string", "version": "bigint", "words": "bigint", "trigrams": "bigint", "seq": "bigint"}
+    assert engine.store.lists(m).agg(F.max(F.size("entry_ids"))).first()[0] <= invert.BLOCK_ENTRIES
+    rows = engine.store.lists(m).select(F.input_file_name().alias("f"), "kind", "token").collect()
+    by_file = {f: [r[1:] for r in rows if r["f"] == f] for f in {r["f"] for r in rows}}
+    assert by_file and all(v == sorted(v) for v in by_file.values())
+
+
+def test_batch_search_counts_as_single_searches_do(engine, monkeypatch):
+    from hushdex.operators import search as ops
+
+    fill(engine, "i", [(f"d{k}", " ".join(w for j, w in enumerate(("red", "green", "chair", "table", "reddish")) if k >> j & 1)) for k in range(32)])
+    fill(engine, "i", [("d3", "table"), ("x", "green chair"), ("d31", "none")])
+    asked = [(k, q, mode) for k, (q, mode) in enumerate((q, mode) for q in ("red chair", "green", "reddish table", "none of it") for mode in ("exact", "contains", "prefix", "fuzzy"))]
+    q = engine.spark.createDataFrame(asked, "query_id int, query string, mode string")
+    want = sorted((k, r["entry_id"], r["score"], n + 1) for k, text, mode in asked for n, r in enumerate(engine.search("i", text, mode, limit=3).hits.collect()))
+    assert sorted(map(tuple, engine.search_frame("i", q, 3).collect())) == want
+    monkeypatch.setattr(ops, "BROADCAST_ROWS", 0)
+    assert sorted(map(tuple, engine.search_frame("i", q, 3).collect())) == want
+
+
+def test_an_index_of_another_layout_is_refused(engine):
+    engine.create("i")
+    engine.store._save(replace(engine.store.load("i"), layout=1))
+    with pytest.raises(StoreError, match="layout"):
+        engine.info("i")
+
+
+def test_a_blind_put_works_out_its_data_once(engine, monkeypatch):
+    engine.create("i")
+    rows = engine.spark.createDataFrame([("a", "red chair", "i")], "entry_id string, text string, index string")
+    sets = blind.blinded(rows, tokens.token_set(F.col("text")), blind.key_table(engine.spark, {"i": bytes(32)}))
+    seen, add = [], engine._add
+    monkeypatch.setattr(engine, "_add", lambda m, rows, *a, **b: seen.append(rows) or add(m, rows, *a, **b))
+    engine.put_blind_frame("i", sets.select("entry_id", blind.wire(F.col("tokens")).alias("data")), order=F.lit(1))
+    plan = seen[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json") == 1 and plan.count("to_json") == 1
+    assert engine.info("i").entry_count == 1
