@@ -248,8 +248,7 @@ class Engine:
         self.guard.allow(name, "put", actor)
         with self.guard.audited("PUT", f"{name}/*", actor), self.store.writing(name):
             m = self._get(name)
-            parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-            got = rows.select(F.col(entry).cast("string").alias("entry_id"), F.col(data).alias("data"), (F.col(data) if order is None else order).alias("order_")).repartition(parts, "entry_id")
+            got = rows.select(F.col(entry).cast("string").alias("entry_id"), F.col(data).alias("data"), (F.col(data) if order is None else order).alias("order_"))
             # What a row's data is made of may be costly. A map over batches, past which no filter
             # moves, has it worked out and decoded once, not for each use of a list.
             got = got.select("entry_id", blind.checked(F.col("data")).alias("set"), "order_").select("entry_id", "set.words", "set.trigrams", "order_")
