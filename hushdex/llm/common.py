@@ -9,7 +9,7 @@ import tempfile
 import uuid
 import zipfile
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from pathlib import Path
 
 import numpy as np
@@ -97,6 +97,42 @@ def hot_join(left: DataFrame, right: DataFrame, key: str, rows: int) -> DataFram
     return left.join(hot, key).unionByName(cold)
 
 
+#: Bits of a sieve for each row that it is made of, at most so many, and bits set for a row.
+SIEVE_BITS, MOST_BITS, SIEVE_HASHES = 16, 1 << 27, 4
+
+
+def sieve(wanted: DataFrame) -> Callable[..., Column]:
+    """A test of as many columns as ``wanted`` has, of the same types: true for all its
+    rows, nulls being equal, and for few others (a Bloom filter).
+
+    So rows that a join would drop need not be shuffled for it. Beyond MOST_BITS more
+    of the others pass, up to all of them: what passes has still to be joined.
+    """
+    spark = wanted.sparkSession
+    bits = min(MOST_BITS, max(64, 1 << (wanted.count() * SIEVE_BITS).bit_length()))
+
+    def places(columns: Iterable[Column | str]) -> list[Column]:
+        h = F.xxhash64(*columns)
+        low, high = h.bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned(h, 32).bitwiseOR(F.lit(1))
+        return [(low + high * k).bitwiseAND(F.lit(bits - 1)) for k in range(SIEVE_HASHES)]
+
+    at = wanted.select(F.explode(F.array(*places(wanted.columns))).alias("at"))
+    held = at.groupBy(F.shiftright("at", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(at & 63 as int)))").alias("bits")).toArrow()
+    words = np.zeros(bits // 64, np.int64)
+    words[held["word"].to_numpy()] = held["bits"].to_numpy()
+    one = pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), pa.array(words))
+    table = spark.createDataFrame(pa.table({"bits": one}))
+
+    def passes(*columns: Column | str) -> Column:
+        found, all_words = F.lit(True), table.scalar()
+        for p in places(columns):
+            word = F.get(all_words, F.shiftright(p, 6).cast("int"))
+            found = found & (F.bit_get(word, p.bitwiseAND(F.lit(63)).cast("int")) == 1)
+        return found
+
+    return passes
+
+
 #: Rows of an Arrow batch: texts are long, and a batch exists in the JVM and in Python at once.
 BATCH_ROWS = 1_000
 

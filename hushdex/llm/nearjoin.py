@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hushdex.llm.common import ALNUM_TABLE, arrow_schema, hot_join, saved, shingle_hashes, slices, to_batches, word_hashes
+from hushdex.llm.common import ALNUM_TABLE, arrow_schema, hot_join, saved, shingle_hashes, sieve, slices, to_batches, word_hashes
 from hushdex.llm.components import components
 
 #: Tries and their full depth; a step of a path takes two bytes.
@@ -219,14 +219,14 @@ def verify_group(rows: list[tuple[bytes, int, np.ndarray]], threshold: float, le
             yield key, int(links[k]), rows[root[k]][0], [float(m[k]) for m in missed]
 
 
-def verified(docs: DataFrame, members: DataFrame, n: int, threshold: float, least: int) -> DataFrame:
+def verified(texts: DataFrame, members: DataFrame, n: int, threshold: float, least: int) -> DataFrame:
     """(comp, key, links, root, missed) rows for candidate groups.
 
-    ``members`` has doc_id and mark (of one row with the class's text), key, comp,
+    ``texts`` has doc_id, mark and text, ``members`` has doc_id and mark (of one row with the class's text), key, comp,
     blocks (into how many the group is cut).
     """
     ddl = "comp binary, left int, right int, key binary, block int, shingles binary"
-    arrow = arrow_schema(docs.sparkSession, ddl)
+    arrow = arrow_schema(texts.sparkSession, ddl)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[tuple]:
@@ -247,7 +247,7 @@ def verified(docs: DataFrame, members: DataFrame, n: int, threshold: float, leas
         yield from to_batches(rows(), arrow)
 
     out = "comp binary, key binary, links bigint, root binary, missed array<double>"
-    result = arrow_schema(docs.sparkSession, out)
+    result = arrow_schema(texts.sparkSession, out)
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def groups() -> Iterator[tuple]:
@@ -265,9 +265,8 @@ def verified(docs: DataFrame, members: DataFrame, n: int, threshold: float, leas
         yield from to_batches(((comp, *r) for g, comp, left, right in groups() for r in verify_group(g, threshold, left, right, least)), result)
 
     # One plan at every size: the members' number grows with the corpus.
-    texts = docs.select("doc_id", F.xxhash64("text").alias("mark"), "text").alias("d")
     same = F.col("d.mark").eqNullSafe(F.col("m.mark")) & F.col("d.doc_id").eqNullSafe(F.col("m.doc_id"))
-    met = texts.join(members.alias("m").hint("merge"), same).select("text", "key", "comp", "blocks")
+    met = texts.alias("d").join(members.alias("m").hint("merge"), same).select("text", "key", "comp", "blocks")
     dealt = met.mapInArrow(cut, ddl).repartition("comp", "left", "right").sortWithinPartitions("comp", "left", "right", "key")
     return dealt.mapInArrow(check, out)
 
@@ -292,12 +291,16 @@ def linked(docs: DataFrame, classes: DataFrame, n: int, threshold: float, recall
     """(comp, key, links, root) rows of all links, by matched prefixes as short as ``recall`` asks for."""
     least = shortest_prefix(threshold, recall)
     tries = saved(forest(classes, least), "forest")
+    # All rounds together ask for the classes of the forest and their texts, for no others.
+    few = saved(classes.join(tries.select("key").distinct(), "key", "left_semi").select("key", "doc_id", "mark", "size"), "candidates")
+    wanted = sieve(few.select("doc_id", "mark"))
+    texts = saved(docs.select("doc_id", F.xxhash64("text").alias("mark"), "text").where(wanted("doc_id", "mark")), "texts")
     links, old, depth, rows = None, None, DEPTH, tries.count()
     while True:
-        member, stats = grouped(classes, tries, depth, rows)
+        member, stats = grouped(few, tries, depth, rows)
         new = stats if old is None else stats.join(old, ["comp", "many", "sign"], "left_anti")
-        todo = hot_join(member, new.select("comp", "blocks", F.col("many").alias("rows")), "comp", rows).join(classes.select("key", "doc_id", "mark"), "key")
-        got = verified(docs, todo, n, threshold, least)
+        todo = hot_join(member, new.select("comp", "blocks", F.col("many").alias("rows")), "comp", rows).join(few.select("key", "doc_id", "mark"), "key")
+        got = verified(texts, todo, n, threshold, least)
         if links is not None:
             kept = stats.join(old, ["comp", "many", "sign"], "left_semi").select("comp")
             got = got.unionByName(links.join(kept, "comp", "left_semi"))
@@ -374,8 +377,11 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     named = docs.select(F.col("doc_id").alias("own_id"), F.xxhash64("text").alias("own_mark"), *held)
     same = F.col("own_id").eqNullSafe(F.col("of_id")) & F.col("own_mark").eqNullSafe(F.col("of_mark"))
     back = lambda df: df.select(*(F.col(f"kept_{k}").alias(c) for k, c in enumerate(docs.columns)))
-    kept = back(named.join(marks, same, "left_anti"))
+    # Rows that stay as they are, nearly all, are not shuffled for the others.
+    listed = sieve(marks.select("of_id", "of_mark"))("own_id", "own_mark")
+    some = named.where(listed)
+    kept = back(named.where(~listed).unionByName(some.join(marks, same, "left_anti")))
     once = marks.where("stays")
     if once.isEmpty():
         return kept
-    return kept.unionByName(back(named.join(once, same, "left_semi").dropDuplicates(["own_id", "own_mark"])))
+    return kept.unionByName(back(some.join(once, same, "left_semi").dropDuplicates(["own_id", "own_mark"])))

@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from hushdex.llm import common, gru, langid, lmscore, nearjoin, toxicity, urlfilter
 from hushdex.llm.components import components
@@ -377,6 +378,34 @@ def test_one_of_each_decides_by_row(spark):
     assert sorted(((r["doc_id"], r["text"] or "") for r in got.collect()), key=str) == sorted([rows[0], rows[2], (5, ""), (5, "")], key=str)
 
 
+def test_only_texts_of_candidates_are_moved(spark, monkeypatch):
+    rng = random.Random(7)
+    rows = [(k, " ".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=60))) for k in range(400)]
+    rows += [(1000 + k, t + " more") for k, t in rows[:5]]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    moved, verified = [], nearjoin.verified
+
+    def seen(texts, *more):
+        moved.append(texts.count())
+        return verified(texts, *more)
+
+    monkeypatch.setattr(nearjoin, "verified", seen)
+    got = sorted(r["doc_id"] for r in nearjoin.one_of_each(docs).collect())
+    assert got == list(range(400))
+    assert moved and all(10 <= n < 100 for n in moved)
+
+
+@pytest.mark.parametrize("most", [1 << 27, 64])
+def test_sieve_lets_all_wanted_rows_pass(spark, monkeypatch, most):
+    monkeypatch.setattr(common, "MOST_BITS", most)
+    every = spark.range(3000).select(F.when(F.col("id") > 0, F.col("id")).alias("a"), F.concat(F.lit("x"), "id").alias("b"))
+    wanted = every.where("a % 10 = 0 or a is null")
+    passed = {r["b"] for r in every.where(common.sieve(wanted)("a", "b")).collect()}
+    assert passed >= {r["b"] for r in wanted.collect()}
+    assert len(passed) < 330 or most == 64
+    assert every.where(common.sieve(wanted.where("false"))("a", "b")).count() == 0
+
+
 def test_many_texts_of_one_id(spark):
     rng = random.Random(14)
     texts = [[rng.choice(["a", "b", "c", "d"]) + str(rng.randrange(999)) for _ in range(80)] for _ in range(60)]
