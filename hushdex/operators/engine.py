@@ -201,9 +201,11 @@ class Engine:
         try:
             if most:  # only a limit has to know the ids before the entries are written
                 held = rows = rows.persist()
-                known = self.store.entries(m, held.select("entry_id") if gone is None else held.select("entry_id").unionByName(gone.select("entry_id"))).select("entry_id")
+                # Asked for apart: Spark 4.1 takes a union of two tables dealt by id for one dealt
+                # by id, and a join with it fails if their partitions differ in number at last.
+                known = self.store.entries(m, held.select("entry_id")).select("entry_id")
                 fresh = held.select("entry_id").join(known, "entry_id", "left_anti")
-                leave = gone.join(known, "entry_id", "left_semi").count() if gone is not None else 0
+                leave = self.store.entries(m, gone.select("entry_id")).count() if gone is not None else 0
                 room = max(0, most - m.entry_count + leave)
                 if fresh.count() > room:
                     refused = self.store.set_aside(m, fresh.join(fresh.orderBy("entry_id").limit(room), "entry_id", "left_anti"))
